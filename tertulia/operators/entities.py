@@ -143,7 +143,7 @@ def binned_by_label(features: DataFrame, value_col: str, width: float, lo: float
     spark = features.sparkSession
     dim = spark.range(n_bins).select(
         F.col("id").alias("bin"),
-        F.explode(F.array(*[F.lit(x) for x in labels])).cast("int").alias(label_col))
+        F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias(label_col))
     return (dim.join(counts, ["bin", label_col], "left")
             .select(F.col("bin"),
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),

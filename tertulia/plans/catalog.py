@@ -1,3 +1,3 @@
 """Imports every query module so the registry is complete."""
 
-from . import text_queries  # noqa: F401
+from . import corpus_queries, profile_queries, text_queries  # noqa: F401

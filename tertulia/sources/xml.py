@@ -1,4 +1,4 @@
-"""XML corpora read with Spark's built-in XML source.
+"""XML corpora parsed with Spark's built-in XML support (``from_xml``).
 
 * tagged tweets (``rowTag=tweet``): id, content, date slices, first
   polarity value (older-years rule; also right for single-value rows);
@@ -55,9 +55,21 @@ def element(tag: str, c: Column) -> Column:
     return F.concat(F.lit(f"<{tag}>"), xml_escape(c), F.lit(f"</{tag}>"))
 
 
+def read_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """One string per ``<row_tag>`` element: files are cut at the closing
+    tag (a splittable text read), so records may span lines and files of
+    any size are read in parallel."""
+    raw = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    rec = F.regexp_replace(F.col("value"), r"^\s+", "")
+    return (raw.select(rec.alias("_r"))
+            .filter(F.col("_r").startswith(f"<{row_tag}>") | F.col("_r").startswith(f"<{row_tag} "))
+            .select(F.concat(F.col("_r"), F.lit(f"</{row_tag}>")).alias("record")))
+
+
 def read_rows(spark: SparkSession, path: str, row_tag: str, schema: StructType) -> DataFrame:
-    return (spark.read.format("xml").options(**XML_OPTIONS).option("rowTag", row_tag)
-            .schema(schema).load(path))
+    """Parse each record with ``from_xml`` against an explicit schema."""
+    recs = read_records(spark, path, row_tag)
+    return recs.select(F.from_xml(F.col("record"), schema, XML_OPTIONS).alias("_x")).select("_x.*")
 
 
 def read_tagged_tweets(spark: SparkSession, path: str) -> DataFrame:
@@ -74,21 +86,17 @@ def read_general(spark: SparkSession, path: str) -> DataFrame:
     codes = F.filter(F.transform(F.col("sentiment.polarity"), lambda p: encode_fixed(p["value"])),
                      lambda c: c.isNotNull())
     return x.select(F.col("tweetid").cast("long").alias("tweet_id"), "content",
-                    F.element_at(codes, 1).alias("sentiment"))
+                    F.try_element_at(codes, F.lit(1)).alias("sentiment"))
 
 
 def read_aspects(spark: SparkSession, path: str) -> DataFrame:
     """Text of each ``<tweet>`` with tags stripped (document order kept,
     entities unescaped, newlines trimmed at the ends) and its polarities."""
-    raw = spark.read.option("lineSep", "</tweet>").text(path)
-    rec = F.regexp_replace(F.col("value"), r"^\s+", "")
-    x = raw.select(rec.alias("rec")).filter(F.col("rec").startswith("<tweet"))
-    xmltext = F.concat(F.col("rec"), F.lit("</tweet>"))
+    x = read_records(spark, path, "tweet").withColumnRenamed("record", "_x")
     text = F.expr("xpath_string(_x, 'string(/tweet)')")
-    return (x.select(xmltext.alias("_x"))
-            .select(F.expr("xpath_string(_x, '/tweet/@id')").cast("long").alias("tweet_id"),
+    return x.select(F.expr("xpath_string(_x, '/tweet/@id')").cast("long").alias("tweet_id"),
                     F.regexp_replace(text, r"^\n+|\n+\z", "").alias("content"),
-                    F.expr("xpath(_x, '/tweet/sentiment/@polarity')").alias("polarities")))
+                    F.expr("xpath(_x, '/tweet/sentiment/@polarity')").alias("polarities"))
 
 
 def read_hotel_reviews(spark: SparkSession, path: str) -> DataFrame:
