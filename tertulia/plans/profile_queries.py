@@ -65,7 +65,12 @@ def extract_entities(spark, sf):
     return X.extract_entities(_tw(spark, sf), "tweet_id", "content")
 
 
-@query("extract_letreps")
+@query("extract_letreps", with_tweets(f"""
+SELECT tweet_id, ch[s] AS ch, repeat(ch[s], e - s - 1) AS rest FROM (
+  SELECT tweet_id, ch, s, list_filter(range(s + 1, len(ch) + 2), lambda j: j > len(ch) OR ch[j] <> ch[s])[1] AS e
+  FROM (SELECT tweet_id, ch, unnest(list_filter(range(1, len(ch) + 1), lambda i: regexp_full_match(ch[i], '{W}')
+          AND (i = 1 OR ch[i-1] <> ch[i]) AND i + 2 <= len(ch) AND ch[i+1] = ch[i] AND ch[i+2] = ch[i])) AS s
+        FROM (SELECT tweet_id, string_split(content, '') AS ch FROM tweets)))"""))
 def extract_letreps(spark, sf):
     return X.extract_letreps(_tw(spark, sf), "tweet_id", "content")
 
@@ -135,6 +140,9 @@ def _d_features():
         "laughter_feature": "CASE WHEN regexp_matches(content, '" + "|".join(C.LAUGH_STEMS_FEATURE) + "') THEN 1 ELSE 0 END",
         "question_mark": "CASE WHEN contains(content, '?') THEN 1 ELSE 0 END",
         "exclamation_mark": "CASE WHEN contains(content, '!') THEN 1 ELSE 0 END",
+        "letter_repetition": (f"CASE WHEN len(list_transform([string_split(content, '')], lambda ch: list_filter(ch, "
+                              f"lambda c, i: regexp_full_match(c, '{W}') AND i > 2 AND c = ch[i-1] AND c = ch[i-2]))[1]) > 0 "
+                              f"THEN 1 ELSE 0 END"),
     }
 
 
@@ -231,14 +239,17 @@ def feature_marks(spark, sf):
                                  FE.has_exclamation(c).cast("bigint").alias("exclamation_mark"))
 
 
-@query("feature_letrep")
+@query("feature_letrep", _feat_sql("letter_repetition"))
 def feature_letrep(spark, sf):
-    return _feat(spark, sf, FE.has_letter_repetition(F.col("content")).alias("letter_repetition"))
+    return _feat(spark, sf, FE.has_letter_repetition(F.col("content")).cast("bigint").alias("letter_repetition"))
 
 
-@query("feature_matrix")
+@query("feature_matrix", with_tweets("SELECT tweet_id, " + ", ".join(
+    f"CAST({_d_features()[k]} AS BIGINT) AS {k}" for k in
+    ["tweet_length", "has_uppercase", "question_mark", "exclamation_mark", "letter_repetition",
+     "hashtag_number", "laughter_feature"]) + " FROM tweets"))
 def feature_matrix(spark, sf):
-    return _tw(spark, sf).select("tweet_id", *FE.feature_columns(F.col("content")))
+    return _tw(spark, sf).select("tweet_id", *[c.cast("bigint") for c in FE.feature_columns(F.col("content"))])
 
 
 # ---------------------------------------------------------------------------

@@ -78,6 +78,43 @@ def d_punct(x, chars=C.PUNCT_REMOVED_MAIN):
     return f"translate({x}, {sql_str(chars)}, '')"
 
 
+def d_squeeze(x):
+    """Letter squeeze without back-references: drop a word character that
+    equals its predecessor when its run is at least three long."""
+    return (f"list_transform([string_split({x}, '')], lambda ch: array_to_string(list_filter(ch, "
+            f"lambda c, i: NOT (regexp_full_match(c, '{W}') AND i > 1 AND c = ch[i-1] AND "
+            f"((i > 2 AND c = ch[i-2]) OR (i < len(ch) AND c = ch[i+1])))), ''))[1]")
+
+
+def d_pieces_map(x, fn):
+    """Apply ``fn(s, k, p)`` (SQL text) to the alternating word / non-word
+    pieces of ``x`` and join them back."""
+    return (f"list_transform([regexp_extract_all({x}, '({W}+|{NW}+)', 1)], lambda p: "
+            f"array_to_string(list_transform(p, lambda s, k: {fn}), ''))[1]")
+
+
+def d_hashtag(x):
+    body = ("regexp_full_match(s, '" + W + "+') AND k > 1 AND suffix(p[k-1], '#') "
+            "AND (length(p[k-1]) >= 2 OR k = 2)")
+    camel = r"regexp_replace(regexp_replace(s, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
+    hash_mark = (f"k < len(p) AND suffix(s, '#') AND (length(s) >= 2 OR k = 1) "
+                 f"AND regexp_full_match(p[k+1], '{W}+')")
+    return d_pieces_map(x, f"CASE WHEN {body} THEN {camel} WHEN {hash_mark} "
+                           f"THEN substr(s, 1, length(s) - 1) ELSE s END")
+
+
+def d_abbrev(x):
+    m = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in C.ABBREVIATIONS) + "}"
+    return d_pieces_map(x, f"coalesce({m}[lower(s)], s)")
+
+
+def d_abbrev_compat(x):
+    for a, b in C.ABBREVIATIONS:
+        for _ in range(2):
+            x = f"regexp_replace({x}, '(^|{NW}){a}({NW}|$)', '\\1{b}\\2')"
+    return x
+
+
 def d_treebank(x):
     for pat, rep in TK.TREEBANK_RULES:
         x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(duck_replacement(rep))}, 'g')"
@@ -99,6 +136,28 @@ def _long_tokens(df, tokens, col="token"):
     return df.select("tweet_id", F.posexplode(tokens).alias("pos", col))
 
 
+def d_all_stages(x):
+    x = d_emoji(d_c2(d_c1(x)))
+    x = d_user(d_url(d_hashtag(x)))
+    x = d_laugh(d_squeeze(x), C.LAUGH_STEMS_MAIN)
+    return f"lower({d_punct(d_num(d_abbrev(x)))})"
+
+
+def d_older(x):
+    emo = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in C.OLDER_EMOJI_RANGES) + "]"
+    x = d_c2(f"regexp_replace({d_c1(x)}, '{emo}+', '', 'g')")
+    x = f"lower({d_hashtag(x)})"
+    x = f"regexp_replace({x}, {sql_str(C.older_url_pattern())}, '', 'g')"
+    x = d_squeeze(d_user(x, ""))
+    x = f"regexp_replace({x}, '[a-zA-Z]*jaj[a-zA-Z]*', 'jajaja', 'g')"
+    return d_punct(d_num(x), C.PUNCT_REMOVED_ALL)
+
+
+def d_masked(x):
+    x = d_user(d_url(d_emoji(d_c2(d_c1(x))), "URL"), "USERNAME")
+    return f"lower({d_laugh(d_squeeze(x), C.LAUGH_STEMS_SIX, ci=False)})"
+
+
 # ---------------------------------------------------------------------------
 # Cleaning (C1-C16)
 # ---------------------------------------------------------------------------
@@ -112,7 +171,7 @@ def clean_emoji(spark, sf):
     return _clean_query(spark, sf, C.emoji_to_alias)
 
 
-@query("clean_hashtag_split")
+@query("clean_hashtag_split", _sql_clean(d_hashtag("content")))
 def clean_hashtag_split(spark, sf):
     return _clean_query(spark, sf, C.split_hashtags)
 
@@ -127,7 +186,7 @@ def clean_username(spark, sf):
     return _clean_query(spark, sf, C.mask_usernames)
 
 
-@query("clean_letrep")
+@query("clean_letrep", _sql_clean(d_squeeze("content")))
 def clean_letrep(spark, sf):
     return _clean_query(spark, sf, C.squeeze_repeats)
 
@@ -143,12 +202,12 @@ def clean_laughter_compat(spark, sf):
     return _clean_query(spark, sf, lambda c: C.normalize_laughter(c, compat=True))
 
 
-@query("clean_abbrev")
+@query("clean_abbrev", _sql_clean(d_abbrev("content")))
 def clean_abbrev(spark, sf):
     return _clean_query(spark, sf, C.expand_abbreviations)
 
 
-@query("clean_abbrev_compat")
+@query("clean_abbrev_compat", _sql_clean(d_abbrev_compat("content")))
 def clean_abbrev_compat(spark, sf):
     return _clean_query(spark, sf, lambda c: C.expand_abbreviations(c, compat=True))
 
@@ -183,7 +242,7 @@ def clean_lower(spark, sf):
     return _clean_query(spark, sf, C.lowercase)
 
 
-@query("clean_all_stages")
+@query("clean_all_stages", _sql_clean(d_all_stages("content")))
 def clean_all_stages(spark, sf):
     return _clean_query(spark, sf, lambda c: C.clean_text(c, C.ALL))
 
@@ -193,12 +252,12 @@ def clean_default_stages(spark, sf):
     return _clean_query(spark, sf, lambda c: C.clean_text(c, C.MAIN))
 
 
-@query("clean_preset_older")
+@query("clean_preset_older", _sql_clean(d_older("content")))
 def clean_preset_older(spark, sf):
     return _clean_query(spark, sf, C.clean_older)
 
 
-@query("clean_preset_masked")
+@query("clean_preset_masked", _sql_clean(d_masked("content")))
 def clean_preset_masked(spark, sf):
     return _clean_query(spark, sf, C.clean_masked)
 
