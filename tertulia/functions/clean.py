@@ -50,7 +50,11 @@ _HASH_OPEN, _HASH_CLOSE = "﷐", "﷑"   # Unicode noncharacters as markers
 
 
 def _laugh_pattern(stem: str) -> str:
-    return f"[a-zA-Z]*{stem}[a-zA-Z]*"
+    """``[a-zA-Z]*STEM[a-zA-Z]*``.  Every match is a whole ASCII-letter run
+    containing the stem (the left wing absorbs the run start, the greedy right
+    wing the run end), so anchoring the start at a run boundary returns the
+    same matches while skipping the quadratic retries inside each word."""
+    return f"(?<![a-zA-Z])[a-zA-Z]*{stem}[a-zA-Z]*"
 
 
 # ---------------------------------------------------------------------------

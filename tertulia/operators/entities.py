@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import LAUGH_STEMS_SIX, ABBREVIATIONS
+from ..functions.clean import ABBREVIATIONS, LAUGH_STEMS_SIX, _laugh_pattern
 from ..functions.emoji import demojize
 from ..functions.features import hashtag_count, tweet_length
 from ..functions.regex import NO_WORD_BEFORE, NOT_SPACE, WORD, DIGITS
@@ -57,7 +57,7 @@ def extract_laughter(df: DataFrame, id_col: str, text_col: str,
                      stems: list[str] = LAUGH_STEMS_SIX) -> DataFrame:
     """Laughter hits per pattern, case-insensitive; a word matching two
     patterns is counted under both."""
-    arrs = [_tagged(s, F.regexp_extract_all(F.col(text_col), F.lit(f"(?i)[a-zA-Z]*{s}[a-zA-Z]*"), 0))
+    arrs = [_tagged(s, F.regexp_extract_all(F.col(text_col), F.lit(f"(?i){_laugh_pattern(s)}"), 0))
             for s in stems]
     return (df.select(id_col, F.explode(F.flatten(F.array(*arrs))).alias("e"))
             .select(id_col, F.col("e.kind").alias("pattern"), F.col("e.value").alias("value")))

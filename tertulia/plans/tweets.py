@@ -28,6 +28,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Guard against under-split inputs.
+
+    Text work is row-local and CPU-bound, so it needs at least as many
+    partitions as task slots.  A large input arrives in thousands of file
+    splits and is left alone (no shuffle); an input that arrives in fewer
+    splits than the cluster has slots (one big row group, a handful of
+    files) is hash-partitioned by its key, which also gives later per-key
+    aggregations their partitioning for free.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
+
+
 def _content(doc_id: Column, text: Column, source: Column) -> Column:
     hashtag = F.when(doc_id % 2 == 0, F.concat(
         F.lit(" #Sol"), F.upper(F.substring(source, 1, 1)), source.substr(F.lit(2), F.length(source)))
@@ -44,7 +60,8 @@ def _content(doc_id: Column, text: Column, source: Column) -> Column:
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tweets(tweet_id, content, lang, dataset, sentiment)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
+               "doc_id")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     # Left join on the document key: a shuffle join at scale (labels is not
     # bounded), AQE turns it into a broadcast when labels turns out small.
