@@ -22,10 +22,14 @@ DISCRIMINATING_MIN_DF = 3
 DISCRIMINATING_MAX_DF = 0.95
 
 
-def doc_terms(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """(id, term, tf) from a token-array column."""
-    return (df.select(id_col, F.explode(tokens_col).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+def doc_terms(df: DataFrame, id_col: str, tokens_col: str,
+              carry: list[str] | None = None) -> DataFrame:
+    """(id, [carry...], term, tf) from a token-array column.  ``carry``
+    columns (e.g. ``split``) are functionally dependent on the id and ride
+    along so later filters need no join back."""
+    keys = [id_col, *(carry or [])]
+    return (df.select(*keys, F.explode(tokens_col).alias("term"))
+            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary_stats(terms: DataFrame, id_col: str) -> DataFrame:
@@ -86,29 +90,29 @@ def sentiment_vocabulary(lexicon: DataFrame | None, discriminating: DataFrame |
 # ---------------------------------------------------------------------------
 # Count vectors / TF-IDF
 # ---------------------------------------------------------------------------
-def count_vectors(terms: DataFrame, fit_ids: DataFrame, id_col: str,
-                  binary: bool = False) -> DataFrame:
+def count_vectors(terms: DataFrame, id_col: str, fit: Column, binary: bool = False) -> DataFrame:
     """V1/V2: (id, term, value) restricted to the vocabulary of the fitting
-    rows (``fit_ids``: one column ``id_col``).  The vocabulary is not
-    bounded, so it is a shuffle semi-join (AQE splits hot terms)."""
-    vocab = terms.join(fit_ids, id_col, "left_semi").select("term").distinct()
+    rows (``fit``: boolean column of ``terms``, e.g. ``split = 'train'``).
+    The vocabulary is not bounded, so it is a shuffle semi-join (AQE splits
+    hot terms)."""
+    vocab = terms.filter(fit).select("term").distinct()
     out = terms.join(vocab, "term", "left_semi")
     val = F.lit(1).cast("bigint") if binary else F.col("tf")
     return out.select(id_col, "term", val.alias("value"))
 
 
-def tfidf(terms: DataFrame, fit_ids: DataFrame, id_col: str,
+def tfidf(terms: DataFrame, id_col: str, fit: Column, n_fit_docs: Column,
           max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """V3: smoothed TF-IDF, vocabulary = top ``max_features`` terms by
     frequency in the fitting rows (ties: term ascending),
-    ``idf = ln((1+n)/(1+df)) + 1``, raw tf, rows L2-normalised."""
-    fit = terms.join(fit_ids, id_col, "left_semi")
-    n_docs = fit_ids.select(F.count(F.lit(1))).scalar()   # scalar subquery
-    stats = (fit.groupBy("term").agg(F.sum("tf").alias("_tot"), F.count(F.lit(1)).alias("_df"))
+    ``idf = ln((1+n)/(1+df)) + 1`` with ``n = n_fit_docs`` (documents with
+    no token included), raw tf, rows L2-normalised."""
+    stats = (terms.filter(fit).groupBy("term")
+             .agg(F.sum("tf").alias("_tot"), F.count(F.lit(1)).alias("_df"))
              .orderBy(F.desc("_tot"), F.asc("term")).limit(max_features))
     # Bounded by max_features rows: safe to broadcast.
     vocab = F.broadcast(stats.select(
-        "term", (F.log((1 + n_docs) / (1 + F.col("_df"))) + 1).alias("_idf")))
+        "term", (F.log((1 + n_fit_docs) / (1 + F.col("_df"))) + 1).alias("_idf")))
     w = terms.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("_idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("_w") / norm).alias("weight"))

@@ -427,7 +427,7 @@ def _main_terms(spark, sf):
     tw = _tws(spark, sf)
     toks = tw.select("tweet_id", "split",
                      TK.word_tokens(C.clean_text(F.col("content"), C.MAIN)).alias("t"))
-    return tw, TM.doc_terms(toks, "tweet_id", "t")
+    return tw, TM.doc_terms(toks, "tweet_id", "t", carry=["split"])
 
 
 D_DOC_TERMS = f"""doc_terms AS (
@@ -441,7 +441,7 @@ SELECT tweet_id, term, tf AS value FROM doc_terms WHERE term IN (
     split=True, extra=D_DOC_TERMS))
 def count_vectors(spark, sf):
     tw, terms = _main_terms(spark, sf)
-    return TM.count_vectors(terms, tw.filter("split = 'train'").select("tweet_id"), "tweet_id")
+    return TM.count_vectors(terms, "tweet_id", F.col("split") == "train")
 
 
 @query("binary_vectors", with_tweets("""
@@ -450,8 +450,7 @@ SELECT tweet_id, term, CAST(1 AS BIGINT) AS value FROM doc_terms WHERE term IN (
     split=True, extra=D_DOC_TERMS))
 def binary_vectors(spark, sf):
     tw, terms = _main_terms(spark, sf)
-    return TM.count_vectors(terms, tw.filter("split = 'train'").select("tweet_id"), "tweet_id",
-                            binary=True)
+    return TM.count_vectors(terms, "tweet_id", F.col("split") == "train", binary=True)
 
 
 @query("tfidf", with_tweets(f"""
@@ -464,7 +463,8 @@ SELECT tweet_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY tweet_id)),
     split=True, extra=D_DOC_TERMS))
 def tfidf(spark, sf):
     tw, terms = _main_terms(spark, sf)
-    out = TM.tfidf(terms, tw.filter("split = 'train'").select("tweet_id"), "tweet_id")
+    n_train = tw.filter("split = 'train'").select(F.count(F.lit(1))).scalar()
+    out = TM.tfidf(terms, "tweet_id", F.col("split") == "train", n_train)
     return out.withColumn("weight", F.round("weight", R9))
 
 
