@@ -72,6 +72,11 @@ def treebank_tokens(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
 
 
+def tokens_joined(c: Column) -> Column:
+    """Tokens of ``c`` joined by single spaces (older-years files)."""
+    return F.array_join(treebank_tokens(c), " ")
+
+
 def detokenize(tokens: Column) -> Column:
     """Inverse of ``treebank_tokens`` (joins, re-attaches punctuation)."""
     c = F.array_join(tokens, " ")

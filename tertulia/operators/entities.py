@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import ABBREVIATIONS, LAUGH_STEMS_SIX, _laugh_pattern
 from ..functions.emoji import demojize
+from ..functions.generators import explode_rows
 from ..functions.features import hashtag_count, tweet_length
 from ..functions.regex import NO_WORD_BEFORE, NOT_SPACE, WORD, DIGITS
 from ..functions.tokens import word_tokens
@@ -41,14 +42,14 @@ def entity_arrays(text: Column) -> Column:
 
 def extract_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Long table (id, kind, value)."""
-    return (df.select(id_col, F.explode(entity_arrays(F.col(text_col))).alias("e"))
+    return (explode_rows(df, [id_col], entity_arrays(F.col(text_col)), "e")
             .select(id_col, "e.kind", "e.value"))
 
 
 def extract_letreps(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Letter-repeat runs as (char, rest) pairs."""
     runs = F.regexp_extract_all(F.col(text_col), F.lit(LETTER_RUN), 1)
-    return (df.select(id_col, F.explode(runs).alias("run"))
+    return (explode_rows(df, [id_col], runs, "run")
             .select(id_col, F.substring("run", 1, 1).alias("ch"),
                     F.expr("substring(run, 2)").alias("rest")))
 
@@ -59,7 +60,7 @@ def extract_laughter(df: DataFrame, id_col: str, text_col: str,
     patterns is counted under both."""
     arrs = [_tagged(s, F.regexp_extract_all(F.col(text_col), F.lit(f"(?i){_laugh_pattern(s)}"), 0))
             for s in stems]
-    return (df.select(id_col, F.explode(F.flatten(F.array(*arrs))).alias("e"))
+    return (explode_rows(df, [id_col], F.flatten(F.array(*arrs)), "e")
             .select(id_col, F.col("e.kind").alias("pattern"), F.col("e.value").alias("value")))
 
 
@@ -67,7 +68,7 @@ def extract_abbreviations(df: DataFrame, id_col: str, text_col: str) -> DataFram
     """Whole-word q/x/d/xq/pq hits, case-insensitive (original case kept)."""
     shorts = [s for s, _ in ABBREVIATIONS]
     toks = F.filter(word_tokens(F.col(text_col)), lambda t: F.lower(t).isin(*shorts))
-    return (df.select(id_col, F.explode(toks).alias("value"))
+    return (explode_rows(df, [id_col], toks, "value")
             .select(id_col, F.lower("value").alias("kind"), "value"))
 
 
@@ -90,8 +91,7 @@ def entity_top(entities: DataFrame, k: int = 5) -> DataFrame:
 def unseen_hashtags(tw: DataFrame, id_col: str = "tweet_id", text_col: str = "content",
                     split_col: str = "split") -> DataFrame:
     """Test hashtag occurrences whose hashtag never occurs in train/dev."""
-    tags = (tw.select(split_col, F.explode(
-        F.regexp_extract_all(F.col(text_col), F.lit(HASHTAG), 0)).alias("tag")))
+    tags = explode_rows(tw, [split_col], F.regexp_extract_all(F.col(text_col), F.lit(HASHTAG), 0), "tag")
     seen = (tags.filter(F.col(split_col).isin("train", "dev")).select("tag").distinct()
             .withColumn("_seen", F.lit(True)))
     test = tags.filter(F.col(split_col) == "test")

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.generators import explode_rows, posexplode_rows
 from .joins import broadcast_if_small
 
 
 def explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(tokens_col).alias("pos", "term"))
+    return posexplode_rows(df, [id_col], F.col(tokens_col), "pos", "term")
 
 
 def normalize_terms(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def spelling_corrections(vocab: DataFrame, dictionary: DataFrame) -> DataFrame:
     known = dictionary.select("term", "freq")
     v = vocab.select("term").distinct()
     unknown = v.join(known, "term", "left_anti")
-    uk = unknown.select("term", F.explode(deletion_keys()).alias("_k"))
-    dk = known.select(F.col("term").alias("cand"), "freq", F.explode(deletion_keys()).alias("_k"))
+    uk = explode_rows(unknown, ["term"], deletion_keys(), "_k")
+    dk = explode_rows(known, [F.col("term").alias("cand"), "freq"], deletion_keys(), "_k")
     pairs = (uk.join(dk, "_k").select("term", "cand", "freq").distinct()
              .filter(F.levenshtein("term", "cand") == 1))
     best = pairs.groupBy("term").agg(

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.generators import explode_rows, posexplode_rows
 from .joins import broadcast_if_small
 
 TFIDF_MAX_FEATURES = 5000
@@ -28,7 +29,7 @@ def doc_terms(df: DataFrame, id_col: str, tokens_col: str,
     columns (e.g. ``split``) are functionally dependent on the id and ride
     along so later filters need no join back."""
     keys = [id_col, *(carry or [])]
-    return (df.select(*keys, F.explode(tokens_col).alias("term"))
+    return (explode_rows(df, keys, F.col(tokens_col), "term")
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -150,8 +151,8 @@ def discriminating_terms(docs: DataFrame, id_col: str, tokens_col: str, group_co
     ``lnB(a+1, b+1) + lnB(A-a+1, B-b+1)``; lower = more discriminating.
     Output: the ``top_n`` terms per group (group, rank, term, a, b, score).
     """
-    d = docs.select(id_col, F.col(group_col).alias("_g"),
-                    F.explode(F.array_distinct(tokens_col)).alias("term"))
+    d = explode_rows(docs, [id_col, F.col(group_col).alias("_g")],
+                     F.array_distinct(tokens_col), "term")
     # Group sizes as scalar subqueries (one-row aggregates).
     size_a = docs.select(F.count_if(F.col(group_col))).scalar()
     size_b = docs.select(F.count_if(~F.col(group_col))).scalar()
@@ -187,7 +188,7 @@ def document_embedding(tokens: DataFrame, id_col: str, tokens_col: str,
                        vectors: DataFrame) -> DataFrame:
     """V6 (word vectors): mean of the vectors of a document's tokens
     (``vectors``: word, vector).  Tokens without a vector are skipped."""
-    t = tokens.select(id_col, F.explode(tokens_col).alias("word"))
+    t = explode_rows(tokens, [id_col], F.col(tokens_col), "word")
     j = t.join(vectors, "word")
     return mean_embedding(j, [id_col], "vector")
 

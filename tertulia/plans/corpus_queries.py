@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..functions import clean as C
 from ..functions import labels as LB
 from ..functions import tokens as TK
+from ..functions.generators import posexplode_rows
 from ..operators import classify as M
 from ..operators import ensemble as EN
 from ..operators import evaluate as EV
@@ -32,7 +33,7 @@ from ..sources import xml as XML
 from . import tweets as TW
 from .profile_queries import R6, _lexicon_values
 from .registry import query, sql_str, with_tweets
-from .text_queries import W, d_c1, d_c2, d_treebank, d_words
+from .text_queries import W, d_c1, d_c2, d_older, d_treebank, d_words
 
 R9 = 9
 
@@ -299,6 +300,19 @@ def label_lines_read(spark, sf):
     return LL.read_label_lines(spark, f"{root}/train", f"{root}/dev")
 
 
+@query("label_lines_older", with_tweets(
+    "SELECT '__label__' || name || chr(9) || array_to_string(toks, ' ') AS value FROM ("
+    f"SELECT {D_NAME} AS name, {d_treebank(d_older('content'))} AS toks FROM tweets)"))
+def label_lines_older(spark, sf):
+    """C14 + T1c + K2 (tab form): older-years cleaning, tokens joined by one
+    space, label names as written by the older-years exporter."""
+    tw = _tw(spark, sf).select(LB.decode(F.col("sentiment")).alias("name"),
+                               TK.tokens_joined(C.clean_older(F.col("content"))).alias("text"))
+    path = scratch_dir(spark, "ftx-older")
+    LL.to_label_lines_tab(tw, "name", "text").write.mode("overwrite").text(path)
+    return spark.read.text(path)
+
+
 # ---------------------------------------------------------------------------
 # Gold and run files
 # ---------------------------------------------------------------------------
@@ -350,7 +364,7 @@ def word_vectors(spark, sf):
                        F.col("embedding").alias("vector"))
     VEC.write_vectors(words, "word", "vector", path)
     v = VEC.read_vectors(spark, path, dim)
-    return v.select("word", F.posexplode("vector").alias("dim", "value")).select(
+    return posexplode_rows(v, ["word"], F.col("vector"), "dim", "value").select(
         "word", "dim", F.round(F.col("value").cast("double"), R6).alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions import features as FE
 from ..functions import tokens as TK
+from ..functions.generators import explode_rows
 from ..operators import classify as M
 from ..operators import ensemble as EN
 from ..operators import evaluate as EV
@@ -60,7 +61,7 @@ def probs_long(tw):
                 F.lit(m).alias("model"), F.lit(l).alias("label"),
                 (_weight(m, l) / total).alias("prob"))))
     arr = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return tw.select("tweet_id", F.explode(arr).alias("e")).select("tweet_id", "e.model", "e.label", "e.prob")
+    return explode_rows(tw, ["tweet_id"], arr, "e").select("tweet_id", "e.model", "e.label", "e.prob")
 
 
 D_PROBS = """probs AS (
@@ -171,6 +172,20 @@ def classify_gbt(spark, sf):
     return _classify(spark, sf, "gbt")
 
 
+@query("classify_lr_counts")
+def classify_lr_counts(spark, sf):
+    tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",
+                                TK.word_tokens(C.clean_text(F.col("content"), C.MAIN)).alias("toks"))
+    return M.text_classifier(tw, "toks", "sentiment", "split", vectors="counts")
+
+
+@query("classify_lr_tfidf")
+def classify_lr_tfidf(spark, sf):
+    tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",
+                                TK.word_tokens(F.lower(C.clean_text(F.col("content"), C.MAIN))).alias("toks"))
+    return M.text_classifier(tw, "toks", "sentiment", "split", vectors="tfidf")
+
+
 @query("classify_ngram")
 def classify_ngram(spark, sf):
     tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",

@@ -9,6 +9,7 @@ from ..functions import clean as C
 from ..functions import features as FE
 from ..functions import labels as LB
 from ..functions import tokens as TK
+from ..functions.generators import explode_rows
 from ..operators import entities as X
 from ..operators import terms as TM
 from . import tweets as TW
@@ -146,18 +147,18 @@ def _d_features():
     }
 
 
-PROFILE_FEATURES = ["tweet_length", "has_uppercase", "hashtag_number", "laughter_feature",
-                    "question_mark", "exclamation_mark"]
-
-
 def _features(spark, sf, flags=FE.FeatureFlags(repetition=False)):
     tw = _tw(spark, sf)
     return tw.select("tweet_id", "sentiment", *FE.feature_columns(F.col("content"), flags))
 
 
+PROFILE_FEATURES = ["tweet_length", "has_uppercase", "hashtag_number", "laughter_feature",
+                    "question_mark", "exclamation_mark"]
+
+
 @query("feature_by_label", with_tweets("\nUNION ALL ".join(
-    f"SELECT '{k}' AS feature, CAST({v} AS BIGINT) AS value, sentiment, count(*) AS n FROM tweets GROUP BY 2, 3"
-    for k, v in _d_features().items())))
+    f"SELECT '{k}' AS feature, CAST({_d_features()[k]} AS BIGINT) AS value, sentiment, count(*) AS n "
+    "FROM tweets GROUP BY 2, 3" for k in PROFILE_FEATURES)))
 def feature_by_label(spark, sf):
     return X.feature_by_label(_features(spark, sf), PROFILE_FEATURES)
 
@@ -194,7 +195,7 @@ FULL JOIN (SELECT DISTINCT unnest({d_words('lower(content)')}) AS term FROM twee
 ON t.term = d.term""", split=True))
 def oov_report(spark, sf):
     tw = _tws(spark, sf)
-    toks = tw.select("split", F.explode(TK.word_tokens(F.lower("content"))).alias("term"))
+    toks = explode_rows(tw, ["split"], TK.word_tokens(F.lower("content")), "term")
     r = X.oov_report(toks.filter("split = 'train'"), toks.filter("split = 'dev'"))
     return r.withColumn("oov_pct", F.round("oov_pct", R6))
 

@@ -12,6 +12,7 @@ from ..functions import features as FE
 from ..functions import labels as LB
 from ..functions import tokens as TK
 from ..functions.emoji import emoji_aliases
+from ..functions.generators import posexplode_rows
 from ..functions.regex import SPACE, NOT_SPACE
 from ..operators import entities as X
 from ..operators import normalize as NZ
@@ -133,7 +134,7 @@ def d_long_tokens(list_expr: str, col: str = "token") -> str:
 
 
 def _long_tokens(df, tokens, col="token"):
-    return df.select("tweet_id", F.posexplode(tokens).alias("pos", col))
+    return posexplode_rows(df, ["tweet_id"], tokens, "pos", col)
 
 
 def d_all_stages(x):

@@ -14,6 +14,12 @@ def to_label_lines(df: DataFrame, label_col: str, text_col: str) -> DataFrame:
                      .alias("value"))
 
 
+def to_label_lines_tab(df: DataFrame, label_col: str, text_col: str) -> DataFrame:
+    """K2 (older-years form): ``__label__<label><TAB><text>``."""
+    return df.select(F.concat(label_prefix(F.col(label_col)), F.lit("\t"), F.col(text_col))
+                     .alias("value"))
+
+
 def write_label_lines(df: DataFrame, label_col: str, text_col: str, path: str) -> None:
     to_label_lines(df, label_col, text_col).write.mode("overwrite").text(path)
 
