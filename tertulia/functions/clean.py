@@ -122,6 +122,13 @@ def normalize_laughter(c: Column, compat: bool = False,
     if case_insensitive is None:
         case_insensitive = not compat
     flag = "(?i)" if case_insensitive else ""
+    if not compat and token.isascii() and token.isalpha():
+        # All-hits mode: every pattern turns a whole letter run containing its
+        # stem into the (alphabetic) token, which is again one letter run that
+        # any later pattern maps to itself — so the sequence equals a single
+        # pass with the stems as alternatives.
+        alt = "|".join(dict.fromkeys(stems))
+        return F.regexp_replace(c, f"{flag}(?<![a-zA-Z])[a-zA-Z]*(?:{alt})[a-zA-Z]*", token)
     for stem in stems:
         p = flag + _laugh_pattern(stem)
         if compat:

@@ -46,6 +46,27 @@ def extract_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select(id_col, "e.kind", "e.value"))
 
 
+def laughter_arrays(text: Column, stems: list[str] = LAUGH_STEMS_SIX, kind: str | None = None) -> Column:
+    return F.flatten(F.array(*[
+        _tagged(kind or s, F.regexp_extract_all(text, F.lit(f"(?i){_laugh_pattern(s)}"), 0))
+        for s in stems]))
+
+
+def abbreviation_array(text: Column) -> Column:
+    shorts = [s for s, _ in ABBREVIATIONS]
+    toks = F.filter(word_tokens(text), lambda t: F.lower(t).isin(*shorts))
+    return F.transform(toks, lambda v: F.struct(F.lower(v).alias("kind"), v.alias("value")))
+
+
+def extract_all(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """X1 + X3 + X4 in one generator: (id, kind, value) with kinds hashtag,
+    url, username, number, emoji, laughter and the abbreviations."""
+    t = F.col(text_col)
+    arr = F.flatten(F.array(entity_arrays(t), laughter_arrays(t, kind="laughter"),
+                            abbreviation_array(t)))
+    return explode_rows(df, [id_col], arr, "e").select(id_col, "e.kind", "e.value")
+
+
 def extract_letreps(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Letter-repeat runs as (char, rest) pairs."""
     runs = F.regexp_extract_all(F.col(text_col), F.lit(LETTER_RUN), 1)
@@ -58,18 +79,14 @@ def extract_laughter(df: DataFrame, id_col: str, text_col: str,
                      stems: list[str] = LAUGH_STEMS_SIX) -> DataFrame:
     """Laughter hits per pattern, case-insensitive; a word matching two
     patterns is counted under both."""
-    arrs = [_tagged(s, F.regexp_extract_all(F.col(text_col), F.lit(f"(?i){_laugh_pattern(s)}"), 0))
-            for s in stems]
-    return (explode_rows(df, [id_col], F.flatten(F.array(*arrs)), "e")
+    return (explode_rows(df, [id_col], laughter_arrays(F.col(text_col), stems), "e")
             .select(id_col, F.col("e.kind").alias("pattern"), F.col("e.value").alias("value")))
 
 
 def extract_abbreviations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Whole-word q/x/d/xq/pq hits, case-insensitive (original case kept)."""
-    shorts = [s for s, _ in ABBREVIATIONS]
-    toks = F.filter(word_tokens(F.col(text_col)), lambda t: F.lower(t).isin(*shorts))
-    return (explode_rows(df, [id_col], toks, "value")
-            .select(id_col, F.lower("value").alias("kind"), "value"))
+    return (explode_rows(df, [id_col], abbreviation_array(F.col(text_col)), "e")
+            .select(id_col, "e.kind", "e.value"))
 
 
 def entity_counts(entities: DataFrame) -> DataFrame:

@@ -190,7 +190,9 @@ def classify_lr_tfidf(spark, sf):
 def classify_ngram(spark, sf):
     tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",
                                 TK.word_tokens(C.clean_text(F.col("content"), C.MAIN)).alias("toks"))
-    return M.ngram_classifier(tw, "toks", "sentiment", "split")
+    # the fitted PipelineModel is saved and reloaded before scoring
+    return M.ngram_classifier(tw, "toks", "sentiment", "split",
+                              path=scratch_dir(spark, "ngram-model"))
 
 
 D_NB = """

@@ -53,12 +53,8 @@ D_ALL_ENTITIES = f"""all_entities AS (
 
 
 def _all_entities(spark, sf):
-    tw = _tw(spark, sf)
-    ent = X.extract_entities(tw, "tweet_id", "content")
-    laugh = X.extract_laughter(tw, "tweet_id", "content").select(
-        "tweet_id", F.lit("laughter").alias("kind"), "value")
-    abbr = X.extract_abbreviations(tw, "tweet_id", "content")
-    return ent.unionByName(laugh).unionByName(abbr)
+    """Entities, laughter hits and abbreviations from one pass over the text."""
+    return X.extract_all(_tw(spark, sf), "tweet_id", "content")
 
 
 @query("extract_entities", with_tweets(f"SELECT * FROM ({D_ENTITIES})"))
@@ -283,6 +279,22 @@ def _d_lexicon_ratios():
     return with_tweets(_lexr_body())
 
 
+@query("feature_lexicon_files", _d_lexicon_ratios())
+def feature_lexicon_files(spark, sf):
+    """S9 + F9: the lexicon written as two Latin-1 word lists and read back."""
+    from ..session import scratch_dir
+    from ..sources import lexicon as LEX
+    root = scratch_dir(spark, "lexicon")
+    lex = TW.lexicon(spark)
+    LEX.write_word_list(lex.filter("polarity > 0"), f"{root}/positive")
+    LEX.write_word_list(lex.filter("polarity < 0"), f"{root}/negative")
+    tw = _tw(spark, sf).select("tweet_id", TK.treebank_tokens(F.col("content")).alias("toks"))
+    r = TM.lexicon_ratios(tw, "tweet_id", "toks",
+                          LEX.read_lexicon(spark, f"{root}/positive", f"{root}/negative"))
+    return r.select("tweet_id", *[F.round(c, 9).alias(c) for c in
+                                  ["pos_voc", "neg_voc", "neu_voc", "none_voc"]])
+
+
 @query("feature_lexicon", _d_lexicon_ratios())
 def feature_lexicon(spark, sf):
     tw = _tw(spark, sf).select("tweet_id", TK.treebank_tokens(F.col("content")).alias("toks"))

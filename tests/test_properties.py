@@ -103,3 +103,18 @@ def test_macro_f1_union_of_classes(spark):
     df = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "gold int, pred int")
     r = EV.macro_scores(df).first()
     assert abs(r["macro_f1"] - 100 * (1 + 2 / 3 + 0) / 3) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["vocabulary_stats", "entity_top5", "tfidf", "upsample",
+                                  "quota_sample", "classify_nb"])
+def test_same_result_with_1_and_16_shuffle_partitions(spark, name):
+    import __spark_entry__ as E
+    q = E.queries()[name]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        a = sorted(map(tuple, q(spark, SF_SMALL).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        b = sorted(map(tuple, q(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b
