@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 MISSING = "?"
 
 
-def pair_counts(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
-    return df.groupBy(F.col(gold_col).alias("gold"), F.col(pred_col).alias("pred")) \
+def pair_counts(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
+                by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or []), F.col(gold_col).alias("gold"), F.col(pred_col).alias("pred")) \
              .agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -19,26 +20,30 @@ def _safe_div(a, b):
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def per_class(pairs: DataFrame) -> DataFrame:
+def per_class(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(class, tp, gold_n, pred_n) over the union of gold and predicted classes."""
     roles = F.explode(F.array(
         F.struct(F.col("gold").alias("cls"), F.col("n").alias("g"), F.lit(0).cast("bigint").alias("p"),
                  F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
         F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("g"), F.col("n").alias("p"),
                  F.lit(0).cast("bigint").alias("tp"))))
-    return (pairs.select(roles.alias("r"))
-            .groupBy(F.col("r.cls").alias("cls"))
+    by = by or []
+    return (pairs.select(*by, roles.alias("r"))
+            .groupBy(*by, F.col("r.cls").alias("cls"))
             .agg(F.sum("r.tp").alias("tp"), F.sum("r.g").alias("gold_n"), F.sum("r.p").alias("pred_n")))
 
 
-def macro_scores(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred") -> DataFrame:
+def macro_scores(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
+                 by: list[str] | None = None) -> DataFrame:
     """Macro precision, recall and F1 (F1 x 100) over the union of gold
-    and predicted classes; 0/0 counts as 0."""
-    pc = per_class(pair_counts(df, gold_col, pred_col))
+    and predicted classes; 0/0 counts as 0.  ``by``: evaluate several
+    (split, model, ...) groups in one aggregation."""
+    by = by or []
+    pc = per_class(pair_counts(df, gold_col, pred_col, by), by)
     p = _safe_div(F.col("tp"), F.col("pred_n"))
     r = _safe_div(F.col("tp"), F.col("gold_n"))
     f = _safe_div(2 * p * r, p + r)
-    return pc.select(p.alias("p"), r.alias("r"), f.alias("f")).agg(
+    return pc.select(*by, p.alias("p"), r.alias("r"), f.alias("f")).groupBy(*by).agg(
         F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"),
         (100 * F.avg("f")).alias("macro_f1"))
 

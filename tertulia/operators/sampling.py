@@ -120,6 +120,19 @@ def assign_split(df: DataFrame, id_col: str, three_way: bool = True,
     return inner.unionByName(edge).drop("_h", "_b")
 
 
+def hash_split(df: DataFrame, id_col: str, three_way: bool = True,
+               seed: int = SHUFFLE_SEED, out: str = "split") -> DataFrame:
+    """R1 option: split by seeded-hash threshold — no count, no shuffle,
+    sizes only approximately 70/15/15 (or 85/15)."""
+    fracs = SPLIT_3WAY if three_way else SPLIT_2WAY
+    names = ["train", "dev", "test"] if three_way else ["train", "dev"]
+    u = hash_to_int(seeded_hash(id_col, seed)) / F.lit(float(1 << 32))
+    e = F.lit(names[-1])
+    for f, name in reversed(list(zip(fracs, names))):
+        e = F.when(u < F.lit(f), F.lit(name)).otherwise(e)
+    return df.withColumn(out, e)
+
+
 def upsample(df: DataFrame, label_col: str, id_col: str,
              keep: list[str] | None = None, seed: int = SHUFFLE_SEED) -> DataFrame:
     """R2: random oversampling with replacement up to the largest class.

@@ -393,6 +393,14 @@ def split_two_way(spark, sf):
     return R.assign_split(_tw(spark, sf).select("tweet_id"), "tweet_id", three_way=False)
 
 
+@query("split_hash_threshold", with_tweets("""
+SELECT tweet_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split FROM (
+  SELECT tweet_id, ('0x' || substr(md5('1234:' || CAST(tweet_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM tweets)"""))
+def split_hash_threshold(spark, sf):
+    return R.hash_split(_tw(spark, sf).select("tweet_id"), "tweet_id")
+
+
 @query("upsample", with_tweets("""
 SELECT tweet_id, sentiment, CAST(0 AS BIGINT) AS draw FROM tweets
 UNION ALL
