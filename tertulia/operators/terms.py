@@ -49,24 +49,28 @@ def lexicon_flags(lexicon: DataFrame) -> DataFrame:
         F.max(F.col("polarity") < 0).alias("is_neg"))
 
 
-def lexicon_ratios(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame) -> DataFrame:
+def lexicon_ratios(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame,
+                   carry: list[str] | None = None) -> DataFrame:
     """pos/neg/neu/none ratios per row.
 
     p, n = distinct positive / negative lexicon words present, len = token
-    count with duplicates.  Distinct tokens are exploded and matched with a
+    count with duplicates.  ``carry``: per-row columns kept through the
+    aggregation (functionally dependent on the id), so callers need no join
+    back.  Distinct tokens are exploded and matched with a
     broadcast (size-checked) lexicon; per-row counts are reassembled by a
     group-by on the row id whose partial aggregate already collapses each
     row's tokens map-side.  Empty token lists give null ratios.
     """
+    carry = list(carry or [])
     lex = broadcast_if_small(lexicon_flags(lexicon))
-    x = df.select(id_col, F.size(tokens_col).alias("_len"),
+    x = df.select(id_col, *carry, F.size(tokens_col).alias("_len"),
                   F.explode_outer(F.array_distinct(tokens_col)).alias("word"))
     agg = (x.join(lex, "word", "left")
-           .groupBy(id_col, "_len")
+           .groupBy(id_col, *carry, "_len")
            .agg(F.count_if(F.col("is_pos")).alias("_p"), F.count_if(F.col("is_neg")).alias("_n")))
     p, n, L = F.col("_p"), F.col("_n"), F.nullif(F.col("_len"), F.lit(0))
     return agg.select(
-        id_col,
+        id_col, *carry,
         (p / L).alias("pos_voc"),
         (n / L).alias("neg_voc"),
         F.when(p + n == 0, F.lit(0.0)).otherwise(1 - F.abs(p - n) / (p + n)).alias("neu_voc"),

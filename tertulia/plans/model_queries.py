@@ -139,8 +139,8 @@ def feature_table(spark, sf):
     base = tw.select("tweet_id", "split", "sentiment",
                      TK.treebank_tokens(F.col("content")).alias("toks"),
                      *FE.feature_columns(F.col("content")))
-    lex = TM.lexicon_ratios(base, "tweet_id", "toks", TW.lexicon(spark))
-    return base.drop("toks").join(lex, "tweet_id")
+    carry = [c for c in base.columns if c not in ("tweet_id", "toks")]
+    return TM.lexicon_ratios(base, "tweet_id", "toks", TW.lexicon(spark), carry=carry)
 
 
 def _classify(spark, sf, kind):

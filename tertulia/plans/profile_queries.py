@@ -418,10 +418,11 @@ def flagship_class_profile(spark, sf):
                      F.size(TK.word_tokens(clean)).alias("n_tokens"),
                      TK.treebank_tokens(F.col("content")).alias("toks"),
                      *FE.feature_columns(F.col("content"), FE.FeatureFlags(repetition=False)))
-    lex = TM.lexicon_ratios(base, "tweet_id", "toks", TW.lexicon(spark))
-    lex = lex.select("tweet_id", F.round("pos_voc", 9).alias("pos_voc"),
-                     F.round("neg_voc", 9).alias("neg_voc"))
-    j = base.join(lex, "tweet_id")
+    carry = ["sentiment", "n_tokens", "tweet_length", "has_uppercase", "hashtag_number",
+             "laughter_feature"]
+    lex = TM.lexicon_ratios(base, "tweet_id", "toks", TW.lexicon(spark), carry=carry)
+    j = lex.select(*carry, F.round("pos_voc", 9).alias("pos_voc"),
+                   F.round("neg_voc", 9).alias("neg_voc"))
     return j.groupBy("sentiment").agg(
         F.count(F.lit(1)).alias("n_tweets"),
         F.round(F.avg("n_tokens"), R6).alias("avg_tokens"),

@@ -341,9 +341,12 @@ SPELL_MIN_DF = 3   # a term seen in >= 3 documents counts as a known word
 
 
 def _spell_inputs(spark, sf):
+    from ..session import cut_lineage
     toks = _tw(spark, sf).select("tweet_id", TK.word_tokens(F.lower("content")).alias("t"))
     terms = TM.doc_terms(toks, "tweet_id", "t")
-    stats = TM.vocabulary_stats(terms, "tweet_id")
+    # One pass over the text: the (much smaller) term table is checkpointed
+    # and both the vocabulary and the dictionary are read from it.
+    stats = cut_lineage(TM.vocabulary_stats(terms, "tweet_id"))
     dictionary = stats.filter(F.col("doc_freq") >= SPELL_MIN_DF).select(
         "term", F.col("doc_freq").alias("freq"))
     return stats.select("term"), dictionary
