@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
+
 SHUFFLE_SEED = 1234
 SPLIT_3WAY = (0.7, 0.85)   # train | dev | test cut fractions
 SPLIT_2WAY = (0.85,)       # train | dev
@@ -58,8 +60,10 @@ def dense_index(df: DataFrame, hash_col: str, by: list[str] | None = None,
     w = (Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*by, "_b", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    if 16 ** L <= MAX_BROADCAST_BUCKETS:
-        offs = F.broadcast(offs)   # at most 16^L rows per group value
+    if not by and 16 ** L <= MAX_BROADCAST_BUCKETS:
+        offs = F.broadcast(offs)   # at most 16^L rows: proven bound
+    elif by:
+        offs = broadcast_if_small(offs)   # 16^L rows per group: check the size
     x = x.join(offs, [*by, "_b"])
     rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(hash_col))
     return x.withColumn(out, F.col("_off") + rank - 1).drop("_b", "_off")
