@@ -96,10 +96,10 @@ def argmax_label(spark, sf):
 # M9 / K3: external batch scoring and the prediction table
 # ---------------------------------------------------------------------------
 D_EXT = """SELECT tweet_id, CAST(length(content) % 4 AS VARCHAR) AS predicted,
-  CASE WHEN length(content) % 4 = 0 THEN 0.7 ELSE 0.1 END AS p_0,
-  CASE WHEN length(content) % 4 = 1 THEN 0.7 ELSE 0.1 END AS p_1,
-  CASE WHEN length(content) % 4 = 2 THEN 0.7 ELSE 0.1 END AS p_2,
-  CASE WHEN length(content) % 4 = 3 THEN 0.7 ELSE 0.1 END AS p_3 FROM tweets"""
+  CAST(CASE WHEN length(content) % 4 = 0 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS p_0,
+  CAST(CASE WHEN length(content) % 4 = 1 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS p_1,
+  CAST(CASE WHEN length(content) % 4 = 2 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS p_2,
+  CAST(CASE WHEN length(content) % 4 = 3 THEN 0.7 ELSE 0.1 END AS DOUBLE) AS p_3 FROM tweets"""
 
 
 def _external(spark, sf):

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
-from ..functions import features as FE
-from ..functions import labels as LB
 from ..functions import tokens as TK
 from ..functions.emoji import emoji_aliases
 from ..functions.generators import posexplode_rows

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.labels import date_parts, encode_fixed
 
