@@ -70,6 +70,9 @@ def label_from_prefix(label: Column) -> Column:
 
 
 TWEET_DATE_FORMAT = "EEE MMM dd HH:mm:ss Z yyyy"
+# Rendering of a UTC wall-clock (TIMESTAMP_NTZ) value: the offset is written
+# literally so the text never depends on the session time zone.
+TWEET_DATE_FORMAT_UTC = "EEE MMM dd HH:mm:ss '+0000' yyyy"
 
 
 def date_parts(date_text: Column) -> list[Column]:

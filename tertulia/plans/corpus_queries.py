@@ -148,12 +148,12 @@ def union_corpora_dedupe(spark, sf):
 # ---------------------------------------------------------------------------
 # XML corpora
 # ---------------------------------------------------------------------------
-EPOCH_2019 = 1546300800
 
 
 def _date_text():
-    ts = F.timestamp_seconds(F.lit(EPOCH_2019) + F.col("tweet_id") * 2222)
-    return F.date_format(ts, LB.TWEET_DATE_FORMAT)
+    """A UTC wall-clock date per tweet, independent of the session zone."""
+    ts = F.expr("TIMESTAMP_NTZ '2019-01-01 00:00:00' + make_dt_interval(0, 0, 0, tweet_id * 2222)")
+    return F.date_format(ts, LB.TWEET_DATE_FORMAT_UTC)
 
 
 D_DATE = "strftime(TIMESTAMP '2019-01-01 00:00:00' + to_seconds(tweet_id * 2222), '%a %b %d %H:%M:%S +0000 %Y')"

@@ -388,7 +388,7 @@ SELECT event_id, substr(d, 1, 3) AS day_of_week, substr(d, 5, 3) AS month, subst
 FROM (SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS d FROM events)""")
 def date_parts(spark, sf):
     ev = TW.read_table(spark, sf, "events")
-    d = F.date_format("ts", LB.TWEET_DATE_FORMAT)
+    d = F.date_format(F.col("ts").cast("timestamp_ntz"), LB.TWEET_DATE_FORMAT_UTC)
     return ev.select("event_id", *LB.date_parts(d))
 
 
