@@ -444,9 +444,9 @@ D_MAIN_TOKENS = d_words(f"lower({d_c2(d_c1('content'))})")
 
 def _main_terms(spark, sf):
     tw = _tws(spark, sf)
-    toks = tw.select("tweet_id", "split",
+    toks = tw.select("tweet_id", "split", "sentiment",
                      TK.word_tokens(C.clean_text(F.col("content"), C.MAIN)).alias("t"))
-    return tw, TM.doc_terms(toks, "tweet_id", "t", carry=["split"])
+    return tw, TM.doc_terms(toks, "tweet_id", "t", carry=["split", "sentiment"])
 
 
 D_DOC_TERMS = f"""doc_terms AS (
