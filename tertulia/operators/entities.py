@@ -89,11 +89,12 @@ def extract_abbreviations(df: DataFrame, id_col: str, text_col: str) -> DataFram
             .select(id_col, "e.kind", "e.value"))
 
 
-def entity_counts(entities: DataFrame) -> DataFrame:
-    """Occurrences and distinct values per kind (exact)."""
+def entity_counts(entities: DataFrame, approximate: bool = False) -> DataFrame:
+    """Occurrences and distinct values per kind (exact by default;
+    ``approximate=True`` uses a HyperLogLog++ sketch)."""
+    distinct = F.approx_count_distinct("value") if approximate else F.countDistinct("value")
     return entities.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.countDistinct("value").alias("distinct_values"))
+        F.count(F.lit(1)).alias("occurrences"), distinct.alias("distinct_values"))
 
 
 def entity_top(entities: DataFrame, k: int = 5) -> DataFrame:

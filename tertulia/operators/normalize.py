@@ -29,6 +29,14 @@ def normalize_terms(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
                     F.coalesce("canonical", "term").alias("term")))
 
 
+def drop_terms(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """T4 for large word lists: (id, pos, term) minus terms listed in
+    ``words`` (column ``word``) — an anti-join, broadcast behind a size
+    check; positions of the kept tokens are unchanged."""
+    w = broadcast_if_small(words.select(F.col("word").alias("term")).distinct())
+    return tokens.join(w, "term", "left_anti").select(*tokens.columns)
+
+
 def reassemble(tokens: DataFrame, id_col: str, out: str = "tokens") -> DataFrame:
     """(id, pos, term) -> (id, array of terms in position order)."""
     return tokens.groupBy(id_col).agg(

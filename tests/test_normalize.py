@@ -44,3 +44,18 @@ def test_deletion_keys(spark):
     df = spark.createDataFrame([("abc",), ("aab",)], "term string")
     keys = [set(r[0]) for r in df.select(NZ.deletion_keys()).collect()]
     assert keys == [{"abc", "bc", "ac", "ab"}, {"aab", "ab", "aa"}]
+
+
+def test_drop_terms_keeps_positions(spark):
+    toks = spark.createDataFrame([(1, ["el", "perro", "de", "la", "casa"])], "id long, t array<string>")
+    words = spark.createDataFrame([("de",), ("la",), ("el",)], "word string")
+    out = sorted((r.pos, r.term) for r in NZ.drop_terms(NZ.explode_tokens(toks, "id", "t"), words).collect())
+    assert out == [(1, "perro"), (4, "casa")]
+
+
+def test_entity_counts_approximate_close(spark):
+    from tertulia.operators import entities as X
+    ents = spark.createDataFrame([(i, "number", str(i % 50)) for i in range(500)], "id long, kind string, value string")
+    exact = X.entity_counts(ents).first()
+    approx = X.entity_counts(ents, approximate=True).first()
+    assert exact.distinct_values == 50 and abs(approx.distinct_values - 50) <= 3
