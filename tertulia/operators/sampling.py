@@ -200,8 +200,8 @@ def quota_sample(df: DataFrame, quotas: DataFrame, label_col: str, order_col: st
     qmax = quotas.agg(F.max(quota_col)).first()[0] or 0
     w = Window.partitionBy(label_col).orderBy(order_col)
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(qmax)))
-    q = F.broadcast(quotas.select(F.col(locale_col), F.col("label").alias("_ql"),
-                                  F.col(quota_col).alias("_q")))
+    q = broadcast_if_small(quotas.select(F.col(locale_col), F.col("label").alias("_ql"),
+                                         F.col(quota_col).alias("_q")))
     out = ranked.join(q, (F.col(label_col) == F.col("_ql")) & (F.col("_rn") <= F.col("_q")))
     return out.drop("_ql", "_q")
 
