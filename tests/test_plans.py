@@ -45,3 +45,18 @@ def test_top_k_vocabulary_is_take_ordered(spark):
     df.collect()
     p = plan(df)
     assert "TakeOrderedAndProject" in p or "TopK" in p or "Limit" in p
+
+
+def test_spread_adds_no_shuffle_for_well_split_input(spark, tmp_path):
+    """At scale the input has many splits: no repartition is added; the
+    single-row-group test file does get spread."""
+    from tertulia.plans import tweets as TW
+    small = TW.spread(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), "doc_id")
+    assert "REPARTITION_BY_NUM" in plan(small)
+    many = str(tmp_path / "docs")
+    slots = spark.sparkContext.defaultParallelism
+    spark.read.parquet(f"{SF_SMALL}/documents.parquet").repartition(slots * 2) \
+        .write.parquet(many)
+    big = TW.spread(spark.read.option("maxPartitionBytes", "1k").parquet(many), "doc_id")
+    assert big.rdd.getNumPartitions() >= slots
+    assert "REPARTITION_BY_NUM" not in plan(big)
