@@ -118,3 +118,17 @@ def test_same_result_with_1_and_16_shuffle_partitions(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_split_matches_global_ranking_with_many_buckets(spark):
+    """2M ids -> two-character hash buckets; the boundary-bucket ranking
+    must equal a plain global ranking by the seeded hash."""
+    from pyspark.sql import Window
+    n = 2_000_000
+    ids = spark.range(n).withColumnRenamed("id", "tweet_id")
+    assert R.prefix_length(n) == 2
+    got = R.assign_split(ids, "tweet_id")
+    ref = ids.withColumn("_r", F.row_number().over(Window.orderBy(R.seeded_hash("tweet_id"))) - 1)
+    ref = ref.select("tweet_id", F.when(F.col("_r") < int(0.7 * n), "train")
+                     .when(F.col("_r") < int(0.85 * n), "dev").otherwise("test").alias("split"))
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
