@@ -11,15 +11,13 @@
 from __future__ import annotations
 
 import functools
-import glob
-import os
 import unicodedata
-import zipfile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .regex import SPACE, WORD
+from .stopwords_es import spanish_stopwords
 
 # ---------------------------------------------------------------------------
 # Treebank-style tokenisation.  (pattern, Java replacement) pairs applied in
@@ -130,30 +128,17 @@ def strip_accents_tokens(tokens: Column) -> Column:
     return F.transform(tokens, strip_accents)
 
 
-@functools.lru_cache(maxsize=None)
-def stopwords(language: str = "spanish") -> tuple[str, ...]:
-    """Spark ML's default stop-word list for ``language`` (read from the
-    Spark ML jar, so no JVM is needed and no list is copied)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    seen, out = set(), []
-    for w in text.splitlines():
-        w = w.strip()
-        if w and w not in seen:
-            seen.add(w)
-            out.append(w)
-    return tuple(out)
+def stopwords() -> tuple[str, ...]:
+    """The Spanish stop words (functions/stopwords_es.py)."""
+    return spanish_stopwords()
 
 
 def remove_stopwords(tokens: Column, words: tuple[str, ...] | None = None) -> Column:
     """T4: drop tokens that are stop words (case-sensitive), order and
-    duplicates of the remaining tokens kept."""
+    duplicates of the remaining tokens kept.  ``isin`` tests a hash set of
+    literals."""
     words = stopwords() if words is None else words
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.filter(tokens, lambda t: ~F.array_contains(arr, t))
+    return F.filter(tokens, lambda t: ~t.isin(*words))
 
 
 def word_bigrams(tokens: Column) -> Column:
