@@ -4,8 +4,8 @@ cluster."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,20 +40,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator of the cluster sets it (a shared, durable
-    folder); we only pick our own when it is unset, which happens in local
-    tests.
+    On a cluster the setting must name a folder that all executors share; a
+    machine-local folder is picked only on a local master (tests, bench).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = sc.getCheckpointDir()
-    if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tertulia-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - some sessions refuse runtime conf
-            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -70,11 +65,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    base = base[len("file:"):] if base.startswith("file:") else base
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """Path of a new folder under the shared checkpoint folder; Spark's
+    writers create it through the file system the path names."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
