@@ -1,8 +1,9 @@
 """Query registry: name -> (Spark builder, optional DuckDB oracle SQL).
 
 Each builder takes (spark, sf_dir) and returns a DataFrame over the driver
-tables (or data Spark derives from them).  The oracle SQL is an independent
-ANSI/DuckDB statement over the same tables; rows-only queries (regex
+tables (or data Spark derives from them).  The oracle SQL is a DuckDB
+statement over the same tables; some of it shares word lists and rule tables
+with the implementation, whose expected values the golden tests write out; rows-only queries (regex
 look-around or back-references, seeded ML fits) register no SQL.
 """
 
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Builder] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register a query; ``sql`` may be a function that makes the SQL when it
+    is asked for."""
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -29,6 +32,10 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def oracle_table() -> dict[str, str]:
+    return {k: v() if callable(v) else v for k, v in ORACLE.items()}
+
+
 # ---------------------------------------------------------------------------
 # Shared SQL fragments (DuckDB dialect)
 # ---------------------------------------------------------------------------

@@ -311,7 +311,7 @@ def _d_stop_list():
     return "[" + ", ".join(sql_str(w) for w in TK.stopwords()) + "]"
 
 
-@query("remove_stopwords", d_long_tokens(
+@query("remove_stopwords", lambda: d_long_tokens(
     f"list_filter({d_words('lower(content)')}, lambda t: NOT list_contains({_d_stop_list()}, t))"))
 def remove_stopwords(spark, sf):
     return _long_tokens(_tw(spark, sf),
