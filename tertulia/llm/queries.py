@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from . import pii
 from . import secrets as SEC
+from . import toxicity as TOX
 from .common import spans_text, table
+from .decontaminate import contaminated
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .warc import round_trip, sha1_base32
@@ -35,6 +37,11 @@ def op8_warc(spark, sf_dir):
         "record_type", "refers_to")
 
 
+def op9_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op10_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs)
@@ -44,6 +51,14 @@ def op10_pii(spark, sf_dir):
                         pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = TOX.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return TOX.score(docs, model).select(
+        "doc_id", TOX.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_secrets(spark, sf_dir):
     found = SEC.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"].isin(*SEC.BASE_KINDS))
@@ -53,6 +68,13 @@ def op7_secrets(spark, sf_dir):
                         spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_mixing": op4_mixing, "op7_secrets": op7_secrets,
-           "op8_warc": op8_warc, "op10_pii": op10_pii}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
+    "op7_secrets": op7_secrets,
+    "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
+}
 ORACLE = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL}
