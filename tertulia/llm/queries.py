@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from . import pii
 from . import secrets as SEC
 from . import toxicity as TOX
+from .ann import nearest
 from .common import spans_text, table
 from .decontaminate import contaminated
+from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .warc import round_trip, sha1_base32
@@ -20,6 +22,11 @@ def op1_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op3_html(spark, sf_dir):
+    text = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -59,6 +66,10 @@ def op5_toxicity(spark, sf_dir):
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op6_ann(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_secrets(spark, sf_dir):
     found = SEC.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"].isin(*SEC.BASE_KINDS))
@@ -70,8 +81,10 @@ def op7_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
