@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ngram_join import near_components
 from .warc import round_trip, sha1_base32
 from .sql import LINE_DEDUP_SQL, MIXING_SQL
 
@@ -22,6 +23,10 @@ def op1_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_ngram_join(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_html(spark, sf_dir):
     text = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -81,6 +86,7 @@ def op7_secrets(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
