@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut
 from .components import components
@@ -140,8 +141,9 @@ def shingled(docs: DataFrame, frequent) -> DataFrame:
 def token_groups(sets: DataFrame) -> DataFrame:
     """(token, node): nodes by the rare tokens they share, groups of equal members once."""
     pairs = sets.select("node", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
-    shared = pairs.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("token")
-    p = cut(pairs.join(shared, "token").distinct())
+    same = W.partitionBy("token")  # one shuffle of the pairs, where a join with the shared tokens would take two
+    p = cut(pairs.select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("shared"))
+            .filter("shared").select("token", "node").distinct())
     members = p.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                      F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
     once = members.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
@@ -276,19 +278,19 @@ def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return a[i[ok]], b[j[ok]]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    x = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
+    whole = whole_sets(docs, sets, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    x = whole.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
+    y = whole.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
     a, b = SIMILARITY
     both = F.size(F.array_intersect("x", "y"))
     return (pairs.join(x, "u").join(y, "v")
             .filter(both * (a + b) >= (F.size("x") + F.size("y")) * a).select("u", "v"))
 
 
-def whole_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, tokens): the sets of the nodes in ``groups``, from one text each."""
-    nodes = groups.select("node").distinct()
+def whole_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, tokens): the sets of ``nodes``, from one text each."""
     ids = cut(sets.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
               .join(nodes, "node").select("doc_id").distinct())
     few = ids.count() <= NODE_ROWS
@@ -317,7 +319,6 @@ def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     info = groups.select("node").distinct().join(
         sets.filter(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "node")
     info = cut(info)
-    whole = whole_sets(docs, sets, groups)
     parts = cut(groups.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("pivot"))
                 .select("token", "m", "pivot", F.ceil(F.col("m") / PART).cast("long").alias("k")))
     rows = groups.join(parts, "token").select(
@@ -325,7 +326,8 @@ def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = parts.filter("k > 1").select(
         "token", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
     first = rows.unionAll(pivots).distinct().join(info, "node")
-    links = cut(verified(_by_group(first, ["token", "i"], _partners), whole))
+    tried = cut(_by_group(first, ["token", "i"], _partners))
+    links = cut(verified(tried, docs, sets))
 
     label = components(links)
     named = rows.join(label, "node", "left").select("*", F.coalesce("label", "node").alias("_l")).drop("label")
@@ -338,8 +340,8 @@ def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     met = met.select("token", "node", "label", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
                      (F.col("p") > F.col("o")).cast("int").alias("side"))
-    more = _by_group(met.join(info, "node"), ["token", "i", "j"], _across)
-    return links.unionAll(verified(more, whole))
+    more = cut(_by_group(met.join(info, "node"), ["token", "i", "j"], _across).join(tried, ["u", "v"], "left_anti"))
+    return links.unionAll(verified(more, docs, sets))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
