@@ -14,7 +14,7 @@ is ``SIMILARITY`` or more.  The result is exact: each document's component.
    the OR of the bitmaps below and their range of sizes.  A dual traversal
    drops the pairs of tree nodes that cannot hold enough common tokens
    (bits in common and tokens that share a bit, against the least size sum).
-5. First the traversal gives each node its most promising partner in its group
+5. First the traversal gives each node its most promising partner of any group
    (all parts of a group get one node in common), enough to join near copies
    without pairing them all.  The links that hold are joined to components.
    Then it runs again in the groups whose nodes are in several components, part
@@ -41,8 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, stored
 from .components import components
 from .shingles import shingle_sets
 
@@ -111,43 +112,53 @@ def rarest(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return s[np.argsort(key, kind="stable")[:n + (-n * a // b) + 1]]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(20)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+def bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
+    flags = np.zeros(bits, np.uint8)
+    flags[(s >> np.uint64(20)) & np.uint64(bits - 1)] = 1
+    return np.packbits(flags).tobytes()
 
 
-def shingled(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, node, n, tokens, bits) of each row; null node without shingles."""
+def shingled(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, bits) of each row; null node and bits without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, sets in _texts(b):
-                tokens, bits = [], []
-                for s in sets:
-                    tokens.append(rarest(s, frequent).view(np.int64) if len(s) else np.empty(0, np.int64))
-                    bits.append(bitmap(s).tobytes() if len(s) else None)
-                offsets = np.cumsum([0, *map(len, tokens)])
                 yield pa.record_batch(
                     [b["doc_id"].slice(at, len(sets)),
                      pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens))),
-                     pa.array(bits, pa.binary())], ["doc_id", "node", "n", "tokens", "bits"])
+                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "node", "n", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node long, n long, tokens array<long>, bits binary")
+        run, "doc_id long, node long, n long, bits binary")
+
+
+def rare_pairs(docs: DataFrame, frequent) -> DataFrame:
+    """(token, node): the rarest tokens of every document's set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, sets in _texts(b):
+                rare = [(rarest(s, frequent), _node(s)) for s in sets if len(s)]
+                if rare:
+                    yield pa.record_batch(
+                        [pa.array(np.concatenate([t for t, _ in rare]).view(np.int64)),
+                         pa.array(np.repeat(np.array([n for _, n in rare], np.int64), [len(t) for t, _ in rare]))],
+                        ["token", "node"])
 
+    return docs.select("text").mapInArrow(run, "token long, node long")
 
-def token_groups(sets: DataFrame) -> DataFrame:
+
+def token_groups(docs: DataFrame) -> DataFrame:
     """(token, node): nodes by the rare tokens they share, groups of equal members once."""
-    pairs = sets.select("node", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
     same = W.partitionBy("token")  # one shuffle of the pairs, where a join with the shared tokens would take two
-    p = cut(pairs.select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("shared"))
-            .filter("shared").select("token", "node").distinct())
+    p = stored(rare_pairs(docs, frequent_tokens(docs))
+               .select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("shared"))
+               .filter("shared").select("token", "node").distinct(), "ngram-pairs")
     members = p.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                      F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
     once = members.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    return cut(p.join(once, "token"))
+    return stored(p.join(once, "token"), "ngram-groups")
 
 
 class Tree:
@@ -229,26 +240,25 @@ def _leaves(group: pa.Table) -> tuple[np.ndarray, Tree, np.ndarray]:
 
 
 def _by_group(rows: DataFrame, keys: list[str], pairs: Callable) -> DataFrame:
-    """Distinct (u, v) that ``pairs`` gives for the groups of ``rows``."""
+    """(u, v, share) that ``pairs`` gives for the groups of ``rows``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
+        held, size = [], 0
         for group in _groups(batches, keys):
-            u, v = pairs(group)
-            if len(u):
-                us.append(np.minimum(u, v))
-                vs.append(np.maximum(u, v))
-                held += len(u)
-            if held > 200_000:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                us, vs, held = [], [], 0
+            u, v, share = pairs(group)
+            other = u != v
+            if other.any():
+                held.append((u[other], v[other], share[other]))
+                size += len(u)
+            if size > 200_000:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "share"])
+                held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "share"])
 
-    return (rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
-            .filter("u != v").distinct())
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, share double")
 
 
-def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each node and the partner before it with which it may overlap most."""
     node, tree, _ = _leaves(group)
     i, j, top = traverse(tree, None)
@@ -257,10 +267,10 @@ def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((i, -share, j))
     first = np.ones(len(order), bool)
     first[1:] = j[order][1:] != j[order][:-1]
-    return node[i[order][first]], node[j[order][first]]
+    return node[i[order][first]], node[j[order][first]], share[order][first]
 
 
-def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs that may link of nodes in different components."""
     side = group["side"].to_numpy()
     if group["i"][0].as_py() == group["j"][0].as_py():
@@ -268,29 +278,21 @@ def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         label = group["label"].to_numpy()[order]
         i, j, _ = traverse(tree, None)
         ok = label[i] != label[j]
-        return node[i[ok]], node[j[ok]]
-    one, two = (group.filter(pa.array(side == s)) for s in (0, 1))
-    if not len(one) or not len(two):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    (a, x, p), (b, y, q) = _leaves(one), _leaves(two)
-    i, j, _ = traverse(x, y)
-    ok = one["label"].to_numpy()[p][i] != two["label"].to_numpy()[q][j]
-    return a[i[ok]], b[j[ok]]
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    whole = whole_sets(docs, sets, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    x = whole.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
-    y = whole.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
-    a, b = SIMILARITY
-    both = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(x, "u").join(y, "v")
-            .filter(both * (a + b) >= (F.size("x") + F.size("y")) * a).select("u", "v"))
-
-
-def whole_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens): the sets of ``nodes``, from one text each."""
+        u, v = node[i[ok]], node[j[ok]]
+    elif side.min() == side.max():
+        u = v = np.empty(0, np.int64)
+    else:
+        one, two = (group.filter(pa.array(side == s)) for s in (0, 1))
+        (a, x, p), (b, y, q) = _leaves(one), _leaves(two)
+        i, j, _ = traverse(x, y)
+        ok = one["label"].to_numpy()[p][i] != two["label"].to_numpy()[q][j]
+        u, v = a[i[ok]], b[j[ok]]
+    return np.minimum(u, v), np.maximum(u, v), np.zeros(len(u))
+
+
+def _of_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
+    """(node, ``column``) for ``nodes``: what ``make`` gives for the sets, from
+    one text each.  A text whose id stands in several rows may come twice."""
     ids = cut(sets.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
               .join(nodes, "node").select("doc_id").distinct())
     few = ids.count() <= NODE_ROWS
@@ -300,25 +302,62 @@ def whole_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, sets in _texts(b):
+            for _, sets in _texts(b, 200):
                 sets = [s for s in sets if len(s)]
                 if sets:
-                    offsets = np.cumsum([0, *map(len, sets)])
-                    yield pa.record_batch(
-                        [pa.array([_node(s) for s in sets], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                                  pa.array(np.concatenate(sets).view(np.int64)))], ["node", "tokens"])
+                    yield pa.record_batch([pa.array([_node(s) for s in sets], pa.int64()), make(sets)],
+                                          ["node", column])
+
+    return t.mapInArrow(run, f"node long, {column} {kind}")
+
+
+def _wide(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([bitmap(s, 1 << (8 * len(s)).bit_length()) for s in sets], pa.binary())
+
+
+def _whole(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
 
-    return cut(t.mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi")
-               .dropDuplicates(["node"]))
+
+@F.arrow_udf(T.BooleanType())
+def may_link(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
+    """Whether sets of n and m tokens may link by their wide bitmaps (the wider is folded)."""
+    a, b = SIMILARITY
+    out = []
+    for p, n_p, q, n_q in zip(x.to_pylist(), n.to_pylist(), y.to_pylist(), m.to_pylist()):
+        p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+        width = min(len(p), len(q))
+        p, q = (np.bitwise_or.reduce(z.reshape(-1, width), 0) for z in (p, q))
+        spare = min(n_p - int(np.bitwise_count(p).sum()), n_q - int(np.bitwise_count(q).sum()))
+        out.append((int(np.bitwise_count(p & q).sum()) + spare) * (a + b) >= a * (n_p + n_q))
+    return pa.array(out, pa.bool_())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) whose whole sets are similar enough: wide bitmaps, a byte for
+    each token, rule most of the others out before whole sets are moved."""
+    def both(p: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
+        nodes = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        d = _of_nodes(docs, sets, nodes, column, make, kind)
+        return (p.join(d.select(F.col("node").alias("u"), F.col(column).alias("x")), "u")
+                .join(d.select(F.col("node").alias("v"), F.col(column).alias("y")), "v"))
+
+    size = sets.filter(F.col("node").isNotNull()).select("node", "n").distinct()
+    p = (pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("n")), "u")
+         .join(size.select(F.col("node").alias("v"), F.col("n").alias("m")), "v"))
+    p = cut(both(p, "wide", _wide, "binary").filter(may_link("x", "n", "y", "m")).select("u", "v", "n", "m").distinct())
+    a, b = SIMILARITY
+    return (both(p, "tokens", _whole, "array<long>")
+            .filter(F.size(F.array_intersect("x", "y")) * (a + b) >= (F.col("n") + F.col("m")) * a)
+            .select("u", "v").distinct())
 
 
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): enough of the links between nodes to give their components."""
-    groups = token_groups(sets)
-    info = groups.select("node").distinct().join(
-        sets.filter(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"]), "node")
-    info = cut(info)
+    groups = token_groups(docs)
+    info = sets.filter(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"])
+    info = stored(info.join(groups.select("node").distinct(), "node", "left_semi"), "ngram-bits")
     parts = cut(groups.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("pivot"))
                 .select("token", "m", "pivot", F.ceil(F.col("m") / PART).cast("long").alias("k")))
     rows = groups.join(parts, "token").select(
@@ -326,27 +365,29 @@ def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     pivots = parts.filter("k > 1").select(
         "token", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
     first = rows.unionAll(pivots).distinct().join(info, "node")
-    tried = cut(_by_group(first, ["token", "i"], _partners))
+    tried = cut(_by_group(first, ["token", "i"], _partners).groupBy("v").agg(F.max(F.struct("share", "u")).alias("x"))
+                .select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct())
     links = cut(verified(tried, docs, sets))
 
     label = components(links)
-    named = rows.join(label, "node", "left").select("*", F.coalesce("label", "node").alias("_l")).drop("label")
-    named = named.withColumnRenamed("_l", "label")
+    named = (rows.join(label, "node", "left")
+             .select("token", "node", "i", F.coalesce("label", "node").alias("label")))
     split = (named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-             .filter("a != b").select("token").join(parts.filter("m > 2").select("token", "k"), "token"))
+             .filter("a != b").select("token").join(parts.select("token", "k"), "token"))
     left = named.join(split, "token")
     # Part i meets every part j: as the first side where i <= j, as the second where i > j.
     met = left.select("token", "node", "label", F.col("i").alias("p"),
                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     met = met.select("token", "node", "label", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
                      (F.col("p") > F.col("o")).cast("int").alias("side"))
-    more = cut(_by_group(met.join(info, "node"), ["token", "i", "j"], _across).join(tried, ["u", "v"], "left_anti"))
+    more = cut(_by_group(met.join(info, "node"), ["token", "i", "j"], _across).select("u", "v").distinct()
+               .join(tried, ["u", "v"], "left_anti"))
     return links.unionAll(verified(more, docs, sets))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    sets = cut(shingled(docs, frequent_tokens(docs)))
+    sets = stored(shingled(docs), "ngram-sets")
     label = components(cut(near_links(docs, sets)))
     ids = (sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
            .join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
