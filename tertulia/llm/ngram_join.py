@@ -14,11 +14,12 @@ is ``SIMILARITY`` or more.  The result is exact: each document's component.
    the OR of the bitmaps below and their range of sizes.  A dual traversal
    drops the pairs of tree nodes that cannot hold enough common tokens
    (bits in common and tokens that share a bit, against the least size sum).
-5. First the traversal gives each node its most promising partner of any group
-   (all parts of a group get one node in common), enough to join near copies
-   without pairing them all.  The links that hold are joined to components.
-   Then it runs again in the groups whose nodes are in several components, part
-   against part, and gives all remaining pairs across them.  Candidates are
+5. In the first ``ROUNDS`` rounds the traversal gives each node its most
+   promising partner outside its component (all parts of a group get one node
+   in common), enough to join near copies without pairing them all; the links
+   that hold are joined to components.  Then it runs once more in the groups
+   whose nodes are in several components, part against part, and gives all
+   remaining pairs across them that share enough rare tokens.  Candidates are
    always verified on the whole sets.
 
 What is shuffled: (token, node) pairs, the bitmaps of nodes that share a rare
@@ -51,6 +52,7 @@ SIMILARITY = (3, 4)  # 0.75
 BITS = 1024
 LONGS = BITS // 64
 PART = 1024
+ROUNDS = 2
 FANOUT = 16
 FREQUENT_BATCH = 2_000_000
 FREQUENT_TIMES = 8
@@ -150,14 +152,16 @@ def rare_pairs(docs: DataFrame, frequent) -> DataFrame:
 
 
 def token_groups(docs: DataFrame) -> DataFrame:
-    """(token, node): nodes by the rare tokens they share, groups of equal members once."""
+    """(token, node, weight, k): nodes by the rare tokens they share; groups of
+    equal members stand once, with the number of their tokens.  k: parts."""
     same = W.partitionBy("token")  # one shuffle of the pairs, where a join with the shared tokens would take two
     p = stored(rare_pairs(docs, frequent_tokens(docs))
                .select("*", (F.min("node").over(same) != F.max("node").over(same)).alias("shared"))
                .filter("shared").select("token", "node").distinct(), "ngram-pairs")
     members = p.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                      F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
-    once = members.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
+    once = (members.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+            .select("token", "weight", F.ceil(F.col("m") / PART).cast("long").alias("k")))
     return stored(p.join(once, "token"), "ngram-groups")
 
 
@@ -240,34 +244,38 @@ def _leaves(group: pa.Table) -> tuple[np.ndarray, Tree, np.ndarray]:
 
 
 def _by_group(rows: DataFrame, keys: list[str], pairs: Callable) -> DataFrame:
-    """(u, v, share) that ``pairs`` gives for the groups of ``rows``."""
+    """(u, v, x) that ``pairs`` gives for the groups of ``rows``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for group in _groups(batches, keys):
-            u, v, share = pairs(group)
-            other = u != v
-            if other.any():
-                held.append((u[other], v[other], share[other]))
-                size += len(u)
+            found = pairs(group)
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
             if size > 200_000:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "share"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "x"])
                 held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "share"])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "x"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, share double")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, x double")
 
 
 def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each node and the partner before it with which it may overlap most."""
-    node, tree, _ = _leaves(group)
+    """Each node v and the node u of another component with which it may overlap most."""
+    node, tree, order = _leaves(group)
+    label = group["label"].to_numpy()[order]
     i, j, top = traverse(tree, None)
+    ok = label[i] != label[j]
+    i, j, top = i[ok], j[ok], top[ok]
     n = tree.levels[0][1]
-    share = top / (n[i] + n[j])
+    share = np.tile(top / (n[i] + n[j]), 2)
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
     order = np.lexsort((i, -share, j))
     first = np.ones(len(order), bool)
     first[1:] = j[order][1:] != j[order][:-1]
-    return node[i[order][first]], node[j[order][first]], share[order][first]
+    best = order[first]
+    return node[i[best]], node[j[best]], share[best]
 
 
 def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +295,7 @@ def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j, _ = traverse(x, y)
         ok = one["label"].to_numpy()[p][i] != two["label"].to_numpy()[q][j]
         u, v = a[i[ok]], b[j[ok]]
-    return np.minimum(u, v), np.maximum(u, v), np.zeros(len(u))
+    return np.minimum(u, v), np.maximum(u, v), np.full(len(u), float(group["weight"][0].as_py()))
 
 
 def _of_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
@@ -343,9 +351,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
         return (p.join(d.select(F.col("node").alias("u"), F.col(column).alias("x")), "u")
                 .join(d.select(F.col("node").alias("v"), F.col(column).alias("y")), "v"))
 
-    size = sets.filter(F.col("node").isNotNull()).select("node", "n").distinct()
-    p = (pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("n")), "u")
-         .join(size.select(F.col("node").alias("v"), F.col("n").alias("m")), "v"))
+    p = _with_sizes(pairs, sets)
     p = cut(both(p, "wide", _wide, "binary").filter(may_link("x", "n", "y", "m")).select("u", "v", "n", "m").distinct())
     a, b = SIMILARITY
     return (both(p, "tokens", _whole, "array<long>")
@@ -353,35 +359,64 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("u", "v").distinct())
 
 
+def _with_sizes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    size = sets.filter(F.col("node").isNotNull()).select("node", "n").distinct()
+    return (pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("n")), "u")
+            .join(size.select(F.col("node").alias("v"), F.col("n").alias("m")), "v"))
+
+
+def _share_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (u, v, x) with enough rare tokens in common: if the
+    sets have the overlap o that a link needs, the first
+    1 + o - ceil(0.75 max(n, m)) of the common tokens are rare in both."""
+    a, b = SIMILARITY
+    p = _with_sizes(pairs.groupBy("u", "v").agg(F.sum("x").alias("x")), sets)
+    need = F.ceil(a * (F.col("n") + F.col("m")) / (a + b)) - F.ceil(a * F.greatest("n", "m") / b) + 1
+    return p.filter(F.col("x") >= need).select("u", "v")
+
+
+def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rows`` with the label of each node's component."""
+    if links is None:
+        return rows.withColumn("label", F.col("node"))
+    return (rows.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def _split_groups(named: DataFrame) -> DataFrame:
+    """The rows of groups that hold nodes of several components."""
+    split = (named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+             .filter("a != b").select("token"))
+    return named.join(split, "token")
+
+
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): enough of the links between nodes to give their components."""
     groups = token_groups(docs)
     info = sets.filter(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"])
     info = stored(info.join(groups.select("node").distinct(), "node", "left_semi"), "ngram-bits")
-    parts = cut(groups.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("pivot"))
-                .select("token", "m", "pivot", F.ceil(F.col("m") / PART).cast("long").alias("k")))
-    rows = groups.join(parts, "token").select(
-        "token", "node", F.pmod(F.xxhash64("node"), F.col("k")).alias("i"))
-    pivots = parts.filter("k > 1").select(
-        "token", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-    first = rows.unionAll(pivots).distinct().join(info, "node")
-    tried = cut(_by_group(first, ["token", "i"], _partners).groupBy("v").agg(F.max(F.struct("share", "u")).alias("x"))
-                .select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct())
-    links = cut(verified(tried, docs, sets))
-
-    label = components(links)
-    named = (rows.join(label, "node", "left")
-             .select("token", "node", "i", F.coalesce("label", "node").alias("label")))
-    split = (named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-             .filter("a != b").select("token").join(parts.select("token", "k"), "token"))
-    left = named.join(split, "token")
+    rows = groups.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+    pivots = groups.filter("k > 1").groupBy("token", "weight", "k").agg(F.min("node").alias("node"))
+    pivots = pivots.select("token", "node", "weight", "k", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+    parts = rows.unionByName(pivots).distinct()
+    tried = links = None
+    for _ in range(ROUNDS):
+        found = _by_group(_split_groups(_named(parts, links)).join(info, "node"), ["token", "i"], _partners)
+        found = (found.groupBy("v").agg(F.max(F.struct("x", "u")).alias("x"))
+                 .select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct())
+        found = cut(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
+        good = cut(verified(found, docs, sets))
+        tried = found if tried is None else tried.unionAll(found)
+        links = good if links is None else links.unionAll(good)
+
     # Part i meets every part j: as the first side where i <= j, as the second where i > j.
-    met = left.select("token", "node", "label", F.col("i").alias("p"),
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
-    met = met.select("token", "node", "label", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
+    met = _split_groups(_named(rows, links)).select(
+        "token", "node", "label", "weight", F.col("i").alias("p"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
+    met = met.select("token", "node", "label", "weight", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
                      (F.col("p") > F.col("o")).cast("int").alias("side"))
-    more = cut(_by_group(met.join(info, "node"), ["token", "i", "j"], _across).select("u", "v").distinct()
-               .join(tried, ["u", "v"], "left_anti"))
+    more = _by_group(met.join(info, "node"), ["token", "i", "j"], _across)
+    more = cut(_share_enough(more, sets).join(tried, ["u", "v"], "left_anti"))
     return links.unionAll(verified(more, docs, sets))
 
 
