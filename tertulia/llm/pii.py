@@ -153,14 +153,13 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame,
                 .agg(F.countDistinct("ctx").alias("n_ctx"), F.countDistinct("rid").alias("n_et"))
                 .filter(F.col("n_ctx") >= MIN_CONTEXTS))
     wanted = pairs.select("t").distinct()
-    words = (docs.select(F.monotonically_increasing_id().alias("rid"), "text")
-             .select("rid", F.explode_outer(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("t"))
-             .filter(F.length("t") >= TERM_CHARS))
+    # Distinct in the row, so that counting combines on the map side.
+    words = (docs.select(F.explode_outer(F.array_distinct(F.split(
+        F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("t")).filter(F.length("t") >= TERM_CHARS))
     if pairs.count() <= TERM_ROWS:
-        words = words.join(F.broadcast(wanted), "t", "left_semi")
+        n_t = words.join(F.broadcast(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     else:
-        words = words.distinct().join(wanted, "t", "left_semi")
-    n_t = words.groupBy("t").agg(F.countDistinct("rid").alias("n_t"))
+        n_t = words.groupBy("t").agg(F.count("*").alias("n_t")).join(wanted, "t", "left_semi")
     n_e = (spans.filter("k >= 0").select("k", F.lower("m").alias("m"), "rid").groupBy("k", "m")
            .agg(F.countDistinct("rid").alias("n_e")))
     total = spans.filter("k = -1").agg(F.count("*").alias("n"))
