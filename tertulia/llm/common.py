@@ -30,10 +30,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def text_key(text: Column) -> Column:
-    """128 bits of a text as two longs (null counts as empty)."""
-    t = F.coalesce(text, F.lit(""))
-    return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(7)).alias("b"))
+def short(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` (materialised, of a few short columns) with a broadcast hint if it
+    is counted to have ``rows`` rows at most; else it takes part in a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spans_text(spans: Column) -> Column:

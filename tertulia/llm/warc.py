@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import scratch_dir
-from .common import cut
+from .common import cut, short
 
 MAGIC = "WARC/1.0\r\n"
 MIN_BYTES = 0
@@ -59,8 +59,9 @@ def with_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     shared = (p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
               .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
               .filter("_n > 1 and _first is not null").drop("_n"))
+    shared = cut(shared)
     on = ["payload_digest", "payload_bytes"]
-    return (p.join(shared, on, "left")
+    return (p.join(short(shared), on, "left")
             .select("page_id", "url", "payload", *reversed(on),
                     F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")))
 
@@ -109,7 +110,9 @@ def _reached(key, pdf):
     """One file's candidates (off, succ, mid) -> each piece's record: pointer
     jumping from offset 0 over the index of each candidate's successor."""
     import numpy as np
-    pdf = pdf.sort_values("off", kind="stable")
+    import pandas as pd
+    start = pdf[pdf["off"] < 0][["file", "mid", "off"]]
+    pdf = pdf[pdf["off"] >= 0].sort_values("off", kind="stable")
     off, succ = pdf["off"].to_numpy(), pdf["succ"].to_numpy()
     n = len(off)
     at = np.searchsorted(off, succ)
@@ -128,12 +131,13 @@ def _reached(key, pdf):
     out = pdf[["file", "mid", "off"]].copy()
     out["rec"] = off[head] if n else off
     out["pieces"] = np.bincount(head, minlength=n)[head] if n else 0
-    return out
+    return pd.concat([out, start.assign(rec=-1, pieces=0)])
 
 
 def chain_index(spark: SparkSession, path: str) -> DataFrame:
     """(file, mid, off, rec, pieces): of each piece the offset of the record
-    that holds it and how many pieces that record has."""
+    that holds it and how many pieces that record has (none: what stands
+    before a file's first magic)."""
     p = _pieces(spark, path)
     head = F.when(F.instr("value", "\r\n\r\n") > 0, F.substring_index("value", "\r\n\r\n", 1))
     length = F.regexp_extract(head, r"(?m)^Content-Length: ([0-9]{1,18})\r?$", 1)
@@ -149,17 +153,16 @@ def chain_index(spark: SparkSession, path: str) -> DataFrame:
     p = (p.withColumn("_in", F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(upto), F.lit(0)))
          .join(blocks, ["file", "block"])
          .select("file", "mid", "n", (F.col("_start") + F.col("_in") - len(MAGIC)).alias("off"), "own"))
-    p = p.filter(F.col("off") >= 0).select(
-        "file", "mid", "off", F.coalesce(F.col("off") + len(MAGIC) + F.col("own"), F.lit(-1)).alias("succ"))
+    p = p.select("file", "mid", "off", F.coalesce(F.col("off") + len(MAGIC) + F.col("own"), F.lit(-1)).alias("succ"))
     return p.groupBy("file").applyInPandas(_reached, "file string, mid long, off long, rec long, pieces long")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, payload_digest, refers_to, http_length, payload) of every record."""
-    index = chain_index(spark, path)
-    p = _pieces(spark, path).join(index, ["file", "mid"])
-    whole = p.filter("pieces = 1").select("value")
-    parts = (p.filter("pieces > 1").groupBy("file", "rec")
+    # Most pieces are whole records; the others are few and meet the pieces without moving them.
+    odd = cut(chain_index(spark, path).filter("pieces <> 1"))
+    whole = _pieces(spark, path).join(short(odd.select("file", "mid")), ["file", "mid"], "left_anti").select("value")
+    parts = (_pieces(spark, path).join(short(odd.filter("pieces > 1")), ["file", "mid"]).groupBy("file", "rec")
              .agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("_l"))
              .select(F.array_join(F.col("_l.value"), MAGIC).alias("value")))
     r = whole.unionAll(parts)
