@@ -23,12 +23,16 @@ def top_label(probs: DataFrame, keys: list[str], labels: list[str],
 
 
 def average_predictions(probs: DataFrame, labels: list[str], id_col: str = "id",
-                        model_col: str = "model") -> DataFrame:
+                        model_col: str = "model", n_models: int | None = None) -> DataFrame:
     """M7: mean probability over models per (id, label); a label missing from
-    any model is dropped for that row; arg-max with ties to the first label
-    of ``labels``."""
-    n_models = probs.select(F.countDistinct(model_col)).scalar()
+    any model does not count for that row; arg-max with ties to the first label
+    of ``labels``.  A row for which no label is complete keeps its id, with a
+    null label.  ``n_models`` saves the pass that counts the models."""
+    if n_models is None:
+        n_models = probs.select(F.countDistinct(model_col)).first()[0]
     avg = (probs.groupBy(id_col, "label")
-           .agg(F.avg("prob").alias("prob"), F.count(F.lit(1)).alias("_k"))
-           .filter(F.col("_k") == n_models))
-    return top_label(avg, [id_col], labels)
+           .agg(F.avg("prob").alias("prob"), F.count(F.lit(1)).alias("_k")))
+    full = F.col("_k") == n_models
+    order = F.struct((-F.col("prob")).alias("neg"), _label_pos("label", labels).alias("pos"))
+    return avg.groupBy(id_col).agg(F.min_by(F.col("label"), F.when(full, order)).alias("label"),
+                                   F.max(F.when(full, F.col("prob"))).alias("prob"))

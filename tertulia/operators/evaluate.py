@@ -62,8 +62,17 @@ def last_wins(df: DataFrame, id_col: str, value_col: str, order_col: str) -> Dat
         F.max_by(F.col(value_col), F.col(order_col)).alias(value_col))
 
 
+def one_per_id(df: DataFrame, line_col: str = "line") -> DataFrame:
+    """(id, label) with one row per id: the last line wins; without line
+    numbers the largest label does."""
+    if line_col in df.columns:
+        return last_wins(df, "id", "label", line_col)
+    return df.groupBy("id").agg(F.max("label").alias("label"))
+
+
 def task_scores(gold: DataFrame, run: DataFrame, compat: bool = False) -> DataFrame:
-    """The shared-task scorer.
+    """The shared-task scorer.  Both sides are (id, label), with an
+    optional ``line`` that orders repeated ids.
 
     Missing predictions count as ``?``; per-class precision/recall over gold
     classes only; macro-F1 = harmonic mean of macro-P and macro-R; accuracy =
@@ -71,6 +80,7 @@ def task_scores(gold: DataFrame, run: DataFrame, compat: bool = False) -> DataFr
     ``compat=True`` reproduces the reference's zeroing of a class whose
     false-positive (or false-negative) entry is absent.
     """
+    gold, run = one_per_id(gold), one_per_id(run)
     run_known = run.join(gold.select("id"), "id", "left_semi")
     j = gold.select("id", F.col("label").alias("gold")).join(
         run_known.select("id", F.col("label").alias("pred")), "id", "left")

@@ -74,12 +74,13 @@ D_PROBS = """probs AS (
 
 
 @query("ensemble_average", with_tweets(f"""
-SELECT tweet_id, first(label ORDER BY p DESC, label) AS label, round(max(p), {R9}) AS prob FROM (
-  SELECT tweet_id, label, round(avg(prob), 12) AS p FROM probs GROUP BY tweet_id, label HAVING count(*) = 3)
+SELECT tweet_id, CASE WHEN bool_or(c = 3) THEN first(label ORDER BY c DESC, p DESC, label) END AS label,
+  round(max(CASE WHEN c = 3 THEN p END), {R9}) AS prob FROM (
+  SELECT tweet_id, label, count(*) AS c, round(avg(prob), 12) AS p FROM probs GROUP BY tweet_id, label)
 GROUP BY tweet_id""", extra=D_PROBS))
 def ensemble_average(spark, sf):
     p = probs_long(_tw(spark, sf)).withColumnRenamed("tweet_id", "id")
-    out = EN.average_predictions(p, LABELS, id_col="id")
+    out = EN.average_predictions(p, LABELS, id_col="id", n_models=len(MODELS))
     return out.select(F.col("id").alias("tweet_id"), "label", F.round("prob", R9).alias("prob"))
 
 

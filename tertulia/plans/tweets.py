@@ -88,14 +88,13 @@ LEXICON_POSITIVE = ["bueno", "la", "de", "que", "los"]
 LEXICON_NEGATIVE = ["no", "se", "en", "de", "las"]
 TERM_MAP = [("holaaaa", "hola"), ("jajaja", "risa"), ("jaja", "risa"), ("xq", "porque"),
             ("q", "que"), ("bueno", "bien")]
-# Quota per locale and class label (0 N, 1 NEU, 2 NONE, 3 P), scaled down
-# from the reference's per-locale head(n) sizes to the fixture.
+# Quota per locale and class label (0 N, 1 NEU, 2 NONE, 3 P).
 QUOTAS = {
-    "ES": {1: 67, 2: 64, 0: 224, 3: 154},
-    "CR": {1: 67, 2: 98, 0: 196, 3: 152},
-    "MX": {1: 45, 2: 33, 0: 218, 3: 120},
-    "PE": {1: 67, 2: 148, 0: 76, 3: 79},
-    "UY": {1: 67, 2: 32, 0: 138, 3: 109},
+    "ES": {1: 670, 2: 644, 0: 2241, 3: 1545},
+    "CR": {1: 670, 2: 979, 0: 1958, 3: 1520},
+    "MX": {1: 450, 2: 330, 0: 2182, 3: 1200},
+    "PE": {1: 670, 2: 1480, 0: 758, 3: 789},
+    "UY": {1: 670, 2: 325, 0: 1375, 3: 1093},
 }
 
 
