@@ -58,6 +58,8 @@ FREQUENT_BATCH = 2_000_000
 FREQUENT_TIMES = 8
 FREQUENT_TOKENS = 200_000
 NODE_ROWS = 2_000_000  # ids that may be broadcast
+#: Two nodes, what the traversal says of them, their sizes and an id of each.
+PAIR = {"u": "long", "v": "long", "x": "double", "n": "long", "m": "long", "a": "long", "b": "long"}
 
 
 def _node(s: np.ndarray) -> int:
@@ -236,15 +238,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def _leaves(group: pa.Table) -> tuple[np.ndarray, Tree, np.ndarray]:
+def _leaves(group: pa.Table) -> tuple[np.ndarray, np.ndarray, Tree]:
+    """The leaves (node, n, doc) in the order of their tree, their labels and the tree."""
     n, node = group["n"].to_numpy(), group["node"].to_numpy()
     bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(len(n), LONGS)
     order = np.lexsort((node, *bits.T[:2], n))
-    return node[order], Tree(n[order], bits[order]), order
+    leaves = np.stack([node, n, group["doc"].to_numpy()], 1)[order]
+    return leaves, group["label"].to_numpy()[order], Tree(n[order], bits[order])
+
+
+def _pairs(first: np.ndarray, second: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """The columns of ``PAIR`` for leaves side by side."""
+    (u, n, a), (v, m, b) = first.T, second.T
+    return [u, v, x, n, m, a, b]
 
 
 def _by_group(rows: DataFrame, keys: list[str], pairs: Callable) -> DataFrame:
-    """(u, v, x) that ``pairs`` gives for the groups of ``rows``."""
+    """The ``PAIR`` rows that ``pairs`` gives for the groups of ``rows``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for group in _groups(batches, keys):
@@ -253,56 +263,52 @@ def _by_group(rows: DataFrame, keys: list[str], pairs: Callable) -> DataFrame:
                 held.append(found)
                 size += len(found[0])
             if size > 200_000:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "x"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], list(PAIR))
                 held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], ["u", "v", "x"])
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held)], list(PAIR))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, x double")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        run, ", ".join(f"{c} {kind}" for c, kind in PAIR.items()))
 
 
-def _partners(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _partners(group: pa.Table) -> list[np.ndarray]:
     """Each node v and the node u of another component with which it may overlap most."""
-    node, tree, order = _leaves(group)
-    label = group["label"].to_numpy()[order]
+    leaves, label, tree = _leaves(group)
     i, j, top = traverse(tree, None)
     ok = label[i] != label[j]
     i, j, top = i[ok], j[ok], top[ok]
-    n = tree.levels[0][1]
+    n = leaves[:, 1]
     share = np.tile(top / (n[i] + n[j]), 2)
     i, j = np.concatenate([i, j]), np.concatenate([j, i])
     order = np.lexsort((i, -share, j))
     first = np.ones(len(order), bool)
     first[1:] = j[order][1:] != j[order][:-1]
     best = order[first]
-    return node[i[best]], node[j[best]], share[best]
+    return _pairs(leaves[i[best]], leaves[j[best]], share[best])
 
 
-def _across(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs that may link of nodes in different components."""
+def _across(group: pa.Table) -> list[np.ndarray]:
+    """All pairs that may link of nodes in different components, u < v."""
     side = group["side"].to_numpy()
     if group["i"][0].as_py() == group["j"][0].as_py():
-        node, tree, order = _leaves(group)
-        label = group["label"].to_numpy()[order]
-        i, j, _ = traverse(tree, None)
-        ok = label[i] != label[j]
-        u, v = node[i[ok]], node[j[ok]]
+        one, label, tree = _leaves(group)
+        two, other, j_tree = one, label, None
     elif side.min() == side.max():
-        u = v = np.empty(0, np.int64)
+        return _pairs(np.empty((0, 3), np.int64), np.empty((0, 3), np.int64), np.empty(0))
     else:
-        one, two = (group.filter(pa.array(side == s)) for s in (0, 1))
-        (a, x, p), (b, y, q) = _leaves(one), _leaves(two)
-        i, j, _ = traverse(x, y)
-        ok = one["label"].to_numpy()[p][i] != two["label"].to_numpy()[q][j]
-        u, v = a[i[ok]], b[j[ok]]
-    return np.minimum(u, v), np.maximum(u, v), np.full(len(u), float(group["weight"][0].as_py()))
-
-
-def _of_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
-    """(node, ``column``) for ``nodes``: what ``make`` gives for the sets, from
-    one text each.  A text whose id stands in several rows may come twice."""
-    ids = cut(sets.filter(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-              .join(nodes, "node").select("doc_id").distinct())
+        (one, label, tree), (two, other, j_tree) = (_leaves(group.filter(pa.array(side == s))) for s in (0, 1))
+    i, j, _ = traverse(tree, j_tree)
+    ok = label[i] != other[j]
+    x, y = one[i[ok]], two[j[ok]]
+    swap = (x[:, 0] > y[:, 0])[:, None]
+    return _pairs(np.where(swap, y, x), np.where(swap, x, y), np.full(len(x), float(group["weight"][0].as_py())))
+
+
+def _of_nodes(docs: DataFrame, pairs: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
+    """(node, ``column``) for the nodes of ``pairs``: what ``make`` gives for the
+    sets, from one text each.  A text whose id stands in several rows may come twice."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     few = ids.count() <= NODE_ROWS
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     t = (t.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
@@ -342,37 +348,40 @@ def may_link(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) whose whole sets are similar enough: wide bitmaps, a byte for
-    each token, rule most of the others out before whole sets are moved."""
+def verified(pairs: DataFrame, docs: DataFrame, wide: bool) -> DataFrame:
+    """The (u, v) of the materialised ``pairs`` whose whole sets are similar
+    enough.  ``wide``: wide bitmaps, a byte for each token, first rule most
+    others out, which pays where few of the pairs are expected to link."""
     def both(p: DataFrame, column: str, make: Callable, kind: str) -> DataFrame:
-        nodes = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        d = _of_nodes(docs, sets, nodes, column, make, kind)
+        d = _of_nodes(docs, p, column, make, kind)
         return (p.join(d.select(F.col("node").alias("u"), F.col(column).alias("x")), "u")
                 .join(d.select(F.col("node").alias("v"), F.col(column).alias("y")), "v"))
 
-    p = _with_sizes(pairs, sets)
-    p = cut(both(p, "wide", _wide, "binary").filter(may_link("x", "n", "y", "m")).select("u", "v", "n", "m").distinct())
+    p = pairs.select("u", "v", "n", "m", "a", "b")
+    if wide:
+        p = cut(both(p, "wide", _wide, "binary").filter(may_link("x", "n", "y", "m")).select(p.columns).distinct())
     a, b = SIMILARITY
     return (both(p, "tokens", _whole, "array<long>")
             .filter(F.size(F.array_intersect("x", "y")) * (a + b) >= (F.col("n") + F.col("m")) * a)
             .select("u", "v").distinct())
 
 
-def _with_sizes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    size = sets.filter(F.col("node").isNotNull()).select("node", "n").distinct()
-    return (pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("n")), "u")
-            .join(size.select(F.col("node").alias("v"), F.col("n").alias("m")), "v"))
-
-
-def _share_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (u, v, x) with enough rare tokens in common: if the
-    sets have the overlap o that a link needs, the first
-    1 + o - ceil(0.75 max(n, m)) of the common tokens are rare in both."""
+def _share_enough(pairs: DataFrame) -> DataFrame:
+    """The pairs with enough rare tokens in common: if the sets have the
+    overlap o that a link needs, the first 1 + o - ceil(0.75 max(n, m)) of the
+    common tokens are rare in both."""
     a, b = SIMILARITY
-    p = _with_sizes(pairs.groupBy("u", "v").agg(F.sum("x").alias("x")), sets)
+    p = pairs.groupBy("u", "v").agg(F.sum("x").alias("x"), *[F.min(c).alias(c) for c in ("n", "m", "a", "b")])
     need = F.ceil(a * (F.col("n") + F.col("m")) / (a + b)) - F.ceil(a * F.greatest("n", "m") / b) + 1
-    return p.filter(F.col("x") >= need).select("u", "v")
+    return p.filter(F.col("x") >= need)
+
+
+def _ordered(best: DataFrame) -> DataFrame:
+    """The pairs (x: struct with u, n, a; v, m, b in it) with the smaller node as u."""
+    swap = F.col("x.u") > F.col("x.v")
+    ends = [(F.when(swap, F.col(f"x.{q}")).otherwise(F.col(f"x.{p}")).alias(p),
+             F.when(swap, F.col(f"x.{p}")).otherwise(F.col(f"x.{q}")).alias(q)) for p, q in ("uv", "nm", "ab")]
+    return best.select(*[c for both in ends for c in both]).distinct()
 
 
 def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -382,8 +391,12 @@ def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return (rows.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")))
 
 
-def _split_groups(named: DataFrame) -> DataFrame:
-    """The rows of groups that hold nodes of several components."""
+def _split_groups(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The labelled rows of groups that hold nodes of several components; before
+    there are links, that is every group."""
+    named = _named(rows, links)
+    if links is None:
+        return named
     split = (named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
              .filter("a != b").select("token"))
     return named.join(split, "token")
@@ -392,32 +405,33 @@ def _split_groups(named: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): enough of the links between nodes to give their components."""
     groups = token_groups(docs)
-    info = sets.filter(F.col("node").isNotNull()).select("node", "n", "bits").dropDuplicates(["node"])
+    info = (sets.filter(F.col("node").isNotNull()).groupBy("node")
+            .agg(F.min("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"),
+                 F.first("bits").alias("bits")))
     info = stored(info.join(groups.select("node").distinct(), "node", "left_semi"), "ngram-bits")
     rows = groups.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
     pivots = groups.filter("k > 1").groupBy("token", "weight", "k").agg(F.min("node").alias("node"))
     pivots = pivots.select("token", "node", "weight", "k", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-    parts = rows.unionByName(pivots).distinct()
+    parts = rows.unionByName(pivots.filter(F.col("i") != F.pmod(F.xxhash64("node"), F.col("k"))))
     tried = links = None
     for _ in range(ROUNDS):
-        found = _by_group(_split_groups(_named(parts, links)).join(info, "node"), ["token", "i"], _partners)
-        found = (found.groupBy("v").agg(F.max(F.struct("x", "u")).alias("x"))
-                 .select(F.least("x.u", "v").alias("u"), F.greatest("x.u", "v").alias("v")).distinct())
+        found = _by_group(_split_groups(parts, links).join(info, "node"), ["token", "i"], _partners)
+        found = _ordered(found.groupBy("v").agg(F.max(F.struct("x", "u", "v", "n", "m", "a", "b")).alias("x")))
         found = cut(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
-        good = cut(verified(found, docs, sets))
+        good = cut(verified(found, docs, wide=False))
         tried = found if tried is None else tried.unionAll(found)
         links = good if links is None else links.unionAll(good)
 
     # Part i meets every part j: as the first side where i <= j, as the second where i > j.
-    met = _split_groups(_named(rows, links)).select(
+    met = _split_groups(rows, links).select(
         "token", "node", "label", "weight", F.col("i").alias("p"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("o"))
     met = met.select("token", "node", "label", "weight", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"),
                      (F.col("p") > F.col("o")).cast("int").alias("side"))
     more = _by_group(met.join(info, "node"), ["token", "i", "j"], _across)
-    more = cut(_share_enough(more, sets).join(tried, ["u", "v"], "left_anti"))
-    return links.unionAll(verified(more, docs, sets))
+    more = cut(_share_enough(more).join(tried, ["u", "v"], "left_anti"))
+    return links.unionAll(verified(more, docs, wide=True))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
