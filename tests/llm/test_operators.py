@@ -291,6 +291,17 @@ def test_ngram_components(spark, monkeypatch, part):
         assert ngram_join.near_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 500_000])
+def test_components_in_blocks(spark, monkeypatch, block):
+    """A long path, a star, a repeated edge and a loop, in one block and in many."""
+    from tertulia.llm import components as C
+    monkeypatch.setattr(C, "BLOCK", block)
+    edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 - i) for i in range(1, 30)] + [(70, 60), (70, 60), (5, 5)]
+    got = C.components(spark.createDataFrame(edges, "u long, v long").repartition(5).checkpoint()).collect()
+    want = {i: 0 for i in range(41)} | {i: 971 for i in range(971, 1001)} | {60: 60, 70: 60}
+    assert len(got) == len(want) and {r["node"]: r["label"] for r in got} == want
+
+
 def test_shingles_against_tuples():
     rng = random.Random(6)
     texts = [None, "", " \n", "a b", "A  b\tc"] + [" ".join(rng.choices(["a", "B", "é", "ccc"], k=rng.randrange(40)))
