@@ -60,9 +60,9 @@ def read_records(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     tag (a splittable text read), so records may span lines and files of
     any size are read in parallel."""
     raw = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    rec = F.regexp_replace(F.col("value"), r"^\s+", "")
-    return (raw.select(rec.alias("_r"))
-            .filter(F.col("_r").startswith(f"<{row_tag}>") | F.col("_r").startswith(f"<{row_tag} "))
+    # What stands before the tag (declaration, root element) is no part of the record.
+    rec = F.regexp_extract(F.col("value"), rf"(?s)<{row_tag}[\s>].*", 0)
+    return (raw.select(rec.alias("_r")).filter(F.col("_r") != "")
             .select(F.concat(F.col("_r"), F.lit(f"</{row_tag}>")).alias("record")))
 
 

@@ -69,3 +69,11 @@ def test_word_vectors_skip_header(spark):
     lines = spark.createDataFrame([("2 3",), ("hola 0.5 1 -2",), ("adios 1 2 3",)], "value string")
     v = {r.word: r.vector for r in VEC.parse_vectors(lines, 3).collect()}
     assert v == {"hola": [0.5, 1.0, -2.0], "adios": [1.0, 2.0, 3.0]}
+
+
+def test_xml_first_record_after_declaration_and_root(spark, tmp_path):
+    from tertulia.sources.xml import read_records
+    (tmp_path / "a.xml").write_text(
+        '<?xml version="1.0"?>\n<tweets>\n' + "".join(f"<tweet><id>{i}</id></tweet>\n" for i in (1, 2, 3)) + "</tweets>\n")
+    got = sorted(r.record for r in read_records(spark, str(tmp_path), "tweet").collect())
+    assert got == [f"<tweet><id>{i}</id></tweet>" for i in (1, 2, 3)]
