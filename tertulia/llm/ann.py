@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and given one more component that makes
-them unit vectors (largest inner product becomes nearest direction; the
-component is 0 for queries), padded to a power of two and turned by pseudo-
-rotations: three rounds of random signs and a fast Hadamard transform.  A
-vector's hash in a table is the signed axis nearest to it.  A query looks into
-the ``probes`` nearest axes of each of ``tables`` tables; what it meets there
-is ranked by the inner product of the original vectors in double precision.
+Vectors are parted by norm into ranges of a factor of two, within which the
+largest inner product is close to the nearest direction.  Directions are padded
+to a power of two and turned by pseudo-rotations: three rounds of random signs
+and a fast Hadamard transform.  A vector's hash in a table is the signed axis
+nearest to it.  In each range, a query looks into the ``probes`` nearest axes
+of each of ``tables`` tables, and it meets all vectors of the ranges that hold
+fewer than ``SMALL``; what it meets is ranked by the inner product of the
+original vectors in double precision.  Queries that met fewer than ``k`` + 1
+ids probe four times as many axes, until they have them or meet all vectors.
 
 Equal vectors are one class that carries its ``k`` + 1 smallest ids, all that
 a result can need, so a vector that a third of the rows share costs one entry.
@@ -18,7 +20,7 @@ block, so that no group grows with the input and nothing is dropped.
 Defined results: rows whose vector is null, all zero, or holds null or
 non-finite components, rows with a null id, and vectors not of the table's
 most common length take no part; repeated (id, vector) rows count once; an
-empty table gives no rows; fewer candidates than ``k`` give fewer rows.
+empty table gives no rows; a table of ``k`` ids or fewer gives fewer rows.
 """
 
 from __future__ import annotations
@@ -31,22 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, short
 
 TABLES = 8
 PROBES = 32
 K = 20
 BLOCK = 4096
 #: Buckets that share a group of the search, as a part of a table.
-PARTS = 8
-GROUP_KEYS = ["t", "part", "cs", "qs"]
+PARTS = 16
+#: Norm ranges of fewer vectors than this are not hashed: every query meets all of them, as group WHOLE.
+SMALL = 256
+WHOLE = -1
+GROUP_KEYS = ["g", "t", "part", "cs", "qs"]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     n, h = x.shape[1], 1
     while h < n:
-        x = x.reshape(len(x), -1, 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2).reshape(len(x), -1)
+        x = x.reshape(len(x), n // (2 * h), 2, h)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2).reshape(len(x), n)
         h *= 2
     return x / np.sqrt(n)
 
@@ -58,21 +63,18 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def lift(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     """Unit vectors in a power of two of dimensions."""
     out = np.zeros((len(x), 1 << x.shape[1].bit_length()))
-    if query:
-        out[:, :x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    else:
-        out[:, :x.shape[1]] = x / norm
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (out * out).sum(1)))
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    out[:, :x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
 
 def axes(x: np.ndarray, table: int, n: int) -> np.ndarray:
     """The n signed axes nearest to each row (2 i for +i, 2 i + 1 for -i), nearest first."""
     r = rotate(x, table)
-    score = np.stack([r, -r], 2).reshape(len(r), -1)
+    score = np.stack([r, -r], 2).reshape(len(r), 2 * r.shape[1])
     near = np.argpartition(-score, min(n, score.shape[1] - 1), axis=1)[:, :n]
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
 
@@ -83,7 +85,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def vector_classes(vectors: DataFrame, k: int, is_query) -> DataFrame:
-    """(a, b, v, ids, q): distinct usable vectors, their k + 1 smallest ids, and whether one is a query."""
+    """(a, b, v, ids, q, size): distinct usable vectors, their k + 1 smallest ids, whether one is a query, log2 of the norm."""
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = (vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                         F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
@@ -96,65 +98,103 @@ def vector_classes(vectors: DataFrame, k: int, is_query) -> DataFrame:
     few = (ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
            .groupBy("a", "b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     q = ids.groupBy("a", "b").agg(F.max(is_query(F.col("vec_id"))).alias("q"))
-    return v.groupBy("a", "b").agg(F.first("v").alias("v")).join(few, ["a", "b"]).join(q, ["a", "b"])
+    classes = v.groupBy("a", "b").agg(F.first("v").alias("v")).join(few, ["a", "b"]).join(q, ["a", "b"])
+    top = F.array_max(F.transform("v", F.abs))
+    scaled = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))
+    return classes.withColumn("top", top).withColumn("size", F.log2("top") + F.log2(scaled) / 2).drop("top")
 
 
-def _bucket_counts(classes: DataFrame, norm: float, tables: int, probes: int) -> dict:
-    """(table, axis) -> (candidates, queries that probe it)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, q = _matrix(b["v"]), b["q"].to_numpy(zero_copy_only=False).astype(bool)
-            for t in range(tables):
-                own = axes(lift(x, norm, False), t, 1)[:, 0]
-                asked = axes(lift(x[q], norm, True), t, probes).ravel()
-                n = max(own.max(initial=0), asked.max(initial=0)) + 1
-                nc, nq = np.bincount(own, minlength=n), np.bincount(asked, minlength=n)
-                yield pa.record_batch([pa.array(np.full(n, t)), pa.array(np.arange(n)), pa.array(nc), pa.array(nq)],
-                                      ["t", "axis", "nc", "nq"])
+def _groups(batch: pa.RecordBatch, parts: dict[int, int]) -> np.ndarray:
+    """The search group of each row: its norm range if that is hashed, else WHOLE."""
+    return np.array([r if r in parts else WHOLE for r in batch["r"].to_pylist()], np.int64)
 
-    rows = (classes.select("v", "q").mapInArrow(run, "t long, axis long, nc long, nq long")
-            .groupBy("t", "axis").agg(F.sum("nc").alias("nc"), F.sum("nq").alias("nq")).collect())
-    return {(r["t"], r["axis"]): (r["nc"], r["nq"]) for r in rows}
 
-
-def _deal(classes: DataFrame, norm: float, tables: int, probes: int, splits: dict) -> DataFrame:
+def _bucket_counts(classes: DataFrame, tables: int, probes: int, parts: dict[int, int]) -> tuple[dict, dict]:
+    """(group, table, part) -> candidates there, (parts, table, part) -> queries that probe an axis of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, q = unit(_matrix(b["v"])), b["q"].to_numpy(zero_copy_only=False).astype(bool)
+            g = _groups(b, parts)
+            found = [(WHOLE, 1, 0, 0, int((g == WHOLE).sum()), int(q.sum()))]
+            for t in range(tables if parts else 0):
+                m = np.array([parts.get(r, 1) for r in g.tolist()], np.int64)
+                own = np.stack([g, m, axes(x, t, 1)[:, 0] % m], 1)[g != WHOLE]
+                at, n = np.unique(own, axis=0, return_counts=True)
+                found += [(r, m, t, part, c, 0) for (r, m, part), c in zip(at.tolist(), n.tolist())]
+                near = axes(x[q], t, probes)
+                for m in set(parts.values()):
+                    asked = np.zeros((len(near), m), bool)
+                    np.put_along_axis(asked, near % m, True, 1)
+                    found += [(None, m, t, part, 0, c) for part, c in enumerate(asked.sum(0).tolist())]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], ["g", "m", "t", "part", "nc", "nq"])
+
+    rows = (classes.select("v", "q", "r").mapInArrow(run, "g long, m long, t long, part long, nc long, nq long")
+            .groupBy("g", "m", "t", "part").agg(F.sum("nc").alias("nc"), F.sum("nq").alias("nq")).collect())
+    return ({(r["g"], r["t"], r["part"]): r["nc"] for r in rows if r["nc"]},
+            {(r["m"] if r["g"] is None else WHOLE, r["t"], r["part"]): r["nq"] for r in rows if r["nq"]})
+
+
+def _splits(candidates: dict, asked: dict, parts: dict[int, int], block: int) -> dict:
+    """(group, table, part) -> numbers of candidate and of query blocks."""
+    return {(g, t, part): tuple(max(1, -(-x // block)) for x in (n, asked.get((parts.get(g, WHOLE), t, part), 0)))
+            for (g, t, part), n in candidates.items()}
+
+
+def _deal(classes: DataFrame, tables: int, probes: int, parts: dict[int, int], splits: dict) -> DataFrame:
     """Rows of the search groups: candidates with their axis, queries with the axes they probe there."""
-    schema = ("t long, part long, cs long, qs long, query boolean, axes array<long>, a long, b long, "
+    schema = ("g long, t long, part long, cs long, qs long, query boolean, axes array<long>, a long, b long, "
               "ids array<long>, v array<double>")
+    hashed = {m: [g for g in sorted(parts) if parts[g] == m] for m in sorted(set(parts.values()))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, q = _matrix(b["v"]), b["q"].to_numpy(zero_copy_only=False).astype(bool)
+            x, q = unit(_matrix(b["v"])), b["q"].to_numpy(zero_copy_only=False).astype(bool)
             key = b["a"].to_numpy().view(np.uint64)
+            groups = _groups(b, parts)
             asking = np.flatnonzero(q)
-            for t in range(tables):
-                own = axes(lift(x, norm, False), t, 1)[:, 0]
+            for t in range(tables if parts else 1):
                 rows, keys, used = [], [], []
-                for i, axis in enumerate(own.tolist()):
-                    part = axis % PARTS
-                    nc, nq = splits[t, part]
+
+                def candidate(i: int, g: int, axis: int) -> None:
+                    part = axis % parts.get(g, 1)
+                    nc, nq = splits[g, t, part]
                     for s in range(nq):
                         rows.append(i)
-                        keys.append((t, part, int(key[i] % nc), s, False))
+                        keys.append((g, t, part, int(key[i] % nc), s, False))
                         used.append([axis])
-                for i, near in zip(asking.tolist(), axes(lift(x[q], norm, True), t, probes).tolist()):
-                    by_part: dict[int, list[int]] = {}
-                    for axis in near:
-                        by_part.setdefault(axis % PARTS, []).append(axis)
-                    for part, probed in by_part.items():
-                        nc, nq = splits.get((t, part), (0, 0))
-                        for s in range(nc):
-                            rows.append(i)
-                            keys.append((t, part, s, int((key[i] >> np.uint64(20)) % nq), True))
-                            used.append(probed)
+
+                def query(i: int, g: int, part: int, probed: list[int]) -> None:
+                    nc, nq = splits.get((g, t, part), (0, 0))
+                    for s in range(nc):
+                        rows.append(i)
+                        keys.append((g, t, part, s, int((key[i] >> np.uint64(20)) % nq), True))
+                        used.append(probed)
+
+                if t == 0:
+                    for i in np.flatnonzero(groups == WHOLE).tolist():
+                        candidate(i, WHOLE, 0)
+                    for i in asking.tolist():
+                        query(i, WHOLE, 0, [0])
+                if parts:
+                    own = axes(x, t, 1)[:, 0]
+                    for i in np.flatnonzero(groups != WHOLE).tolist():
+                        candidate(i, int(groups[i]), int(own[i]))
+                    for i, near in zip(asking.tolist(), axes(x[q], t, probes).tolist()):
+                        for m, ranges in hashed.items():
+                            by_part: dict[int, list[int]] = {}
+                            for axis in near:
+                                by_part.setdefault(axis % m, []).append(axis)
+                            for g in ranges:
+                                for part, probed in by_part.items():
+                                    query(i, g, part, probed)
                 for at in range(0, len(rows), 10_000):
                     take = pa.array(rows[at:at + 10_000], pa.int64())
                     cols = list(zip(*keys[at:at + 10_000]))
                     yield pa.record_batch(
-                        [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_()),
+                        [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()),
                          pa.array(used[at:at + 10_000], pa.list_(pa.int64())),
                          *(b[c].take(take) for c in ("a", "b", "ids", "v"))],
-                        ["t", "part", "cs", "qs", "query", "axes", "a", "b", "ids", "v"])
+                        ["g", "t", "part", "cs", "qs", "query", "axes", "a", "b", "ids", "v"])
 
     return classes.mapInArrow(run, schema)
 
@@ -206,23 +246,41 @@ def _search(k: int):
     return run
 
 
+def _lists(classes: DataFrame, k: int, tables: int, probes: int, parts: dict[int, int], block: int) -> DataFrame:
+    """(qa, qb, l): the k + 1 nearest that each query class met, as (r, vec_id, score)."""
+    splits = _splits(*_bucket_counts(classes, tables, probes, parts), parts, block)
+    dealt = _deal(classes, tables, probes, parts, splits)
+    found = (dealt.groupBy(*GROUP_KEYS).applyInArrow(_search(k), "qa long, qb long, vec_id long, score double")
+             .groupBy("qa", "qb", "vec_id").agg(F.max("score").alias("score")))
+    near = W.partitionBy("qa", "qb").orderBy(F.col("score").desc(), "vec_id")
+    return (found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1)
+            .groupBy("qa", "qb").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("l")))
+
+
 def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK,
             is_query=lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each query row
     of ``vectors`` (vec_id, embedding), nearest first, ties to the smaller id."""
     classes = cut(vector_classes(vectors, k, is_query))
-    norm = classes.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
-    counts = _bucket_counts(classes, norm, tables, probes)
-    splits: dict[tuple[int, int], tuple[int, int]] = {}
-    for t, part in {(t, axis % PARTS) for t, axis in counts}:
-        here = [n for (u, axis), n in counts.items() if u == t and axis % PARTS == part]
-        splits[t, part] = tuple(max(1, -(-sum(n[i] for n in here) // block)) for i in (0, 1))
-    dealt = _deal(classes, norm, tables, probes, splits)
-    found = (dealt.groupBy(*GROUP_KEYS).applyInArrow(_search(k), "qa long, qb long, vec_id long, score double")
-             .groupBy("qa", "qb", "vec_id").agg(F.max("score").alias("score")))
-    near = W.partitionBy("qa", "qb").orderBy(F.col("score").desc(), "vec_id")
-    lists = (found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1)
-             .groupBy("qa", "qb").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("l")))
+    top = classes.agg(F.max("size"), F.max(F.size("v"))).first()
+    classes = classes.withColumn("r", F.floor(F.lit(top[0] or 0.0) - F.col("size")).cast("long")).drop("size")
+    parts = {r["r"]: min(PARTS, r["count"] // SMALL) for r in classes.groupBy("r").count().collect()
+             if r["count"] >= SMALL}
+    n_axes = 2 << (top[1] or 0).bit_length()
+    asking, lists = classes, None
+    while True:
+        if probes >= n_axes:
+            parts = {}
+        met = cut(_lists(asking, k, tables, probes, parts, block))
+        full = met.filter(F.size("l") > k) if parts else met
+        lists = full if lists is None else lists.unionAll(full)
+        left = asking.filter("q").select("a", "b").join(
+            full.select(F.col("qa").alias("a"), F.col("qb").alias("b")), ["a", "b"], "left_anti")
+        if not parts or (left := cut(left)).isEmpty():
+            break
+        asking = classes.drop("q").join(short(left.withColumn("q", F.lit(True))), ["a", "b"], "left").withColumn(
+            "q", F.coalesce("q", F.lit(False)))
+        probes *= 4
     queries = (vectors.select(F.col("vec_id").cast("long").alias("query_id"),
                               F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
                .filter(is_query(F.col("query_id")) & F.col("v").isNotNull())

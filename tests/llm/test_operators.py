@@ -243,6 +243,31 @@ def test_nearest(spark):
     assert nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, factor, least", [(2000, 1, 0.95), (2000, 5, 0.95), (2000, 100, 0.95), (400, 100, 0.93),
+                                              (2000, None, 0.9)])
+def test_nearest_with_unequal_norms(spark, n, factor, least):
+    """64 dimensions, one vector longer than the others, or norms over several powers of two."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n // 50, 64))[rng.integers(n // 50, size=n)] + 0.7 * rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if factor:
+        x[7] *= factor
+    else:
+        x *= rng.lognormal(size=(n, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {(r.query_id, r.vec_id) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {(q, v) for q, _, v in exact_nearest(rows)}
+    assert len(got) == len(want) and len(got & want) >= least * len(want)
+
+
+def test_nearest_widens_its_probes(spark):
+    """One probe in one table meets few candidates; each query still gets all its neighbours."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 64)))]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tables=1, probes=1).collect()
+    assert len(got) == 20 * 20 and {r["rank"] for r in got} == set(range(1, 21))
+
+
 def brute_components(rows):
     sets = [frozenset(s.tolist()) for s in shingle_sets([t for _, t in rows])]
     up = list(range(len(rows)))
