@@ -11,8 +11,10 @@ table of html_training.py, tells main text from the rest.
 Scale: pages are cut and classified one by one in Arrow batches, with no
 shuffle; the tree is a few dozen numbers.  Defined results: null, empty or
 text-free html gives the empty string; an unclosed comment, script, style or
-tag runs to the end of the page; repeated rows each get their row; other
-columns are carried through.
+tag runs to the end of the page; a head ends where anything begins that a head
+cannot hold, closed or not; of svg, objects, frames and the like that are
+self-closing or never closed only the tag goes; repeated rows each get their
+row; other columns are carried through.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ MAX_DEPTH = 8
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|head)\b" + _ATTRS + r">.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])" + _ATTRS + r">.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRS + r")>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements that go with what they hold.
+EMBEDDED = frozenset("noscript template svg math iframe object".split())
+IN_HEAD = frozenset("html head title base basefont bgsound link meta noscript template".split())
+_TITLE_END = re.compile(r"</title\s*>", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
                    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,12 +84,29 @@ def is_region(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def embedded_ends(html: str) -> dict[int, int]:
+    """End of the start tag -> end of the element, of each EMBEDDED element that is closed."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for m in MARKUP.finditer(html):
+        tag = (m[3] or "").lower()
+        if tag not in EMBEDDED:
+            continue
+        if not m[2]:
+            if not m[4].endswith("/"):
+                opened.setdefault(tag, []).append(m.end())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def cut_blocks(html: str) -> list[Block]:
     """The flat blocks of a page that hold text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # enclosing block elements: tag, inside article, in a region
     inside = region = False
     kind, parts, linked, anchors = 0.0, [], 0, 0
+    in_head, ends = False, None
 
     def take(chunk: str) -> None:
         nonlocal linked
@@ -103,13 +126,33 @@ def cut_blocks(html: str) -> list[Block]:
             linked = 0
 
     at = 0
-    for m in MARKUP.finditer(html):
-        take(html[at:m.start()])
+    while m := MARKUP.search(html, at):
+        chunk = html[at:m.start()]
+        in_head = in_head and not chunk.strip()
+        if not in_head:
+            take(chunk)
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
-            if m[1] and m[1].lower() != "svg":
+            if m[1]:
+                close()
+            continue
+        if tag == "head":
+            close()
+            in_head = not m[2]
+            continue
+        if in_head and not m[2]:
+            in_head = tag in IN_HEAD
+            if tag == "title":
+                end = _TITLE_END.search(html, at)
+                at = end.end() if end else at
+                continue
+        if tag in EMBEDDED:
+            if tag != "svg":
                 close()
+            if not m[2]:
+                ends = embedded_ends(html) if ends is None else ends
+                at = ends.get(at, at)
             continue
         if tag in INLINE:
             if tag == "a":

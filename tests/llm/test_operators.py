@@ -145,6 +145,21 @@ def test_html_training_pages(spark):
     assert got == {1: "H & I\n\na b c <d> e\n\nf", 2: "", 3: "", 4: ""}
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><meta charset=utf-8><title>T <b></title><body><p>one<p>two", ["one", "two"]),
+    ("<head><title>T</title><style>s{}</style><article><p>one</p></article>", ["one"]),
+    ("<head><title>T</title>one<p>two", ["one", "two"]),
+    ("<head><title>T</title><noscript>no</noscript></head><p>one", ["one"]),
+    ("<p>one <svg viewBox='0 0 1 1'/> two</p><p>three", ["one two", "three"]),
+    ("<p>one</p><iframe src=x><p>two</p><object data=y><p>three", ["one", "two", "three"]),
+    ("<p>one</p><iframe src=x><p>two</p><iframe src=z>no</iframe><p>three", ["one", "two", "three"]),
+    ("<p>one</p><object>no<object>no</object>no</object><template>no</template><math><mi>no</mi></math><p>two", ["one", "two"]),
+    ("<p>a<svg><title>no</title><text>no</text></svg>b<p>c<!-- <svg> -->d<svg>no<!-- </svg> -->no</svg>", ["ab", "cd"]),
+    ("<p>one<object data=y /><p>two<iframe/><header><p>three", ["one", "two", "three"])])
+def test_html_unclosed_elements(html, want):
+    assert [b.text for b in html_text.cut_blocks(html)] == want
+
+
 def test_warc_round_trip(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "a", fake), (2, None, "x" + fake + fake + "WARC/1.0\r\n"), (3, "b\r\nc", None), (4, "d", ""),
