@@ -8,8 +8,8 @@ next.  All but the last return the columns of documents.  No stage but the
 first and the fourth reads a table besides its input (labels, benchmark).
 
 Defined results: rows with null or empty text pass all filters; a document
-whose every line repeats earlier ones is a copy and goes with its lines; of
-rows that repeat an id, the near-duplicate stage keeps at least one.
+whose every line repeats earlier ones is a copy and goes with its lines; the
+near-duplicate stage goes by rows, whatever ids they repeat or lack.
 """
 
 from __future__ import annotations

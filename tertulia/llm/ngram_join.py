@@ -122,8 +122,8 @@ def bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, bits) of each row; null node and bits without shingles."""
+def shingled(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node, n, bits) of each row, and the long columns ``carry``; null node and bits without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, sets in _texts(b):
@@ -131,11 +131,12 @@ def shingled(docs: DataFrame) -> DataFrame:
                     [b["doc_id"].slice(at, len(sets)),
                      pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                      pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "node", "n", "bits"])
+                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                     *(b[c].slice(at, len(sets)) for c in carry)],
+                    ["doc_id", "node", "n", "bits", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node long, n long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(
+        run, ", ".join(["doc_id long, node long, n long, bits binary", *(f"{c} long" for c in carry)]))
 
 
 def rare_pairs(docs: DataFrame, frequent) -> DataFrame:
@@ -434,12 +435,17 @@ def near_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return links.unionAll(verified(more, docs, wide=True))
 
 
+def _node_labels(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, least, label): of each node its smallest id and its component."""
+    label = components(cut(near_links(docs, sets)))
+    return (sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
+            .join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     sets = stored(shingled(docs), "ngram-sets")
-    label = components(cut(near_links(docs, sets)))
-    ids = (sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-           .join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
+    ids = _node_labels(docs, sets)
     whole = ids.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = ids.join(whole, "label").select("node", "component_id")
     return (sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
@@ -448,11 +454,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
-    Rows without shingles and rows without an id stay; of rows that repeat
-    the id, one stays."""
-    kept = (near_components(docs).filter("n_shingles > 0 and doc_id is not null")
-            .groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_keep"))
-            .select(F.col("doc_id").alias("_id"), "_keep"))
-    j = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return j.filter(F.coalesce(F.col("_keep"), F.lit(1)) == 1).drop("_id", "_keep")
+    """``docs`` with one row of each component, the one of the smallest
+    (doc_id, nulls last, text hash, row key); rows without shingles stay.
+    Row keys are written once with the rows, so all steps see the same."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    hashed = keyed.withColumn("_hash", F.xxhash64("text"))
+    sets = stored(shingled(hashed, ("_row", "_hash")), "ngram-sets")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"),
+                     F.col("_hash").alias("h"), F.col("_row").alias("r"))
+    # The first row of each node, then of each component.
+    by_node = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(place).alias("first"))
+    kept = (by_node.join(_node_labels(keyed, sets).select("node", "label"), "node")
+            .groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row")))
+    kept = kept.unionAll(sets.filter(F.col("node").isNull()).select("_row"))
+    return keyed.join(kept, "_row", "left_semi").drop("_row")

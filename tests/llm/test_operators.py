@@ -331,6 +331,17 @@ def test_ngram_components(spark, monkeypatch, part):
         assert ngram_join.near_components(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    """Copies of a row, an id with two texts, copies without an id, rows without words."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a)] * 5 + [(2, a), (2, b), (3, b), (3, c + " end"), (None, c + " end"), (None, d), (None, d)]
+    rows += [(4, None), (4, ""), (None, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], DOC + ", k long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c + " end"), (None, d), (4, None), (4, ""), (None, "")], key=str)
+    assert ngram_join.one_of_each(df).columns == df.columns
+
+
 @pytest.mark.parametrize("block", [7, 500_000])
 def test_components_in_blocks(spark, monkeypatch, block):
     """A long path, a star, a repeated edge and a loop, in one block and in many."""
