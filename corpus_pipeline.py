@@ -1,6 +1,7 @@
 """From raw documents to a training mix: toxic documents go, repeated lines go,
-one document of each near-duplicate group stays, documents that hold benchmark
-items go, and the sources are mixed to their target weights.
+one document of each near-duplicate group stays and repeated passages of the
+rest go, documents that hold benchmark items go, and the sources are mixed to
+their target weights.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes
 each stage's result as Parquet in the shared folder and reads it again for the
@@ -9,7 +10,8 @@ first and the fourth reads a table besides its input (labels, benchmark).
 
 Defined results: rows with null or empty text pass all filters; a document
 whose every line repeats earlier ones is a copy and goes with its lines; the
-near-duplicate stage goes by rows, whatever ids they repeat or lack.
+near-duplicate stage goes by rows, whatever ids they repeat or lack.  Passages
+go after near-duplicates, which would else be left as scraps.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm.common import table
+from tertulia.llm.common import stored, table
 from tertulia.llm.decontaminate import decontaminate
 from tertulia.llm.line_dedup import dedup_lines
 from tertulia.llm.mixing import mix_sources
 from tertulia.llm.ngram_join import one_of_each
+from tertulia.llm.passages import dedup_passages
 from tertulia.llm.toxicity import drop_toxic
 from tertulia.session import scratch_dir
 
@@ -30,16 +33,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+def _counted(out: DataFrame, docs: DataFrame, removed: str) -> DataFrame:
+    """The columns of ``docs``, ``n_chars`` counted anew where something was removed."""
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long"))
                              .otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c in out.columns])
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return _counted(out, docs, "n_removed")
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    out = dedup_passages(stored(one_of_each(docs), "pipeline-one-of-each"))
+    return _counted(out.filter((F.col("n_gone") == 0) | (F.col("text") != "")), docs, "n_gone")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

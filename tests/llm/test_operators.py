@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from tertulia.llm import html_text, ngram_join, pii, secrets, toxicity, warc
+from tertulia.llm import html_text, ngram_join, passages, pii, secrets, toxicity, warc
 from tertulia.llm.ann import nearest
 from tertulia.llm.common import spans_text
 from tertulia.llm.decontaminate import contaminated, decontaminate
@@ -34,6 +34,44 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_passages_in_mid_line(spark):
+    """Passages of 50 words on one line or over some, joined to other words at both ends."""
+    import corpus_pipeline
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def words(n):
+        return rng.choices(vocabulary, k=n)
+
+    def runs(text):
+        w = (text or "").split()
+        return {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
+
+    shared = [words(n) for n in (50, 50, 61, 200)]
+    rows = [(i, "\n".join(" ".join(words(rng.randrange(1, 40))) for _ in range(12))) for i in range(40)]
+    for i in range(40):
+        before, after = rows[i][1], " ".join(words(rng.randrange(60, 150)))
+        p = shared[i % 4]
+        rows[i] = (i, f"{before} " + " ".join(p[:20]) + rng.choice([" ", "\n", "  "]) + " ".join(p[20:]) + f" {after}\n")
+    rows += [(100, "word " * 30), (101, None), (102, ""), (103, "few words"), (0, rows[0][1]), (None, "x " + rows[1][1])]
+    df = spark.createDataFrame([(*r, "k") for r in rows], DOC + ", n_gone string")
+    got = passages.dedup_passages(df).select("doc_id", "text", "n_gone").collect()
+    assert len(got) == len(rows)
+    left = {r.doc_id: r.text for r in got}
+    count = collections.Counter(x for t in left.values() for x in runs(t))
+    assert max(count.values()) == 1
+    for i in range(4):  # the first occurrences stay whole, as do words outside of passages
+        assert left[i] == rows[i][1]
+    for i, t in rows[4:40]:
+        own = t.split()
+        at = next(j for j in range(len(own)) if own[j:j + 20] == shared[i % 4][:20])
+        assert left[i].split()[:at] == own[:at] and t.startswith(left[i][:len(" ".join(own[:at]))])
+    assert left[101] is None and left[102] == "" and left[103] == "few words"
+    stage = corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows[:40], DOC), None).collect()
+    assert max(collections.Counter(x for r in stage for x in runs(r.text)).values()) == 1
+    assert passages.dedup_passages(df.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "b", "c", None])) for i in range(400)]
