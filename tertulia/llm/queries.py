@@ -15,7 +15,8 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import near_components
 from .warc import round_trip, sha1_base32
-from .sql import LINE_DEDUP_SQL, MIXING_SQL
+from .sql import LINE_DEDUP_SQL, MIXING_SQL, URL_FILTER_SQL
+from .url_filter import judge
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -84,6 +85,11 @@ def op7_secrets(spark, sf_dir):
                         spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_url_filter(spark, sf_dir):
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"),
+                 table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -95,5 +101,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op13_url_filter": op13_url_filter,
 }
-ORACLE = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL}
+ORACLE = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL, "op13_url_filter": URL_FILTER_SQL}

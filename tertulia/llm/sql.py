@@ -47,3 +47,43 @@ y AS (SELECT rk, rn, count(*) AS n FROM c WHERE cum <= (SELECT sum(size) FROM d)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(y.n, 0) AS BIGINT) AS taken
 FROM q LEFT JOIN y ON q.rk = y.rk AND q.rn = y.rn
 """
+
+URL_FILTER_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+        try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})([^/0-9][^/]*)?/?\z', 1), '') AS BIGINT) AS doc_id FROM h),
+o AS (SELECT doc_id, min(CASE WHEN toxic = 1 OR quality = 0 THEN 0 WHEN quality = 1 THEN 1 END) AS good
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, count(o.good) AS n, coalesce(sum(o.good), 0) AS g FROM r LEFT JOIN o ON r.doc_id = o.doc_id GROUP BY host),
+nm AS (SELECT *, string_split(nm, '.') AS ls, nm NOT LIKE '%.%' OR regexp_matches(nm, '^[0-9.]+\z') OR starts_with(nm, '[') AS own
+       FROM (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.*(:[0-9]*)?\z', '') AS nm FROM c)),
+k AS (SELECT *, CASE WHEN len(ls) >= 2 AND ls[-2] || '.' || ls[-1] IN ('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za',
+        'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'org.uk') THEN 2 ELSE 1 END AS m FROM nm),
+hosts AS (SELECT host, CAST(n AS DOUBLE) AS n, CAST(g AS DOUBLE) AS g,
+            CASE WHEN own THEN nm ELSE array_to_string(list_slice(ls, greatest(len(ls) - m, 1), len(ls)), '.') END AS dom,
+            CASE WHEN own THEN '' ELSE array_to_string(list_slice(ls, greatest(len(ls) - m + 1, 1), len(ls)), '.') END AS suf FROM k),
+doms AS (SELECT dom, suf, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY dom, suf),
+sufs AS (SELECT suf, sum(n) AS n, sum(g) AS g FROM doms GROUP BY suf),
+lv AS (SELECT 'h' AS lv, dom AS up, n, g FROM hosts UNION ALL SELECT 'd', suf, n, g FROM doms UNION ALL SELECT 's', '', n, g FROM sufs),
+pp AS (SELECT lv, sum(n) AS n, sum(g) AS g, count(*) AS k, sum(g * g / n) AS q, sum(n * n) AS nn FROM lv WHERE n > 0 GROUP BY lv, up),
+st AS (SELECT lv, sum(q - g * g / n - (k - 1) * (g / n) * (1 - g / n)) AS ex,
+         sum((n - nn / n) * (g / n) * (1 - g / n)) AS no, sum(CASE WHEN k > 1 THEN k END) AS sev FROM pp GROUP BY lv),
+s AS (SELECT l.lv, CASE WHEN sev IS NULL THEN 10.0 WHEN ex * 1001 <= no THEN 1000.0 ELSE greatest(1.0, no / ex - 1) END AS w
+      FROM (VALUES ('h'), ('d'), ('s')) l(lv) LEFT JOIN st ON st.lv = l.lv),
+w AS (SELECT max(w) FILTER (lv = 'h') AS wh, max(w) FILTER (lv = 'd') AS wd, max(w) FILTER (lv = 's') AS ws FROM s),
+root AS (SELECT (coalesce(sum(g), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM sufs),
+ps AS (SELECT suf, (ws * p + g) / (ws + n) AS p FROM sufs, root, w),
+pd AS (SELECT dom, (wd * ps.p + g) / (wd + n) AS p FROM doms JOIN ps USING (suf), w),
+ph AS (SELECT host, wh * pd.p + g AS a, wh * (1 - pd.p) + n - g AS b FROM hosts JOIN pd USING (dom), w),
+v AS (SELECT host, round(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) >= 0.5 AS ok FROM ph)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN ok THEN 'allow' ELSE 'block' END AS verdict
+FROM r JOIN v ON r.host = v.host
+"""
