@@ -10,12 +10,14 @@ from . import toxicity as TOX
 from .ann import nearest
 from .common import spans_text, table
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives, relabelled
 from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import near_components
 from .warc import round_trip, sha1_base32
-from .sql import LINE_DEDUP_SQL, MIXING_SQL, URL_FILTER_SQL
+from .sql import HARD_NEGATIVES_SQL, LINE_DEDUP_SQL, MIXING_SQL, URL_FILTER_SQL
+from .token_align import alignment
 from .url_filter import judge
 
 
@@ -85,6 +87,15 @@ def op7_secrets(spark, sf_dir):
                         spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives(relabelled(vectors), F.col("vec_id") % 100 == 0)
+
+
 def op13_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"),
                  table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -101,6 +112,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
-ORACLE = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL, "op13_url_filter": URL_FILTER_SQL}
+ORACLE = {"op1_line_dedup": LINE_DEDUP_SQL, "op4_mixing": MIXING_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL,
+          "op13_url_filter": URL_FILTER_SQL}

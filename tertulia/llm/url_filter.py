@@ -124,8 +124,8 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     top = _posterior(suffixes.crossJoin(F.broadcast(root)), F.col("root"), _strength(suffixes.withColumn("all", F.lit(1)), "all"))
     mid = _posterior(heavy_join(domains, top.select("suffix", F.col("share").alias("up")), "suffix"), F.col("up"),
                      _strength(domains, "suffix"))
-    low = _posterior(heavy_join(hosts, mid.select("domain", F.col("share").alias("up")), "domain"), F.col("up"),
-                     _strength(hosts, "domain"))
+    mid = stored(mid.select("domain", F.col("share").alias("up")), "url-domains")
+    low = _posterior(heavy_join(hosts, mid, "domain"), F.col("up"), _strength(hosts, "domain"))
     s = F.col("a") + F.col("b")
     return low.withColumn("bound", F.col("share") - Z * F.sqrt(F.col("a") * F.col("b") / (s * s * (s + 1)))).drop("up")
 
@@ -140,7 +140,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MI
     hosts = stored(heavy_join(shown, outcomes(labels), "doc_id").groupBy("host")
                    .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"),
                         F.count(F.lit(1)).alias("pages")), "url-hosts")
-    known = host_reputation(hosts).select("host", (F.round("bound", 9) >= min_good).alias("_passes"))
+    known = stored(host_reputation(hosts).select("host", (F.round("bound", 9) >= min_good).alias("_passes")), "url-known")
     out = heavy_join(d, known, "host", hosts.select("host", F.col("pages").alias("n")))
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"),
                       F.coalesce(F.col("_rule.verdict"), F.when(F.col("_passes"), "allow").otherwise("block")).alias("verdict"))
