@@ -12,7 +12,8 @@ character and a blank or line break (A's splitting pattern always breaks there;
 B has no piece with a blank after another character and none with a line
 break, which is checked on its vocabulary).  So texts are cut into chunks at
 these places, and a chunk is encoded and aligned once while a worker remembers
-it.  A tokenizer without this property takes whole texts.
+it; new chunks are encoded together, as the text they make.  A tokenizer
+without this property takes whole texts.
 
 Documents are put into blocks of ``BLOCK_CHARS`` characters (a longer text is a
 block of its own), each with a dictionary of its distinct id pairs, and written
@@ -48,12 +49,17 @@ from .common import stored
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-BLOCK_CHARS = 4_000_000
-#: Chunks a worker remembers, and their greatest length.
-REMEMBERED = 100_000
+BLOCK_CHARS = 2_000_000
+#: Chunks a worker remembers (counted at the start of a block), their greatest length, and those encoded together.
+REMEMBERED = 300_000
 SHORT = 64
+TOGETHER = 20_000
+#: Links of a group beyond which its distinct ids are paired.
+LARGE = 1 << 20
 CHUNK = re.compile(r"(?<=\S)(?=[ \n]\s*\S)")
 SPACE = "▁"
+#: A chunk that stands in a text of such chunks as it does alone.
+PLAIN = re.compile(f"[ \n](?:[^{SPACE}]*[^\\s{SPACE}])")
 
 
 def tokenizer_file(name: str) -> str:
@@ -94,7 +100,13 @@ class Aligner:
         self.chunked = (start.get("type") == "ByteLevel" and start.get("use_regex", True) and not start.get("add_prefix_space")
                         and not any(re.search(f"[^{SPACE}]{SPACE}|[ \n]", p) for p in pieces))
         self.blank = self.b.piece_to_id(SPACE)
-        self.known: dict[str, tuple] = {}
+        self.fallback = np.array(self.fallback)
+        self.b_lengths = np.array([len(x) for x in self.b_bytes])
+        self.a_lengths = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_lengths[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        numbers = range(max(len(self.a_lengths), len(self.b_lengths)))
+        self.comma, self.bar, self.semicolon = (np.array([f"{i}{sign}" for i in numbers], object) for sign in ",|;")
+        self.forget()
 
     def chunks(self, text: str) -> list[str]:
         return CHUNK.split(" " + text) if self.chunked else [" " + text]
@@ -135,36 +147,115 @@ class Aligner:
             out.append((end, left, right))
         return out
 
-    def summary(self, tokens) -> tuple | None:
-        """(A tokens, B tokens, groups, links, digest text, distinct pairs, their links) of a chunk."""
-        if tokens is None:
+    def add(self, tokens: list[tuple | None]) -> None:
+        """Append summaries of chunks whose tokens are given one by one."""
+        for t in tokens:
+            a, b = (np.array(x, np.int64).reshape(-1, 2) for x in (t or ([], [])))
+            self.append(a[:, 0], a[:, 1], b[:, 0], b[:, 1], a[-1:, 1], t is not None)
+
+    def append(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, ends: np.ndarray, good: bool = True) -> None:
+        """Append the summaries of chunks that end at ``ends`` of a run of text: ids and ends of its tokens by A and B.
+        No chunks end in a bad one's empty tokens, which stand for one summary without any."""
+        n = max(1, len(ends))
+        cuts = np.intersect1d(a_end, b_end)
+        of_a, of_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)  # the group of each token
+        chunk = np.searchsorted(ends, cuts)  # the chunk of each group
+        k_a, k_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        to_a, to_b = np.cumsum(k_a), np.cumsum(k_b)
+        # The digest's text: a group's A tokens, then its B tokens, each with the sign after it.
+        place_a, place_b = np.arange(len(a)) + (to_b - k_b)[of_a], np.arange(len(b)) + to_a[of_b]
+        words = np.empty(len(a) + len(b), object)
+        words[place_a] = np.where(np.arange(len(a)) == to_a[of_a] - 1, self.bar[a], self.comma[a])
+        words[place_b] = np.where(np.arange(len(b)) == to_b[of_b] - 1, self.semicolon[b], self.comma[b])
+        # All pairs of a group; of a very large one only its distinct ids, with their number of links.
+        large = np.flatnonzero(k_a * k_b > LARGE)
+        k_pairs = np.where(k_a * k_b > LARGE, 0, k_b)[of_a]
+        left = np.repeat(np.arange(len(a)), k_pairs)
+        right = np.repeat((to_b - k_b)[of_a] - (np.cumsum(k_pairs) - k_pairs), k_pairs) + np.arange(k_pairs.sum())
+        pairs, owner = [a[left] << 32 | b[right]], [chunk[of_a[left]]]
+        times = [np.ones(len(left), np.int64)]
+        for g in large:
+            x, n_x = np.unique(a[to_a[g] - k_a[g]:to_a[g]], return_counts=True)
+            y, n_y = np.unique(b[to_b[g] - k_b[g]:to_b[g]], return_counts=True)
+            pairs.append((x[:, None] << 32 | y).ravel())
+            owner.append(np.full(len(x) * len(y), chunk[g]))
+            times.append((n_x[:, None] * n_y).ravel())
+        order = np.argsort(np.concatenate(owner), kind="stable") if len(large) else slice(None)
+        self.pairs.append(np.concatenate(pairs)[order])
+        self.times.append(np.concatenate(times)[order])
+        count = lambda x, w=None: np.bincount(x, w, n).astype(np.int64)
+        self.lengths.append(count(np.concatenate(owner)))
+        self.counts.append(np.stack([count(chunk[of_a]), count(chunk[of_b]), count(chunk), count(chunk, k_a * k_b)], 1))
+        self.good.append(np.full(n, good))
+        last = np.cumsum(count(chunk[of_a]) + count(chunk[of_b])).tolist()
+        self.texts += ["".join(words[i:j])[:-1] for i, j in zip([0, *last], last)]
+
+    def summarise(self, chunks: list[str]) -> None:
+        """Append the summaries of ``chunks``, in order.  Those that stand in a text as they do alone are encoded as
+        one text; the others, and all if that doesn't decode to itself, one by one."""
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at:at + TOGETHER]
+            alone = not self.chunked or not all(map(PLAIN.fullmatch, part))
+            found = None if alone else self.together(part)
+            if found is None:
+                self.add(list(self.encode(part)))
+            else:
+                self.append(*found)
+
+    def together(self, chunks: list[str]) -> tuple | None:
+        """Ids and ends of the tokens of plain chunks encoded as one text, and the chunks' ends; a first chunk of a
+        blank and a letter is put before them, and taken off again."""
+        text = " x" + "".join(chunks)
+        raw = text.encode()
+        left = self.a.encode(text, add_special_tokens=False)
+        right = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
+        a, b = np.array(left.ids, np.int64), np.array([p.id for p in right], np.int64)
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return None
-        groups = self.groups(*tokens)
-        pairs: dict[int, int] = {}
-        for _, left, right in groups:
-            if len(left) == len(right) == 1:
-                key = left[0] << 32 | right[0]
-                pairs[key] = pairs.get(key, 0) + 1
-                continue
-            times = {}
-            for i in right:
-                times[i] = times.get(i, 0) + 1
-            for i in left:
-                for j, n in times.items():
-                    pairs[i << 32 | j] = pairs.get(i << 32 | j, 0) + n
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for _, x, y in groups])
-        return (len(tokens[0]), len(tokens[1]), len(groups), sum(pairs.values()), text,
-                np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
-
-    def summaries(self, chunks: list[str]) -> list[tuple | None]:
-        new = [c for c in chunks if c not in self.known]
-        fresh = dict(zip(new, map(self.summary, self.encode(new)))) if new else {}
-        out = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        self.known.update((c, s) for c, s in fresh.items() if len(c) <= SHORT)
+        spans = np.array(left.offsets, np.int64).reshape(-1, 2)
+        if len(raw) == len(text):
+            a_end, widths = spans[:, 1], np.fromiter(map(len, chunks), np.int64, len(chunks))
+        else:
+            # Character offsets in bytes; tokens that share a character with the next end where their bytes do.
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            byte = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+            shared = np.append(spans[1:, 0] < spans[:-1, 1], False)
+            a_end = np.where(shared, np.cumsum(self.a_lengths[a]), byte[spans[:, 1]])
+            widths = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        # B's spans count the bytes of its text; byte tokens end where their bytes do.
+        b_end = np.array([p.end for p in right], np.int64) + 1
+        if self.fallback[b].any():
+            b_end = np.where(self.fallback[b], np.cumsum(self.b_lengths[b]), b_end)
+        x, y = np.searchsorted(a_end, 2, "right"), np.searchsorted(b_end, 2, "right")
+        return a[x:], a_end[x:] - 2, b[y:], b_end[y:] - 2, np.cumsum(widths)
+
+    def numbered(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk's summary."""
+        new = list(dict.fromkeys(c for c in chunks if c not in self.known))
+        base = len(self.texts)
+        self.known.update(zip(new, range(base, base + len(new))))
+        self.summarise(new)
+        out = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        for c in new:
+            if len(c) > SHORT:
+                del self.known[c]
         return out
 
+    def forget(self) -> None:
+        """Empty the memory of chunks."""
+        self.known: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.pairs, self.times, self.lengths, self.counts, self.good = ([] for _ in range(5))
+
+    def summaries(self) -> tuple[np.ndarray, ...]:
+        """(pairs, their links, number of pairs of each chunk, its counts, whether it decodes to itself)."""
+        for name in ("pairs", "times", "lengths", "counts", "good"):
+            whole = getattr(self, name)
+            setattr(self, name, [np.concatenate(whole)] if whole else [])
+        empty = np.zeros(0, np.int64)
+        return tuple(x[0] if x else y for x, y in zip((self.pairs, self.times, self.lengths, self.counts, self.good),
+                                                      (empty, empty, empty, empty.reshape(0, 4), empty.astype(bool))))
+
 
 @functools.lru_cache(maxsize=2)
 def aligner(byte_bpe: str, piece_bpe: str) -> Aligner:
@@ -177,35 +268,35 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 def block_of(al: Aligner, texts: list[str | None]) -> dict[str, np.ndarray | list]:
     """A block: per document its counts and digest, and its pairs (``ptr`` to ``idx``, places in the
     dictionary ``pair``, with ``times`` links); ``docs`` of the block hold a pair."""
-    local: dict[str, int] = {}
-    flat = [[local.setdefault(c, len(local)) for c in al.chunks(t)] if t else [] for t in texts]
-    known = al.summaries(list(local))
-    bad = np.array([s is None for s in known], bool)
-    flat = [f if not (f and bad[f].any()) else [] for f in flat]
-    n, k = len(texts), max(1, len(local))
-    sizes = np.array([len(f) for f in flat])
-    doc, chunk = np.repeat(np.arange(n), sizes), np.array([c for f in flat for c in f], np.int64)
-    each = np.array([(0, 0, 0, 0) if s is None else s[:4] for s in known], np.int64).reshape(len(known), 4)
-    out: dict = {name: np.bincount(doc, each[chunk, i], n).astype(np.int64) for i, name in enumerate(COUNTS)}
-    out["groups_sha256"] = [hashlib.sha256(";".join([known[c][4] for c in f]).encode()).hexdigest() if f else "" for f in flat]
+    if len(al.texts) > REMEMBERED:
+        al.forget()
+    cut = [al.chunks(t) if t else [] for t in texts]
+    sizes = np.array([len(c) for c in cut], np.int64)
+    n = len(texts)
+    doc, chunk = np.repeat(np.arange(n), sizes), al.numbered([c for x in cut for c in x])
+    pairs, links, lengths, counts, good = al.summaries()
+    bad = np.bincount(doc, ~good[chunk], n) > 0
+    doc, chunk = doc[~bad[doc]], chunk[~bad[doc]]
+    sizes = np.where(bad, 0, sizes)
+    out: dict = {name: np.bincount(doc, counts[chunk, i], n).astype(np.int64) for i, name in enumerate(COUNTS)}
+    ends = np.cumsum(sizes).tolist()
+    named = [al.texts[c] for c in chunk.tolist()]
+    out["groups_sha256"] = [hashlib.sha256(";".join(named[i:j]).encode()).hexdigest() if j > i else ""
+                            for i, j in zip([0, *ends], ends)]
     # Distinct (document, chunk), then their pairs, then distinct (document, pair).
+    k = max(1, len(lengths))
     key, times = np.unique(doc * k + chunk, return_counts=True)
     doc, chunk = key // k, key % k
-    none = np.zeros(0, np.int64)
-    lengths = np.array([0 if s is None else len(s[5]) for s in known], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    pair, place = np.unique(np.concatenate([none, *[s[5] for s in known if s is not None]]), return_inverse=True)
-    links = np.concatenate([none, *[s[6] for s in known if s is not None]])
     reps = lengths[chunk]
+    starts = np.cumsum(lengths) - lengths
     at = np.repeat(starts[chunk] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+    pair, place = np.unique(pairs[at], return_inverse=True)
     p = max(1, len(pair))
-    key, where = np.unique(np.repeat(doc, reps) * p + place[at], return_inverse=True)
-    idx = key % p
+    key, where = np.unique(np.repeat(doc, reps) * p + place, return_inverse=True)
+    out["idx"] = key % p
     out["ptr"] = np.searchsorted(key // p, np.arange(n + 1))
     out["times"] = np.bincount(where, links[at] * np.repeat(times, reps), len(key)).astype(np.int64)
-    held = np.bincount(idx, minlength=len(pair))
-    kept = np.flatnonzero(held)  # pairs of documents without tokens go
-    out |= {"idx": np.searchsorted(kept, idx), "pair": pair[kept], "docs": held[kept]}
+    out |= {"pair": pair, "docs": np.bincount(out["idx"], minlength=len(pair))}
     return out
 
 

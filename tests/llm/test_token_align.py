@@ -119,9 +119,18 @@ def test_empty(spark):
 def test_memory_of_chunks_is_bounded(monkeypatch):
     monkeypatch.setattr(A, "REMEMBERED", 10)
     al = A.Aligner(A.BYTE_BPE, A.PIECE_BPE)
-    for i in range(30):
-        al.summaries([f" w{i}", f" x{i}", " " + "y" * 100])
-    assert len(al.known) <= 12 and all(len(c) <= A.SHORT for c in al.known)
+    for i in range(8):
+        got = A.block_of(al, [f"w{i} x{i} " + "y" * 100, "a b"])
+        assert got["n_a"].tolist() == A.block_of(A.Aligner(A.BYTE_BPE, A.PIECE_BPE), [f"w{i} x{i} " + "y" * 100, "a b"])["n_a"].tolist()
+        assert len(al.texts) <= 16 and all(len(c) <= A.SHORT for c in al.known)
+
+
+def test_large_groups_pair_distinct_ids(monkeypatch):
+    texts = ["你好世界" * 30, "naïve \U0001f468‍\U0001f469 " * 20, "plain words here", "x" * 500]
+    one = A.block_of(A.Aligner(A.BYTE_BPE, A.PIECE_BPE), texts)
+    monkeypatch.setattr(A, "LARGE", 1)
+    two = A.block_of(A.Aligner(A.BYTE_BPE, A.PIECE_BPE), texts)
+    assert {k: list(v) for k, v in one.items()} == {k: list(v) for k, v in two.items()}
 
 
 def test_texts_are_not_shuffled(spark):
