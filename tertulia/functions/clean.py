@@ -46,7 +46,6 @@ OLDER_EMOJI_RANGES = [(0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF)
 OLDER_URL_CHARS = "./?=&%"
 
 _LEFT_QUOTE, _RIGHT_QUOTE = "‘", "’"
-_HASH_OPEN, _HASH_CLOSE = "﷐", "﷑"   # Unicode noncharacters as markers
 
 
 def _laugh_pattern(stem: str) -> str:
@@ -80,17 +79,18 @@ def split_hashtags(c: Column) -> Column:
     """C4: ``#HablarPorHablar`` -> ``Hablar Por Hablar``.
 
     A hashtag is ``#`` not preceded by a word char, followed by word chars.
-    Its body is wrapped in two noncharacter markers, spaces are inserted at
-    lower->Upper and Upper->Upper+lower transitions (ASCII case classes, as in
-    the reference) that lie inside a marked body, then markers are dropped.
-    No bounded look-behind, so hashtags of any length are handled.
+    The text is cut into hashtags and what stands between them; only the
+    hashtags' bodies get spaces at lower->Upper and Upper->Upper+lower
+    transitions (ASCII case classes, as in the reference).  Every character is
+    looked at a bounded number of times, whatever the length of a hashtag, and
+    texts without ``#`` are left alone.
     """
-    o, e = _HASH_OPEN, _HASH_CLOSE
-    c = F.regexp_replace(c, rf"{NO_WORD_BEFORE}#({WORD}+)", f"{o}$1{e}")
-    inside = rf"{WORD}*{e}"
-    c = F.regexp_replace(
-        c, rf"(?<=[a-z])(?=[A-Z]{inside})|(?<=[A-Z])(?=[A-Z][a-z]{inside})", " ")
-    return F.translate(c, o + e, "")
+    pieces = F.regexp_extract_all(c, F.lit(rf"({NO_WORD_BEFORE}#{WORD}++|[^#]++|#)"), 1)
+    body = lambda p: F.regexp_replace(
+        F.substring(p, F.lit(2), F.length(p)), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    split = F.array_join(F.transform(
+        pieces, lambda p: F.when(p.startswith("#") & (p != "#"), body(p)).otherwise(p)), "")
+    return F.when(c.contains("#"), split).otherwise(c)
 
 
 def remove_urls(c: Column, token: str = "") -> Column:

@@ -43,13 +43,19 @@ TREEBANK_RULES = [
     # brackets
     (r"[\]\[(){}<>]", " $0 "),
     (r"--", " -- "),
-    # closing quotes and clitics
+    # closing quotes and clitics, also at the ends of the text
+    (r"\A", " "),
+    (r"\z", " "),
     (r'"', " '' "),
     (r"([^\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}])('')", "$1 $2 "),
     (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
 ]
 
+# Contractions that are two tokens, and where the first ends.
+CONTRACTIONS = {"cannot": 3, "d'ye": 1, "gimme": 3, "gonna": 3, "gotta": 3, "lemme": 3, "more'n": 4, "wanna": 3,
+                "'tis": 2, "'twas": 2}
+
 # Detokeniser: (pattern, Java replacement).
 DETOKENIZE_RULES = [
     (r"(``|'')", '"'),
@@ -67,7 +73,15 @@ def treebank_tokens(c: Column) -> Column:
     """Treebank-style word tokens."""
     for pat, rep in TREEBANK_RULES:
         c = F.regexp_replace(c, pat, rep)
-    return F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
+    tokens = F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
+
+    def parts(t: Column) -> Column:
+        out = F.array(t)
+        for word, at in CONTRACTIONS.items():
+            out = F.when(F.lower(t) == word, F.array(F.substring(t, 1, at), F.substring(t, at + 1, len(word)))).otherwise(out)
+        return F.when(F.lower(t).isin(*CONTRACTIONS), out).otherwise(F.array(t))
+
+    return F.flatten(F.transform(tokens, parts))
 
 
 def tokens_joined(c: Column) -> Column:
@@ -128,8 +142,11 @@ def strip_accents_tokens(tokens: Column) -> Column:
     return F.transform(tokens, strip_accents)
 
 
-def stopwords() -> tuple[str, ...]:
-    """The Spanish stop words (functions/stopwords_es.py)."""
+def stopwords(language: str = "spanish") -> tuple[str, ...]:
+    """The stop words of ``language``: Spanish (functions/stopwords_es.py);
+    other lists go into ``remove_stopwords`` as they are."""
+    if language != "spanish":
+        raise ValueError(f"no stop words for {language!r}")
     return spanish_stopwords()
 
 

@@ -136,37 +136,45 @@ def hashtag_stats(tw: DataFrame, text_col: str = "content", split_col: str = "sp
 def feature_by_label(features: DataFrame, feature_cols: list[str],
                      label_col: str = "sentiment") -> DataFrame:
     """X11: counts of (feature value, label) for several features in one
-    aggregation (one Expand-like explode + one partial aggregate)."""
+    aggregation (one Expand-like explode + one partial aggregate); values as
+    text, since dates' parts are."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               F.col(f).cast("bigint").alias("value")) for f in feature_cols])
+                               F.col(f).cast("string").alias("value")) for f in feature_cols])
     return (features.select(label_col, F.explode(pairs).alias("p"))
             .groupBy(F.col("p.feature").alias("feature"), F.col("p.value").alias("value"),
                      F.col(label_col))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def right_closed_bin(x: Column, width: float) -> Column:
-    """Index of the right-closed bin ``(i*w, (i+1)*w]`` holding ``x``."""
-    return (F.ceil(x / F.lit(width)) - 1).cast("bigint")
-
-
-def binned_by_label(features: DataFrame, value_col: str, width: float, lo: float, hi: float,
-                    labels: list[int], label_col: str = "sentiment") -> DataFrame:
-    """Counts per right-closed bin over ``(lo, hi]`` and label; empty
-    cells appear with 0 (bins x labels dimension, left-joined)."""
-    n_bins = int(round((hi - lo) / width))
-    b = right_closed_bin(F.col(value_col) - F.lit(lo), width)
-    counts = (features.filter((F.col(value_col) > lo) & (F.col(value_col) <= hi))
-              .groupBy(b.alias("bin"), F.col(label_col)).agg(F.count(F.lit(1)).alias("n")))
+def binned_by_label(features: DataFrame, bins: dict[str, tuple[float, float, float]], labels: list[int],
+                    label_col: str = "sentiment", decimals: int = 9) -> DataFrame:
+    """Counts per feature, right-closed bin and label, all features in one
+    aggregation.  ``bins``: feature -> (low, high, width).  Empty cells appear
+    with 0.  What lies at or below ``low`` is counted in bin -1, what lies above
+    ``high`` in bin n, null values in a null bin, so each feature's counts sum to
+    the rows read.  Values are rounded to ``decimals`` first, so that a ratio on a
+    bin's edge stays in the bin."""
+    rows = []
+    for name, (lo, hi, width) in bins.items():
+        n = int(round((hi - lo) / width))
+        x = F.round(F.col(name).cast("double"), decimals)
+        inside = F.ceil(F.round((x - F.lit(lo)) / F.lit(width), decimals)).cast("long") - 1
+        b = F.when(x <= lo, F.lit(-1).cast("long")).when(x > hi, F.lit(n).cast("long")).when(x.isNotNull(), inside)
+        rows.append(F.struct(F.lit(name).alias("feature"), b.alias("bin")))
+    counts = (features.select(label_col, F.explode(F.array(*rows)).alias("p"))
+              .groupBy(F.col("p.feature").alias("feature"), F.col("p.bin").alias("bin"), label_col)
+              .agg(F.count(F.lit(1)).alias("n")))
     spark = features.sparkSession
-    dim = spark.range(n_bins).select(
-        F.col("id").alias("bin"),
-        F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias(label_col))
-    return (dim.join(counts, ["bin", label_col], "left")
-            .select(F.col("bin"),
-                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
-                    F.col(label_col), F.coalesce(F.col("n"), F.lit(0)).alias("n")))
+    edges = spark.createDataFrame([(name, float(lo), float(width), int(round((hi - lo) / width)))
+                                   for name, (lo, hi, width) in bins.items()],
+                                  "feature string, lo double, width double, n_bins int")
+    cells = (edges.select("feature", F.expr("explode(sequence(0L, CAST(n_bins - 1 AS BIGINT)))").alias("bin"))
+             .select("*", F.explode(F.array(*[F.lit(int(x)) for x in labels])).alias(label_col), F.lit(0).cast("long").alias("n")))
+    every = counts.unionByName(cells).groupBy("feature", "bin", label_col).agg(F.sum("n").alias("n"))
+    out = every.join(F.broadcast(edges), "feature")  # one row a feature
+    lower = F.when(F.col("bin") >= 0, F.round(F.col("lo") + F.col("bin") * F.col("width"), decimals))
+    upper = F.when(F.col("bin") < F.col("n_bins"), F.round(F.col("lo") + (F.col("bin") + 1) * F.col("width"), decimals))
+    return out.select("feature", "bin", lower.alias("bin_lo"), upper.alias("bin_hi"), label_col, "n")
 
 
 def label_distribution(df: DataFrame, label_col: str = "sentiment") -> DataFrame:
@@ -177,7 +185,9 @@ def label_distribution(df: DataFrame, label_col: str = "sentiment") -> DataFrame
 
 def oov_report(train_terms: DataFrame, dev_terms: DataFrame) -> DataFrame:
     """train/dev vocabulary sizes and out-of-vocabulary share (inputs
-    are one-column ``term`` tables, duplicates allowed)."""
+    are one-column ``term`` tables, duplicates allowed).  Lower-case both sides
+    first; with only dev lower-cased, capitalised training words make their
+    lower-cased forms count as unknown, as in the compatibility mode."""
     tv = train_terms.select("term").distinct().withColumn("_t", F.lit(True))
     dv = dev_terms.select("term").distinct().withColumn("_d", F.lit(True))
     both = tv.join(dv, "term", "full")
@@ -186,3 +196,19 @@ def oov_report(train_terms: DataFrame, dev_terms: DataFrame) -> DataFrame:
         F.count_if(F.col("_d").isNotNull()).alias("dev_vocabulary"),
         F.count_if(F.col("_d").isNotNull() & F.col("_t").isNull()).alias("oov_terms"),
     ).withColumn("oov_pct", 100.0 * F.col("oov_terms") / F.nullif(F.col("dev_vocabulary"), F.lit(0)))
+
+
+def oov_words(train_terms: DataFrame, dev_terms: DataFrame, top: int = 10) -> DataFrame:
+    """The dev terms that training lacks, with their occurrences, and the
+    ``top`` most frequent terms of either side: (kind, rank, term, n), kind oov
+    (rank null), train or dev.  Inputs are one-column ``term`` tables."""
+    counts = lambda t: t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    train, dev = counts(train_terms), counts(dev_terms)
+    oov = dev.join(train.select("term"), "term", "left_anti").select(
+        F.lit("oov").alias("kind"), F.lit(None).cast("int").alias("rank"), "term", "n")
+    out = oov
+    for kind, c in (("train", train), ("dev", dev)):
+        first = c.orderBy(F.desc("n"), "term").limit(top)  # a window over ``top`` rows
+        rank = F.row_number().over(Window.orderBy(F.desc("n"), "term"))
+        out = out.unionByName(first.select(F.lit(kind).alias("kind"), rank.alias("rank"), "term", "n"))
+    return out

@@ -4,10 +4,14 @@ first partial aggregation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+from ..sources.runs import read_lines_ordered
+
 MISSING = "?"
+SCORES = ["maf1", "map", "mar", "a", "mip", "mir", "mif1"]
 
 
 def pair_counts(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
@@ -132,6 +136,29 @@ def parse_id_label_lines(lines: DataFrame, order_col: str) -> DataFrame:
         ok.alias("ok"), F.col(order_col))
 
 
+def score_files(spark: SparkSession, gold_path: str, run_path: str, compat: bool = False) -> DataFrame:
+    """S11 -> E3/E4: the shared-task scores of a run file, one row.
+
+    Lines are ordered by (file, place in it), so the last line of an id wins
+    wherever the files are split.  Malformed gold lines are skipped; one
+    malformed run line makes the whole run invalid: ``valid_run`` is false and
+    all scores are null.  The run is read once: the count of malformed lines is
+    observed while the parsed lines are written, before anything is scored.
+    """
+    seen = Observation("run lines")
+    parsed = parse_id_label_lines(read_lines_ordered(spark, run_path), "line_order")
+    parsed = parsed.observe(seen, F.count_if(~F.col("ok")).alias("malformed"))
+    path = scratch_dir(spark, "run-lines")
+    parsed.filter("ok").select("id", "label", F.col("line_order").alias("line")).write.parquet(path)
+    malformed = seen.get["malformed"]
+    head = [F.lit(malformed == 0).alias("valid_run"), F.lit(malformed).cast("long").alias("malformed_lines")]
+    if malformed:
+        return spark.range(1).select(*head, *[F.lit(None).cast("double").alias(c) for c in SCORES])
+    gold = parse_id_label_lines(read_lines_ordered(spark, gold_path), "line_order").filter("ok")
+    gold = gold.select("id", "label", F.col("line_order").alias("line"))
+    return task_scores(gold, spark.read.parquet(path), compat).select(*head, *SCORES)
+
+
 def run_file_audit(gold_lines: DataFrame, run_lines: DataFrame, order_col: str) -> DataFrame:
     """E5: counts of valid / malformed / unknown / duplicate / missing run
     ids (one row); ``valid_run`` is false when any run line is malformed

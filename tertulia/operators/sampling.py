@@ -3,15 +3,16 @@
 Row order comes from a seeded hash of the row id (``md5('<seed>:<id>')``),
 so results do not depend on partitioning and can be recomputed in SQL.
 
-Exact positional cuts never use a global single-partition window: rows are
-bucketed by a hash prefix, bucket sizes are aggregated (map-side partial
-counts), running offsets are computed on that small aggregate, and only the
-rows of the (at most one per cut) boundary buckets are ranked.
+Exact positional cuts never use a global single-partition window: the hash at
+a cut's rank is selected by counts of hash prefixes, and rows then compare
+their own hash with it; dense ranks add the rank in a prefix's bucket to the
+running sum of the bucket counts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ SPLIT_3WAY = (0.7, 0.85)   # train | dev | test cut fractions
 SPLIT_2WAY = (0.85,)       # train | dev
 ROWS_PER_BUCKET = 100_000  # target rows per hash bucket
 MAX_BROADCAST_BUCKETS = 1 << 16
+RADIX_DIGITS = 4           # hex digits a pass of the rank selection counts by
+HASH_DIGITS = 32           # of an md5
+QUOTA_SALTS = 64           # tasks that rank a class before the last one does
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def seeded_hash(id_col: Column | str, seed: int = SHUFFLE_SEED) -> Column:
@@ -31,7 +36,7 @@ def seeded_hash(id_col: Column | str, seed: int = SHUFFLE_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def hash_to_int(h: Column, digits: int = 8) -> Column:
+def hash_to_int(h: Column, digits: int = 15) -> Column:
     """First ``digits`` hex digits of a hex hash as a non-negative BIGINT."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
 
@@ -69,11 +74,54 @@ def dense_index(df: DataFrame, hash_col: str, by: list[str] | None = None,
     return x.withColumn(out, F.col("_off") + rank - 1).drop("_b", "_off")
 
 
-def _split_name(idx: Column, cuts: list[int], names: list[str]) -> Column:
-    e = F.lit(names[-1])
-    for c, name in reversed(list(zip(cuts, names))):
-        e = F.when(idx < c, F.lit(name)).otherwise(e)
-    return e
+def hash_at_ranks(hashes: DataFrame, ranks_of: Callable[[int], list[int]],
+                  few: int = ROWS_PER_BUCKET) -> list[str | None]:
+    """The hashes at given 0-based ranks of the one-column table ``hashes``
+    (hex, of equal length), by radix selection.
+
+    A pass counts the rows by the next four hex digits (map-side partial
+    aggregates, at most 16^4 counts for each rank sought); the counts name the
+    one bucket that holds a rank and its rank in it, and the next pass reads
+    only those buckets, until they hold ``few`` rows, which are sorted.
+    ``ranks_of`` maps the number of rows to the ranks; a rank beyond the rows
+    gives None.
+    """
+    col = hashes.columns[0]
+
+    def counted(df: DataFrame, digits: int) -> list[tuple[str, int]]:
+        rows = df.groupBy(F.substring(col, 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return sorted((r["b"], r["n"]) for r in rows)
+
+    sizes = counted(hashes, RADIX_DIGITS)
+    ranks = ranks_of(sum(n for _, n in sizes))
+    out: list[str | None] = [None] * len(ranks)
+    todo = {}  # position in ``ranks`` -> (bucket, rank in it, its size)
+
+    def locate(at: int, rank: int, buckets: list[tuple[str, int]]) -> None:
+        for b, n in buckets:
+            if rank < n:
+                todo[at] = (b, rank, n)
+                return
+            rank -= n
+
+    for at, rank in enumerate(ranks):
+        locate(at, rank, sizes)
+    digits = RADIX_DIGITS
+    while todo:
+        inside = hashes.filter(F.substring(col, 1, digits).isin(*{b for b, _, _ in todo.values()}))
+        if max(n for _, _, n in todo.values()) <= few or digits >= HASH_DIGITS:
+            # A bucket of the whole hash holds equal values only: one of them is enough.
+            values = inside if digits < HASH_DIGITS else inside.distinct()
+            held = sorted(r[0] for r in values.collect())
+            for at, (b, rank, _) in todo.items():
+                mine = [h for h in held if h.startswith(b)]
+                out[at] = mine[min(rank, len(mine) - 1)]
+            return out
+        digits += RADIX_DIGITS
+        buckets = counted(inside, digits)
+        for at, (b, rank, _) in list(todo.items()):
+            locate(at, rank, [x for x in buckets if x[0].startswith(b)])
+    return out
 
 
 def assign_split(df: DataFrame, id_col: str, three_way: bool = True,
@@ -81,47 +129,22 @@ def assign_split(df: DataFrame, id_col: str, three_way: bool = True,
     """Exact seeded split, ``floor(.7n)``/``floor(.85n)`` or ``floor(.85n)``.
 
     Returns ``df`` plus ``split`` in {train, dev, test} (or {train, dev}).
-    Bucket-level work: one count, one bucket-count aggregate; rows outside the
-    boundary buckets get their split from the bucket key alone (no shuffle).
+    The hashes at the cut ranks are selected first, on the ids alone
+    (``hash_at_ranks``); the split is then a projection, ``hash < cut``, so
+    whatever reads the result scans ``df`` once and shuffles nothing for it.
+    Rows that repeat an id share a split; null ids hash like an empty id.
     """
     fracs = SPLIT_3WAY if three_way else SPLIT_2WAY
     names = ["train", "dev", "test"] if three_way else ["train", "dev"]
-    x = df.withColumn("_h", seeded_hash(id_col, seed))
-    n = x.count()
-    cuts = [int(math.floor(f * n)) for f in fracs]
-    L = prefix_length(n)
-    x = x.withColumn("_b", F.substring("_h", 1, L))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_b", "_cnt", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    cond = None
-    for c in cuts:
-        k = (F.col("_off") <= c) & (F.lit(c) < F.col("_off") + F.col("_cnt"))
-        cond = k if cond is None else (cond | k)
-    # At most one bucket per cut point: a handful of rows reach the driver.
-    rows = offs.filter(cond).select("_b", "_off", "_cnt").collect() if n else []
-    cut_bucket = [next(r["_b"] for r in rows if r["_off"] <= c < r["_off"] + r["_cnt"])
-                  for c in cuts] if rows else []
-    boundary = {r["_b"]: r["_off"] for r in rows}
-    bkeys = sorted(boundary)
-
-    # A whole bucket lies before every cut whose boundary bucket sorts after it.
-    n_before = F.lit(0)
-    for k in cut_bucket:
-        n_before = n_before + F.when(F.col("_b") > F.lit(k), 1).otherwise(0)
-    whole = F.element_at(F.array(*[F.lit(v) for v in names]), n_before + 1)
-
-    inner = x.filter(~F.col("_b").isin(bkeys)) if bkeys else x
-    inner = inner.withColumn(out, whole)
-    if not bkeys:
-        return inner.drop("_h", "_b")
-    edge = x.filter(F.col("_b").isin(bkeys))
-    off_col = F.lit(0).cast("bigint")
-    for k in bkeys:
-        off_col = F.when(F.col("_b") == k, F.lit(boundary[k])).otherwise(off_col)
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
-    edge = edge.withColumn(out, _split_name(off_col + rank - 1, cuts, names))
-    return inner.unionByName(edge).drop("_h", "_b")
+    h = seeded_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
+    cuts = hash_at_ranks(df.select(h.alias("h")), lambda n: [int(math.floor(f * n)) for f in fracs])
+    split = F.lit(names[-1])
+    for cut, name in reversed(list(zip(cuts, names))):
+        if cut is None:  # no row lies at or beyond the cut
+            split = F.lit(name)
+        else:
+            split = F.when(h < F.lit(cut), name).otherwise(split)
+    return df.withColumn(out, split)
 
 
 def hash_split(df: DataFrame, id_col: str, three_way: bool = True,
@@ -130,7 +153,7 @@ def hash_split(df: DataFrame, id_col: str, three_way: bool = True,
     sizes only approximately 70/15/15 (or 85/15)."""
     fracs = SPLIT_3WAY if three_way else SPLIT_2WAY
     names = ["train", "dev", "test"] if three_way else ["train", "dev"]
-    u = hash_to_int(seeded_hash(id_col, seed)) / F.lit(float(1 << 32))
+    u = hash_to_int(seeded_hash(id_col, seed), 8) / F.lit(float(1 << 32))
     e = F.lit(names[-1])
     for f, name in reversed(list(zip(fracs, names))):
         e = F.when(u < F.lit(f), F.lit(name)).otherwise(e)
@@ -193,13 +216,23 @@ def quota_sample(df: DataFrame, quotas: DataFrame, label_col: str, order_col: st
     """Per locale, the first ``quota`` rows of each class in ``order_col``
     order (locales may share rows; short classes give fewer rows).
 
-    The rank filter uses a literal bound (largest quota), which Spark turns
-    into a partial per-partition top-k (WindowGroupLimit) before the shuffle,
-    so a hot class never ships more than ``max quota`` rows per partition.
+    A class is ranked twice: within the tasks that read it, dealt to
+    ``QUOTA_SALTS`` groups, then over what these leave.  The rank filters use a
+    literal bound (largest quota), which Spark turns into a per-partition top-k
+    before each shuffle (WindowGroupLimit), so a hot class never ships more
+    than ``max quota`` rows a task and its last ranking sees at most
+    ``QUOTA_SALTS`` times that.  Spark does so up to a bound of its own, which
+    is raised in the session if the quotas go beyond it.
     """
-    qmax = quotas.agg(F.max(quota_col)).first()[0] or 0
+    qmax = int(quotas.agg(F.max(quota_col)).first()[0] or 0)
+    spark = df.sparkSession
+    if int(spark.conf.get(GROUP_LIMIT, "1000")) < qmax:
+        spark.conf.set(GROUP_LIMIT, str(qmax))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(QUOTA_SALTS)))
+    first = F.row_number().over(Window.partitionBy(label_col, "_salt").orderBy(order_col))
+    left = salted.withColumn("_rn", first).filter(F.col("_rn") <= F.lit(qmax)).drop("_rn", "_salt")
     w = Window.partitionBy(label_col).orderBy(order_col)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(qmax)))
+    ranked = left.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(qmax))
     q = broadcast_if_small(quotas.select(F.col(locale_col), F.col("label").alias("_ql"),
                                          F.col(quota_col).alias("_q")))
     out = ranked.join(q, (F.col(label_col) == F.col("_ql")) & (F.col("_rn") <= F.col("_q")))
@@ -210,15 +243,16 @@ def union_corpora(frames: dict[str, DataFrame], dedupe: bool = False,
                   name_col: str = "dataset") -> DataFrame:
     """Append corpora (missing columns become null), tagging each row.
 
-    ``dedupe=True`` drops rows repeated across corpora (same content and
-    label), which happens when two corpora share a training file.
+    ``dedupe=True`` keeps one row of those repeated across corpora (equal in
+    all other columns), with the first corpus name, which happens when two
+    corpora share a training file.
     """
     out = None
     for name, f in frames.items():
         f = f.withColumn(name_col, F.lit(name))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     if dedupe:
-        out = out.dropDuplicates([c for c in out.columns if c != name_col])
+        out = out.groupBy(*[c for c in out.columns if c != name_col]).agg(F.min(name_col).alias(name_col))
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.generators import explode_rows
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, heavy_join
 
 TFIDF_MAX_FEATURES = 5000
 DISCRIMINATING_TOP_N = 50
@@ -112,17 +112,51 @@ def tfidf(terms: DataFrame, id_col: str, fit: Column, n_fit_docs: Column,
     frequency in the fitting rows (ties: term ascending),
     ``idf = ln((1+n)/(1+df)) + 1`` with ``n = n_fit_docs`` (documents with
     no token included), raw tf, rows L2-normalised."""
-    stats = (terms.filter(fit).groupBy("term")
-             .agg(F.sum("tf").alias("_tot"), F.count(F.lit(1)).alias("_df"))
-             .orderBy(F.desc("_tot"), F.asc("term")).limit(max_features))
     # Bounded by max_features rows: safe to broadcast.
-    vocab = F.broadcast(stats.select(
-        "term", (F.log((1 + n_fit_docs) / (1 + F.col("_df"))) + 1).alias("_idf")))
-    w = terms.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("_idf")).alias("_w"))
+    vocab = F.broadcast(tfidf_vocabulary(terms, fit, n_fit_docs, max_features).drop("idx"))
+    w = terms.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
+def tfidf_vocabulary(terms: DataFrame, fit: Column, n_fit_docs: Column, max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
+    """(term, idx, idf) of the ``max_features`` most frequent terms of the
+    fitting rows, idx counting them from 0 (ties: term ascending)."""
+    stats = (terms.filter(fit).groupBy("term")
+             .agg(F.sum("tf").alias("_tot"), F.count(F.lit(1)).alias("_df"))
+             .orderBy(F.desc("_tot"), F.asc("term")).limit(max_features))
+    # A window over at most max_features rows.
+    rank = F.row_number().over(Window.orderBy(F.desc("_tot"), F.asc("term")))
+    return stats.select("term", (rank - 1).cast("int").alias("idx"), (F.log((1 + n_fit_docs) / (1 + F.col("_df"))) + 1).alias("idf"))
+
+
+def tfidf_vectors(terms: DataFrame, docs: DataFrame, id_col: str, fit: Column, n_fit_docs: Column,
+                  max_features: int = TFIDF_MAX_FEATURES, out: str = "features") -> DataFrame:
+    """``docs`` with V3 as an ML vector: sparse, L2-normalised, of
+    ``max_features`` entries; rows without a term of the vocabulary get the
+    zero vector.  Entries are gathered per document from the long table; the
+    vocabulary stays in the cluster."""
+    vocab = F.broadcast(tfidf_vocabulary(terms, fit, n_fit_docs, max_features))
+    entry = F.struct("idx", (F.col("tf") * F.col("idf")).alias("w"))
+    per = (terms.join(vocab, "term").groupBy(id_col)
+           .agg(F.sort_array(F.collect_list(entry)).alias("_e"), F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("_n")))
+    per = per.select(id_col, F.col("_e.idx").alias("_i"), F.transform("_e", lambda e: e["w"] / F.sqrt("_n")).alias("_w"))
+    d = docs.join(per, id_col, "left")
+    return d.withColumn(out, sparse_vector(max_features)("_i", "_w")).drop("_i", "_w")
+
+
+def sparse_vector(size: int):
+    """(indices, values) -> sparse ML vector, one small call a row at the ML edge."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    return F.udf(lambda i, w: SparseVector(size, i or [], w or []), VectorUDT())
+
+
+def vector_entries(col: Column) -> Column:
+    """The (idx, weight) entries of a sparse ML vector."""
+    parts = F.udf(lambda v: [(int(i), float(x)) for i, x in zip(v.indices, v.values)], "array<struct<idx:int,weight:double>>")
+    return parts(col)
+
+
 # ---------------------------------------------------------------------------
 # Most discriminating terms
 # ---------------------------------------------------------------------------
@@ -188,24 +222,40 @@ def mean_embedding(df: DataFrame, key_cols: list[str], vec_col: str) -> DataFram
     return x.groupBy(*key_cols, "dim").agg(F.avg("_v").alias("mean"))
 
 
-def document_embedding(tokens: DataFrame, id_col: str, tokens_col: str,
-                       vectors: DataFrame) -> DataFrame:
-    """V6 (word vectors): mean of the vectors of a document's tokens
-    (``vectors``: word, vector).  Tokens without a vector are skipped."""
-    t = explode_rows(tokens, [id_col], F.col(tokens_col), "word")
-    j = t.join(vectors, "word")
-    return mean_embedding(j, [id_col], "vector")
+def document_embedding(terms: DataFrame, docs: DataFrame, id_col: str, vectors: DataFrame) -> DataFrame:
+    """V6 (word vectors): ``docs`` with ``embedding``, the mean of the vectors
+    of the document's tokens, and ``n_tokens``, how many tokens had one.
+
+    ``terms``: (id, term, tf); ``vectors``: (word, vector).  A (document, term)
+    pair is one row with its vector, never one row a dimension: the weighted
+    mean is one aggregate (``Summarizer.mean`` with tf as weight), partial on
+    the map side.  Hot terms meet their vectors in a bounded broadcast.
+    Documents without a known token keep their id, with a null embedding.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<double>").alias("vector"))
+    w = heavy_join(terms.select(id_col, "term", "tf"), v.dropDuplicates(["term"]), "term").filter("vector IS NOT NULL")
+    w = w.select(id_col, array_to_vector("vector").alias("_v"), F.col("tf").cast("double").alias("tf"))
+    per = w.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("tf")).alias("_m"), F.sum("tf").cast("long").alias("n_tokens"))
+    per = per.select(id_col, vector_to_array("_m").alias("embedding"), "n_tokens")
+    return docs.join(per, id_col, "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
 
 
 def lexicon_coverage(terms: DataFrame, lexicon: DataFrame, discriminating: DataFrame) -> DataFrame:
-    """Lexicon words found in the corpus and discriminating terms
-    missing from the lexicon (one row)."""
-    words = lexicon.select("word").distinct()
-    hits = words.join(terms.select(F.col("term").alias("word")), "word", "left_semi")
-    disc = discriminating.select(F.col("term").alias("word")).distinct()
-    novel = disc.join(words, "word", "left_anti")
-    return lexicon.sparkSession.range(1).select(
-        words.select(F.count(F.lit(1))).scalar().alias("lexicon_words"),
-        hits.select(F.count(F.lit(1))).scalar().alias("lexicon_hits"),
-        disc.select(F.count(F.lit(1))).scalar().alias("discriminating_terms"),
-        novel.select(F.count(F.lit(1))).scalar().alias("discriminating_not_in_lexicon"))
+    """Per polarity (1, -1), distinct lexicon words, those found in the
+    corpus, discriminating terms of that polarity and those of them that the
+    lexicon lists under neither polarity."""
+    words = lexicon.select("word", F.signum(F.col("polarity").cast("double")).cast("int").alias("polarity")).distinct()
+    disc = discriminating.select(F.col("term").alias("word"),
+                                 F.when(F.col("group") == "positive", 1).otherwise(-1).alias("polarity")).distinct()
+    every = words.select("word").distinct()
+    hits = every.join(terms.select(F.col("term").alias("word")), "word", "left_semi").withColumn("_hit", F.lit(True))
+    lex = words.join(hits, "word", "left").groupBy("polarity").agg(
+        F.count(F.lit(1)).alias("lexicon_words"), F.count("_hit").alias("lexicon_hits"))
+    new = disc.join(every.withColumn("_known", F.lit(True)), "word", "left").groupBy("polarity").agg(
+        F.count(F.lit(1)).alias("discriminating_terms"),
+        F.count_if(F.col("_known").isNull()).alias("discriminating_not_in_lexicon"))
+    both = lexicon.sparkSession.range(2).select(F.when(F.col("id") == 0, 1).otherwise(-1).alias("polarity"))
+    counts = ["lexicon_words", "lexicon_hits", "discriminating_terms", "discriminating_not_in_lexicon"]
+    return both.join(lex, "polarity", "left").join(new, "polarity", "left").na.fill(0, counts).select("polarity", *counts)

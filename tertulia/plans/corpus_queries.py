@@ -20,7 +20,7 @@ from ..operators import evaluate as EV
 from ..operators import sampling as R
 from ..operators import terms as TM
 from ..operators.labels import encode_sorted
-from ..session import scratch_dir
+from ..session import cut_lineage, scratch_dir
 from ..sources import catalogue as CAT
 from ..sources import label_lines as LL
 from ..sources import runs as RUNS
@@ -28,7 +28,7 @@ from ..sources import tsv as TSV
 from ..sources import vectors as VEC
 from ..sources import xml as XML
 from . import tweets as TW
-from .profile_queries import R6, _lexicon_values
+from .profile_queries import D_DATE, R6, _lexicon_values, _lexr_body, tweet_date
 from .registry import query, with_tweets
 from .text_queries import W, d_c1, d_c2, d_older, d_treebank, d_words
 
@@ -67,12 +67,12 @@ def scan_tsv_roundtrip(spark, sf):
 # ---------------------------------------------------------------------------
 # Corpus catalogue over per-language corpora
 # ---------------------------------------------------------------------------
-CORPUS_LANG = {"intertass": "es", "coah": "fr", "general": "en", "politics": "de"}
-
-
+# The corpora by language: intertass es, coah fr, general en, politics the test part of de, and the rest of de
+# as the aspect corpora socialtv (even ids) and stompol (odd ids), whose labels are aspect votes.
 def _write_corpora(spark, sf):
+    from .profile_queries import aspect_polarities
     root = scratch_dir(spark, "corpora")
-    tw = _tws(spark, sf)
+    tw = stored_tweets(spark, sf)
     cols = ["tweet_id", "content", "sentiment"]
 
     def put(df, name, part):
@@ -86,14 +86,27 @@ def _write_corpora(spark, sf):
     put(en.filter("split IN ('train', 'dev')"), "general", "train")
     put(en.filter("split = 'test'"), "general", "test")
     put(tw.filter("lang = 'de' AND split = 'test'"), "politics", "test")
+    aspects = tw.filter("lang = 'de'").withColumn("sentiment", LB.aspect_vote(aspect_polarities()))
+    for name, odd in (("socialtv", 0), ("stompol", 1)):
+        for file, part in (("train", "train"), ("test", "dev")):
+            put(aspects.filter((F.col("split") == part) & (F.col("tweet_id") % 2 == odd)), name, file)
     return {
         "intertass": CAT.Corpus("split_files", root),
-        "coah": CAT.Corpus("one_file", root),
+        "coah": CAT.Corpus("one_file", root, labels="rank"),
         "general": CAT.Corpus("train_test", root),
         "politics": CAT.Corpus("train_test", root, train_from="general"),
+        "socialtv": CAT.Corpus("train_test", root, labels="aspect"),
+        "stompol": CAT.Corpus("train_test", root, labels="aspect"),
     }
 
 
+def stored_tweets(spark, sf):
+    """The split tweets as a written table, for fixtures that write several files of them."""
+    path = scratch_dir(spark, "tweets")
+    _tws(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _d_r1(source: str, part_by: str, fracs: tuple, names: tuple) -> str:
     """SQL: R1 split of ``source`` inside each ``part_by`` group."""
     case = " ".join(f"WHEN _rn < floor({f} * _n) THEN '{n}'" for f, n in zip(fracs, names))
@@ -102,6 +115,9 @@ def _d_r1(source: str, part_by: str, fracs: tuple, names: tuple) -> str:
              count(*) OVER (PARTITION BY {part_by}) AS _n FROM {source})"""
 
 
+D_VOTE = """(SELECT CASE WHEN p < 0 THEN 0 WHEN p = 0 THEN 1 ELSE 2 END FROM (SELECT coalesce(list_sum(list_transform(
+    range(CAST(tweet_id % 4 AS INTEGER)), lambda i: CASE (tweet_id + i) % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END)), 0) AS p))"""
+
 D_CATALOGUE = f"""catalogue AS (
   SELECT tweet_id, content, sentiment, 'intertass' AS dataset, split FROM tweets_split WHERE lang = 'es'
   UNION ALL
@@ -114,7 +130,13 @@ D_CATALOGUE = f"""catalogue AS (
   UNION ALL
   SELECT tweet_id, content, sentiment, 'general', 'test' FROM tweets_split WHERE lang = 'en' AND split = 'test'
   UNION ALL
-  SELECT tweet_id, content, sentiment, 'politics', 'test' FROM tweets_split WHERE lang = 'de' AND split = 'test')"""
+  SELECT tweet_id, content, sentiment, 'politics', 'test' FROM tweets_split WHERE lang = 'de' AND split = 'test'
+  UNION ALL
+  SELECT tweet_id, content, sentiment, dataset, split FROM (
+    {_d_r1("(SELECT tweet_id, content, {vote} AS sentiment, CASE tweet_id % 2 WHEN 0 THEN 'socialtv' ELSE 'stompol' END AS dataset FROM tweets_split WHERE lang = 'de' AND split = 'train')".replace("{vote}", D_VOTE), 'dataset', (0.85,), ('train', 'dev'))})
+  UNION ALL
+  SELECT tweet_id, content, {D_VOTE}, CASE tweet_id % 2 WHEN 0 THEN 'socialtv' ELSE 'stompol' END, 'test'
+  FROM tweets_split WHERE lang = 'de' AND split = 'dev')"""
 
 
 @query("corpus_catalogue", with_tweets(
@@ -123,6 +145,16 @@ def corpus_catalogue(spark, sf):
     return CAT.read_catalogue(spark, _write_corpora(spark, sf))
 
 
+@query("corpus_catalogue_reduced", with_tweets("""
+SELECT tweet_id, CAST(CASE WHEN dataset IN ('socialtv', 'stompol') THEN sentiment
+    WHEN dataset = 'coah' THEN CASE WHEN sentiment < 3 THEN 0 WHEN sentiment = 3 THEN 1 ELSE 2 END
+    WHEN sentiment > 1 THEN sentiment - 1 ELSE sentiment END AS INTEGER) AS sentiment, split, dataset
+FROM catalogue""", split=True, extra=D_CATALOGUE))
+def corpus_catalogue_reduced(spark, sf):
+    """S2 + L4: labels reduced to three classes on read, by each corpus's kind of label."""
+    return CAT.read_catalogue(spark, _write_corpora(spark, sf), reduce=True).select("tweet_id", "sentiment", "split", "dataset")
+
+
 @query("union_corpora", with_tweets(
     "SELECT tweet_id, content, sentiment, dataset FROM catalogue WHERE split = 'train'",
     split=True, extra=D_CATALOGUE))
@@ -140,9 +172,7 @@ def union_corpora_dedupe(spark, sf):
     cat = _write_corpora(spark, sf)
     frames = {n: CAT.read_corpus(spark, cat, n).filter("split = 'train'")
               .select("tweet_id", "content", "sentiment") for n in cat}
-    out = R.union_corpora(frames)
-    # keep one row per repeated (id, content, label): the first corpus name
-    return out.groupBy("tweet_id", "content", "sentiment").agg(F.min("dataset").alias("dataset"))
+    return R.union_corpora(frames, dedupe=True)
 
 
 # ---------------------------------------------------------------------------
@@ -150,15 +180,6 @@ def union_corpora_dedupe(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def _date_text():
-    """A UTC wall-clock date per tweet, independent of the session zone."""
-    ts = F.expr("TIMESTAMP_NTZ '2019-01-01 00:00:00' + make_dt_interval(0, 0, 0, tweet_id * 2222)")
-    return F.date_format(ts, LB.TWEET_DATE_FORMAT_UTC)
-
-
-D_DATE = "strftime(TIMESTAMP '2019-01-01 00:00:00' + to_seconds(tweet_id * 2222), '%a %b %d %H:%M:%S +0000 %Y')"
-
-
 def _polarity(value):
     return F.concat(F.lit("<polarity><value>"), value, F.lit("</value></polarity>"))
 
@@ -167,7 +188,7 @@ def _tweet_record(values):
     return F.concat(
         F.lit("<tweet>"), XML.element("tweetid", F.col("tweet_id").cast("string")),
         XML.element("user", F.concat(F.lit("user"), (F.col("tweet_id") % 50).cast("string"))),
-        XML.element("content", F.col("content")), XML.element("date", _date_text()),
+        XML.element("content", F.col("content")), XML.element("date", tweet_date()),
         XML.element("lang", F.col("lang")),
         F.lit("<sentiment>"), values, F.lit("</sentiment></tweet>"))
 
@@ -249,11 +270,15 @@ SELECT CAST(tweet_id % 5 + 1 AS INTEGER) AS sentiment, 'item ' || CAST(tweet_id
 def xml_product_reviews(spark, sf):
     """Product reviews; the rank is an attribute of a nested ``review``."""
     tw = _tw(spark, sf)
-    rec = F.concat(F.lit("<review>"),
-                   XML.element("summary", F.concat(F.lit("item "), F.col("tweet_id").cast("string"))),
-                   XML.element("body", F.col("content")),
-                   F.lit('<review rank="'), ((F.col("tweet_id") % 5) + 1).cast("string"),
-                   F.lit('"/></review>'))
+    rank = F.concat(F.lit('<review rank="'), ((F.col("tweet_id") % 5) + 1).cast("string"), F.lit('"'))
+    summary = XML.element("summary", F.concat(F.lit("item "), F.col("tweet_id").cast("string")))
+    body = XML.element("body", F.col("content"))
+    # Every third record holds its body, every sixth its summary too, in the nested review.
+    inner = F.when(F.col("tweet_id") % 3 == 0, F.concat(rank, F.lit(">"), F.when(F.col("tweet_id") % 6 == 0, summary)
+                                                      .otherwise(F.lit("")), body, F.lit("</review>")))
+    rec = F.when(F.col("tweet_id") % 6 == 0, F.concat(F.lit("<review>"), inner, F.lit("</review>"))).when(
+        F.col("tweet_id") % 3 == 0, F.concat(F.lit("<review>\n"), inner, summary, F.lit("</review>"))).otherwise(
+        F.concat(F.lit("<review>"), summary, body, rank, F.lit("/></review>")))
     path = scratch_dir(spark, "xml-product")
     XML.write_xml_records(tw, rec, path)
     return XML.read_product_reviews(spark, path)
@@ -365,6 +390,28 @@ def word_vectors(spark, sf):
         "word", "dim", F.round(F.col("value").cast("double"), R6).alias("value"))
 
 
+@query("word_vector_lines", """
+SELECT CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'malformed' ELSE 'vector' END AS kind, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN vec_id % 10 IN (3, 7) THEN 1 ELSE 2 END AS k, 1 AS n FROM embeddings UNION ALL SELECT 0, 1)
+GROUP BY k""")
+def word_vector_lines(spark, sf):
+    """A file with its header, vectors of two-word words, lines of a wrong
+    length (ids ending in 3) or with a field that is no number (in 7): every
+    line is accounted for."""
+    emb = TW.read_table(spark, sf, "embeddings")
+    root = scratch_dir(spark, "vec-lines")
+    size = emb.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    text = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
+    word = F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 4 == 0, " x").otherwise(F.lit("")))
+    line = (F.when(F.col("vec_id") % 10 == 3, F.concat(word, F.lit(" 0.5")))
+            .when(F.col("vec_id") % 10 == 7, F.concat(word, F.lit(" x"), F.substring(text, F.lit(2), F.length(text))))
+            .otherwise(F.concat(word, F.lit(" "), text)))
+    spark.createDataFrame([(f"{size['n']} {size['d']}",)], "value string").write.text(f"{root}/part0")
+    emb.select(line.alias("value")).write.text(f"{root}/part1")
+    lines = VEC.parse_vectors(RUNS.read_lines_ordered(spark, f"{root}/*"), size["d"])
+    return lines.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("mean_embedding", f"""
 SELECT label, dim, round(avg(v), {R6}) AS mean FROM (
   SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v
@@ -399,18 +446,18 @@ def split_hash_threshold(spark, sf):
 
 
 @query("upsample", with_tweets("""
-SELECT tweet_id, sentiment, CAST(0 AS BIGINT) AS draw FROM tweets
+SELECT tweet_id, sentiment, content, CAST(0 AS BIGINT) AS draw FROM tweets
 UNION ALL
-SELECT i.tweet_id, d.sentiment, d.draw FROM (
+SELECT i.tweet_id, d.sentiment, i.content, d.draw FROM (
   SELECT c.sentiment, c.n, CAST(j AS BIGINT) AS draw,
-         ('0x' || substr(md5('1234:' || CAST(c.sentiment AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8))::BIGINT % c.n AS idx
+         ('0x' || substr(md5('1234:' || CAST(c.sentiment AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15))::BIGINT % c.n AS idx
   FROM (SELECT sentiment, count(*) AS n, max(count(*)) OVER () AS top FROM tweets GROUP BY sentiment) c,
        LATERAL (SELECT unnest(range(1, c.top - c.n + 1)) AS j)
 ) d JOIN (
-  SELECT tweet_id, sentiment, row_number() OVER (PARTITION BY sentiment ORDER BY md5('1234:' || CAST(tweet_id AS VARCHAR))) - 1 AS idx
+  SELECT tweet_id, sentiment, content, row_number() OVER (PARTITION BY sentiment ORDER BY md5('1234:' || CAST(tweet_id AS VARCHAR))) - 1 AS idx
   FROM tweets) i ON d.sentiment = i.sentiment AND d.idx = i.idx"""))
 def upsample(spark, sf):
-    return R.upsample(_tw(spark, sf), "sentiment", "tweet_id")
+    return R.upsample(_tw(spark, sf), "sentiment", "tweet_id", keep=["content"])
 
 
 def _quota_values():
@@ -449,24 +496,27 @@ def _main_terms(spark, sf):
     return tw, TM.doc_terms(toks, "tweet_id", "t", carry=["split", "sentiment"])
 
 
-D_DOC_TERMS = f"""doc_terms AS (
+D_DOC_TERMS = f"""doc_terms AS MATERIALIZED (
   SELECT tweet_id, term, count(*) AS tf FROM (
     SELECT tweet_id, unnest({D_MAIN_TOKENS}) AS term FROM tweets) GROUP BY tweet_id, term)"""
 
 
+D_TRAIN_VOCABULARY = D_DOC_TERMS + """,
+train_vocabulary AS MATERIALIZED (
+  SELECT DISTINCT d.term FROM doc_terms d JOIN tweets_split t ON d.tweet_id = t.tweet_id WHERE t.split = 'train')"""
+
+
 @query("count_vectors", with_tweets("""
-SELECT tweet_id, term, tf AS value FROM doc_terms WHERE term IN (
-  SELECT term FROM doc_terms WHERE tweet_id IN (SELECT tweet_id FROM tweets_split WHERE split = 'train'))""",
-    split=True, extra=D_DOC_TERMS))
+SELECT d.tweet_id, d.term, d.tf AS value FROM doc_terms d JOIN train_vocabulary v ON d.term = v.term""",
+    split=True, extra=D_TRAIN_VOCABULARY))
 def count_vectors(spark, sf):
     tw, terms = _main_terms(spark, sf)
     return TM.count_vectors(terms, "tweet_id", F.col("split") == "train")
 
 
 @query("binary_vectors", with_tweets("""
-SELECT tweet_id, term, CAST(1 AS BIGINT) AS value FROM doc_terms WHERE term IN (
-  SELECT term FROM doc_terms WHERE tweet_id IN (SELECT tweet_id FROM tweets_split WHERE split = 'train'))""",
-    split=True, extra=D_DOC_TERMS))
+SELECT d.tweet_id, d.term, CAST(1 AS BIGINT) AS value FROM doc_terms d JOIN train_vocabulary v ON d.term = v.term""",
+    split=True, extra=D_TRAIN_VOCABULARY))
 def binary_vectors(spark, sf):
     tw, terms = _main_terms(spark, sf)
     return TM.count_vectors(terms, "tweet_id", F.col("split") == "train", binary=True)
@@ -533,12 +583,82 @@ def sentiment_vocabulary(spark, sf):
 
 
 @query("lexicon_coverage", with_tweets(f"""
-SELECT (SELECT count(DISTINCT word) FROM {_lexicon_values()}) AS lexicon_words,
-  (SELECT count(DISTINCT word) FROM {_lexicon_values()} WHERE word IN (SELECT term FROM doc_terms)) AS lexicon_hits,
-  (SELECT count(DISTINCT term) FROM disc WHERE rank <= {TM.DISCRIMINATING_TOP_N}) AS discriminating_terms,
-  (SELECT count(DISTINCT term) FROM disc WHERE rank <= {TM.DISCRIMINATING_TOP_N}
-     AND term NOT IN (SELECT word FROM {_lexicon_values()})) AS discriminating_not_in_lexicon""",
-    split=True, extra=D_DISC + ",\n" + D_DOC_TERMS))
+SELECT s.polarity,
+  (SELECT count(DISTINCT word) FROM {_lexicon_values()} WHERE lex.polarity = s.polarity) AS lexicon_words,
+  (SELECT count(DISTINCT word) FROM {_lexicon_values()} WHERE lex.polarity = s.polarity
+     AND word IN (SELECT term FROM doc_terms)) AS lexicon_hits,
+  (SELECT count(DISTINCT term) FROM kept WHERE kept.polarity = s.polarity) AS discriminating_terms,
+  (SELECT count(DISTINCT term) FROM kept WHERE kept.polarity = s.polarity
+     AND term NOT IN (SELECT word FROM {_lexicon_values()})) AS discriminating_not_in_lexicon
+FROM (VALUES (1), (-1)) s(polarity)""",
+    split=True, extra=D_DISC + ",\n" + D_DOC_TERMS + f""",
+kept AS (SELECT term, CASE WHEN "group" = 'positive' THEN 1 ELSE -1 END AS polarity FROM disc
+         WHERE rank <= {TM.DISCRIMINATING_TOP_N})"""))
 def lexicon_coverage(spark, sf):
     _, terms = _main_terms(spark, sf)
     return TM.lexicon_coverage(terms, TW.lexicon(spark), _disc(spark, sf))
+
+
+@query("feature_lexicon_fitted", with_tweets(_lexr_body("fitted AS lex"), split=True, extra=D_DISC + f""",
+fitted AS (SELECT word, polarity FROM {_lexicon_values()}
+           UNION ALL SELECT term, CASE WHEN "group" = 'positive' THEN 1 ELSE -1 END FROM disc
+           WHERE rank <= {TM.DISCRIMINATING_TOP_N})"""))
+def feature_lexicon_fitted(spark, sf):
+    """F9 fed by F10: the lexicon and the discriminating terms of the training
+    rows, applied to all rows.  The vocabulary is fitted once and written."""
+    path = scratch_dir(spark, "fitted-vocabulary")
+    TM.sentiment_vocabulary(TW.lexicon(spark), _disc(spark, sf)).write.parquet(path)
+    tw = _tw(spark, sf).select("tweet_id", TK.treebank_tokens(F.col("content")).alias("toks"))
+    r = TM.lexicon_ratios(tw, "tweet_id", "toks", spark.read.parquet(path))
+    return r.select("tweet_id", *[F.round(c, R9).alias(c) for c in ["pos_voc", "neg_voc", "neu_voc", "none_voc"]])
+
+
+@query("tfidf_vectors", with_tweets(f"""
+SELECT tweet_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY tweet_id)), {R9}) AS weight FROM (
+  SELECT d.tweet_id, v.idx, d.tf * v.idf AS w FROM doc_terms d JOIN (
+    SELECT term, CAST(row_number() OVER (ORDER BY tot DESC, term) - 1 AS INTEGER) AS idx,
+           ln((1 + (SELECT count(*) FROM tweets_split WHERE split = 'train')) / (1 + df)) + 1 AS idf FROM (
+      SELECT d.term, sum(d.tf) AS tot, count(*) AS df FROM doc_terms d JOIN tweets_split t ON d.tweet_id = t.tweet_id
+      WHERE t.split = 'train' GROUP BY d.term ORDER BY tot DESC, d.term LIMIT {TM.TFIDF_MAX_FEATURES})) v ON d.term = v.term)""",
+    split=True, extra=D_DOC_TERMS))
+def tfidf_vectors(spark, sf):
+    """M1 on V3: the entries of the ML vectors that the classifier is fitted on."""
+    v = tfidf_features(spark, sf).select("tweet_id", F.explode(TM.vector_entries(F.col("features"))).alias("e"))
+    return v.select("tweet_id", "e.idx", F.round("e.weight", R9).alias("weight"))
+
+
+def tfidf_features(spark, sf):
+    """(tweet_id, split, sentiment, features)."""
+    tw, terms = _main_terms(spark, sf)
+    terms = cut_lineage(terms)
+    n_train = tw.filter("split = 'train'").select(F.count(F.lit(1))).scalar()
+    return TM.tfidf_vectors(terms, tw.select("tweet_id", "split", "sentiment"), "tweet_id", F.col("split") == "train", n_train)
+
+
+D_VECTORS = """n AS (SELECT count(*) AS n FROM embeddings),
+vec AS MATERIALIZED (SELECT t.term, e.embedding FROM (
+    SELECT DISTINCT term, ('0x' || substr(md5(term), 1, 8))::BIGINT % (SELECT n FROM n) AS vec_id FROM doc_terms) t
+  JOIN embeddings e ON e.vec_id = t.vec_id WHERE ('0x' || substr(md5(t.term), 9, 2))::BIGINT < 200)"""
+
+
+@query("document_embedding", with_tweets(f"""
+SELECT t.tweet_id, coalesce(x.n_tokens, 0) AS n_tokens, x.dim, x.mean FROM tweets t LEFT JOIN (
+  SELECT tweet_id, CAST(sum(tf) AS BIGINT) AS n_tokens, dim, round(sum(tf * v) / sum(tf), {R6}) AS mean FROM (
+    SELECT d.tweet_id, d.tf, CAST(generate_subscripts(v.embedding, 1) - 1 AS INTEGER) AS dim,
+           CAST(unnest(v.embedding) AS DOUBLE) AS v FROM doc_terms d JOIN vec v ON d.term = v.term)
+  GROUP BY tweet_id, dim) x ON t.tweet_id = x.tweet_id""", extra=D_DOC_TERMS + ",\n" + D_VECTORS))
+def document_embedding(spark, sf):
+    """V6: mean word vectors of all documents; four in five terms have a
+    vector, taken from ``embeddings`` by a hash of the term."""
+    _, terms = _main_terms(spark, sf)
+    terms = cut_lineage(terms)
+    emb = TW.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = emb.count()
+    words = terms.select("term").distinct()
+    h = F.md5("term")
+    words = words.filter(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") < 200).select(
+        F.col("term").alias("word"), F.pmod(R.hash_to_int(h, 8), F.lit(n)).alias("vec_id"))
+    vectors = words.join(emb, "vec_id").select("word", F.col("embedding").alias("vector"))
+    d = TM.document_embedding(terms, _tw(spark, sf).select("tweet_id"), "tweet_id", vectors)
+    d = d.select("tweet_id", "n_tokens", F.posexplode_outer("embedding").alias("dim", "mean"))
+    return d.withColumn("mean", F.round("mean", R6))

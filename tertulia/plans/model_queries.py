@@ -15,7 +15,9 @@ from ..operators import terms as TM
 from ..session import scratch_dir
 from ..sources import predictions as PT
 from . import tweets as TW
-from .corpus_queries import D_DOC_TERMS, D_RULE, _main_terms, _rule_pred
+from ..sources import runs as RUNS
+from .corpus_queries import D_DOC_TERMS, D_RULE, _main_terms, _rule_pred, tfidf_features
+from .profile_queries import _d_features
 from .registry import query, with_tweets
 
 R9 = 9
@@ -177,14 +179,12 @@ def classify_gbt(spark, sf):
 def classify_lr_counts(spark, sf):
     tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",
                                 TK.word_tokens(C.clean_text(F.col("content"), C.MAIN)).alias("toks"))
-    return M.text_classifier(tw, "toks", "sentiment", "split", vectors="counts")
+    return M.text_classifier(tw, "toks", "sentiment", "split")
 
 
 @query("classify_lr_tfidf")
 def classify_lr_tfidf(spark, sf):
-    tw = _tws(spark, sf).select("tweet_id", "split", "sentiment",
-                                TK.word_tokens(F.lower(C.clean_text(F.col("content"), C.MAIN))).alias("toks"))
-    return M.text_classifier(tw, "toks", "sentiment", "split", vectors="tfidf")
+    return M.vector_classifier(tfidf_features(spark, sf), "sentiment", "split")
 
 
 @query("classify_ngram")
@@ -226,6 +226,85 @@ def classify_nb(spark, sf):
                          "sentiment", "split", [0, 1, 2, 3])
 
 
+# ---------------------------------------------------------------------------
+# M7 on fitted models: naive Bayes on words and on row features
+# ---------------------------------------------------------------------------
+FEATURE_TERMS = {"l": "tweet_length", "u": "has_uppercase", "h": "hashtag_number", "j": "laughter_feature",
+                 "q": "question_mark", "e": "exclamation_mark", "r": "letter_repetition"}
+
+
+def _feature_term(letter):
+    value = F.col(FEATURE_TERMS[letter]).cast("bigint")
+    return F.concat(F.lit(letter), (F.floor(value / 10) if letter == "l" else value).cast("string"))
+
+
+def feature_terms(tw):
+    """Row features as terms (id, split, label, term, tf): one term a feature, lengths by tens."""
+    f = tw.select("tweet_id", "split", "sentiment", *FE.feature_columns(F.col("content")))
+    terms = F.explode(F.array(*[_feature_term(x) for x in FEATURE_TERMS]))
+    return f.select("tweet_id", "split", "sentiment", terms.alias("term"), F.lit(1).cast("bigint").alias("tf"))
+
+
+def fitted_probabilities(spark, sf):
+    """(tweet_id, split, model, label, prob) of the held-out rows by the fitted models, as a written table."""
+    tw, words = _main_terms(spark, sf)
+    docs = tw.select("tweet_id", "sentiment", "split")
+    out = None
+    for name, terms in (("nb-words", words), ("nb-features", feature_terms(tw))):
+        p = M.naive_bayes(terms, docs, "tweet_id", "sentiment", "split", [0, 1, 2, 3], probabilities=True)
+        p = p.select("tweet_id", "split", F.lit(name).alias("model"), F.posexplode("probability").alias("label", "prob"))
+        out = p if out is None else out.unionByName(p)
+    path = scratch_dir(spark, "probabilities")
+    out.withColumn("label", F.col("label").cast("string")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+D_FEATURE_TERMS = "feature_terms AS (" + " UNION ALL ".join(
+    f"SELECT tweet_id, '{k}' || CAST({'CAST(floor(x / 10) AS BIGINT)' if k == 'l' else 'x'} AS VARCHAR) AS term, 1 AS tf "
+    f"FROM (SELECT tweet_id, CAST({_d_features()[v]} AS BIGINT) AS x FROM tweets)" for k, v in FEATURE_TERMS.items()) + ")"
+
+
+def _d_nb_tables(m, terms):
+    return f"""
+tt{m} AS (SELECT d.tweet_id, d.term, d.tf, t.sentiment FROM {terms} d JOIN train t ON d.tweet_id = t.tweet_id),
+ct{m} AS (SELECT sentiment, term, sum(tf) AS n FROM tt{m} GROUP BY sentiment, term),
+cls{m} AS (
+  SELECT c.sentiment, ln(c.nc / (SELECT count(*) FROM train)) AS prior,
+         ln(coalesce(s.tot, 0) + (SELECT count(DISTINCT term) FROM tt{m})) AS den
+  FROM (SELECT sentiment, count(*) AS nc FROM train GROUP BY sentiment) c
+  LEFT JOIN (SELECT sentiment, sum(n) AS tot FROM ct{m} GROUP BY sentiment) s ON c.sentiment = s.sentiment),
+ll{m} AS (
+  SELECT k.sentiment, v.term, ln(coalesce(c.n, 0) + 1) - k.den AS ll
+  FROM (SELECT DISTINCT term FROM tt{m}) v CROSS JOIN cls{m} k
+  LEFT JOIN ct{m} c ON c.sentiment = k.sentiment AND c.term = v.term),
+lik{m} AS (
+  SELECT d.tweet_id, l.sentiment, sum(d.tf * l.ll) AS s
+  FROM {terms} d JOIN ll{m} l ON d.term = l.term WHERE d.tweet_id IN (SELECT tweet_id FROM test)
+  GROUP BY d.tweet_id, l.sentiment),
+p{m} AS (
+  SELECT tweet_id, split, sentiment, exp(s - max(s) OVER w) / sum(exp(s - m)) OVER w AS p FROM (
+    SELECT *, max(s) OVER (PARTITION BY tweet_id) AS m FROM (
+      SELECT t.tweet_id, t.split, k.sentiment, k.prior + coalesce(l.s, 0) AS s
+      FROM test t CROSS JOIN cls{m} k LEFT JOIN lik{m} l ON l.tweet_id = t.tweet_id AND l.sentiment = k.sentiment))
+  WINDOW w AS (PARTITION BY tweet_id))"""
+
+
+@query("ensemble_fitted", with_tweets(f"""
+SELECT tweet_id, split, CAST(first(sentiment ORDER BY p DESC, sentiment) AS VARCHAR) AS label, round(max(p), {R9 - 3}) AS prob
+FROM (SELECT a.tweet_id, a.split, a.sentiment, (a.p + b.p) / 2 AS p FROM p1 a JOIN p2 b
+      ON a.tweet_id = b.tweet_id AND a.sentiment = b.sentiment)
+GROUP BY tweet_id, split""", split=True, extra=D_DOC_TERMS + ",\n" + D_FEATURE_TERMS + """,
+train AS (SELECT tweet_id, sentiment FROM tweets_split WHERE split = 'train'),
+test AS (SELECT tweet_id, split FROM tweets_split WHERE split <> 'train'),""" + _d_nb_tables(1, "doc_terms") + ","
+    + _d_nb_tables(2, "feature_terms")))
+def ensemble_fitted(spark, sf):
+    """M7: the mean of two fitted models' stored probabilities, and its top label."""
+    probs = fitted_probabilities(spark, sf)
+    e = EN.average_predictions(probs.select("tweet_id", "model", "label", "prob"), LABELS, id_col="tweet_id", n_models=2)
+    split = probs.filter("model = 'nb-words' AND label = '0'").select("tweet_id", "split")
+    return e.join(split, "tweet_id").select("tweet_id", "split", "label", F.round("prob", R9 - 3).alias("prob"))
+
+
 # ---------------------------------------------------------------------------
 # metrics
 # ---------------------------------------------------------------------------
@@ -323,3 +402,41 @@ def task_score_compat(spark, sf):
 @query("task_score_perfect", _d_task(False, perfect=True))
 def task_score_perfect(spark, sf):
     return _task(spark, sf, perfect=True)
+
+
+# ---------------------------------------------------------------------------
+# S11 -> E3/E4: scores from files
+# ---------------------------------------------------------------------------
+def _d_task_files():
+    one = "SELECT '{}' AS run, true AS valid_run, CAST(0 AS BIGINT) AS malformed_lines, s.* FROM ({}) s"
+    null = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in EV.SCORES)
+    return "\nUNION ALL\n".join([
+        one.format("good", _d_task(False)), one.format("good-compat", _d_task(True)), one.format("perfect", _d_task(False, perfect=True)),
+        f"SELECT 'malformed', false, CAST(2 AS BIGINT), {null}"])
+
+
+@query("task_score_files", _d_task_files())
+def task_score_files(spark, sf):
+    """Gold and run files scored line by line: every run names some ids first
+    with a wrong label (the last line wins), misses some and has unknown ones;
+    one run holds two malformed lines and is not scored; the gold file has
+    malformed lines, which are skipped."""
+    gold, run = _gold_run(spark, sf)
+    root = scratch_dir(spark, "task-files")
+    wrong = F.when(F.col("label") == "0", "1").otherwise("0")
+    early = lambda d: d.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).withColumn("label", wrong)
+    bad = spark.createDataFrame([("no tab here",), ("a\tb\tc",)], "value string").coalesce(1)
+    for name, rows in (("gold", gold), ("good", run), ("perfect", gold)):
+        RUNS.write_id_label(early(rows), "id", "label", f"{root}/{name}/part1")
+        RUNS.write_id_label(rows, "id", "label", f"{root}/{name}/part2")
+    bad.write.text(f"{root}/gold/part3")
+    RUNS.write_id_label(run, "id", "label", f"{root}/malformed/part1")
+    bad.write.text(f"{root}/malformed/part2")
+    out = None
+    for label, name, compat in (("good", "good", False), ("good-compat", "good", True), ("perfect", "perfect", False),
+                                ("malformed", "malformed", False)):
+        t = EV.score_files(spark, f"{root}/gold/*", f"{root}/{name}/*", compat)
+        t = t.select(F.lit(label).alias("run"), "valid_run", "malformed_lines",
+                     *[F.round(c, R9).alias(c) for c in EV.SCORES])
+        out = t if out is None else out.unionByName(t)
+    return out

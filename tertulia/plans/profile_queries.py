@@ -143,34 +143,56 @@ def _d_features():
     }
 
 
-def _features(spark, sf, flags=FE.FeatureFlags(repetition=False)):
-    tw = _tw(spark, sf)
-    return tw.select("tweet_id", "sentiment", *FE.feature_columns(F.col("content"), flags))
+def tweet_date():
+    """A UTC wall-clock date per tweet, independent of the session zone."""
+    ts = F.expr("TIMESTAMP_NTZ '2019-01-01 00:00:00' + make_dt_interval(0, 0, 0, tweet_id * 2222)")
+    return F.date_format(ts, LB.TWEET_DATE_FORMAT_UTC)
 
 
+D_DATE = "strftime(TIMESTAMP '2019-01-01 00:00:00' + to_seconds(tweet_id * 2222), '%a %b %d %H:%M:%S +0000 %Y')"
+D_DATE_PARTS = {"day_of_week": f"substr({D_DATE}, 1, 3)", "month": f"substr({D_DATE}, 5, 3)", "hour": f"substr({D_DATE}, 12, 2)"}
 PROFILE_FEATURES = ["tweet_length", "has_uppercase", "hashtag_number", "laughter_feature",
-                    "question_mark", "exclamation_mark"]
+                    "question_mark", "exclamation_mark", "letter_repetition"]
 
 
 @query("feature_by_label", with_tweets("\nUNION ALL ".join(
-    f"SELECT '{k}' AS feature, CAST({_d_features()[k]} AS BIGINT) AS value, sentiment, count(*) AS n "
-    "FROM tweets GROUP BY 2, 3" for k in PROFILE_FEATURES)))
+    f"SELECT '{k}' AS feature, CAST({x} AS VARCHAR) AS value, sentiment, count(*) AS n FROM tweets GROUP BY 2, 3"
+    for k, x in {**{k: f"CAST({_d_features()[k]} AS BIGINT)" for k in PROFILE_FEATURES}, **D_DATE_PARTS}.items())))
 def feature_by_label(spark, sf):
-    return X.feature_by_label(_features(spark, sf), PROFILE_FEATURES)
+    """X11: hour, month, weekday and the row features, in one pass."""
+    tw = _tw(spark, sf)
+    f = tw.select("tweet_id", "sentiment", *FE.feature_columns(F.col("content")), *LB.date_parts(tweet_date()))
+    return X.feature_by_label(f, [*PROFILE_FEATURES, *D_DATE_PARTS])
+
 
+BINS = {"tweet_length": (0, 50, 5), "pos_voc": (0, 4.9, 0.1), "neg_voc": (0, 4.9, 0.1), "neu_voc": (0, 4.8, 0.2),
+        "none_voc": (0, 4.9, 0.1)}
 
-@query("binned_feature_by_label", with_tweets("""
-SELECT CAST(b.bin AS BIGINT) AS bin, CAST(b.bin * 5 AS DOUBLE) AS bin_lo, CAST((b.bin + 1) * 5 AS DOUBLE) AS bin_hi,
-       b.sentiment, coalesce(c.n, 0) AS n
-FROM (SELECT r.range AS bin, l.sentiment FROM range(10) r, (VALUES (0), (1), (2), (3)) l(sentiment)) b
-LEFT JOIN (SELECT CAST(ceil(x / 5) - 1 AS BIGINT) AS bin, sentiment, count(*) AS n FROM (
-             SELECT len(string_split(content, ' ')) AS x, sentiment FROM tweets) WHERE x > 0 AND x <= 50
-           GROUP BY 1, 2) c ON b.bin = c.bin AND b.sentiment = c.sentiment"""))
+
+def _d_binned():
+    feats = ["SELECT 'tweet_length' AS feature, CAST(len(string_split(content, ' ')) AS DOUBLE) AS x, sentiment FROM tweets"]
+    feats += [f"SELECT '{k}', {k}, sentiment FROM lexr JOIN tweets USING (tweet_id)" for k in list(BINS)[1:]]
+    dims = ", ".join(f"('{k}', {lo}, {w}, {round((hi - lo) / w)})" for k, (lo, hi, w) in BINS.items())
+    return with_tweets(f"""
+SELECT feature, bin, CASE WHEN bin >= 0 THEN round(lo + bin * width, 9) END AS bin_lo,
+       CASE WHEN bin < k THEN round(lo + (bin + 1) * width, 9) END AS bin_hi, sentiment, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT f.feature, f.sentiment, 1 AS n, CASE WHEN f.x IS NULL THEN NULL WHEN f.x <= d.lo THEN -1 WHEN f.x > d.lo + d.k * d.width THEN d.k
+    ELSE CAST(ceil(round((f.x - d.lo) / d.width, 9)) - 1 AS BIGINT) END AS bin
+  FROM feats f JOIN dims d ON f.feature = d.feature
+  UNION ALL SELECT feature, sentiment, 0, unnest(range(k)) FROM dims, (VALUES (0), (1), (2), (3)) l(sentiment)) x
+JOIN dims USING (feature) GROUP BY feature, bin, sentiment, lo, width, k""",
+        extra=f"lexr AS ({_lexr_body()}),\nfeats AS ({' UNION ALL '.join(feats)}),\n"
+              f"dims(feature, lo, width, k) AS (SELECT a, CAST(b AS DOUBLE), CAST(c AS DOUBLE), d FROM (VALUES {dims}) v(a, b, c, d))")
+
+
+@query("binned_feature_by_label", lambda: _d_binned())
 def binned_feature_by_label(spark, sf):
-    """Word length in right-closed bins of 5 over (0, 50] per label."""
-    f = _features(spark, sf, FE.FeatureFlags(uppercase=False, question=False, exclamation=False,
-                                              repetition=False, hashtags=False, laughter=False))
-    return X.binned_by_label(f, "tweet_length", 5.0, 0.0, 50.0, [0, 1, 2, 3])
+    """Word length and the lexicon ratios in right-closed bins per label,
+    with the rows below and above the bins, in one pass."""
+    tw = _tw(spark, sf).select("tweet_id", "sentiment", FE.tweet_length(F.col("content")).alias("tweet_length"),
+                               TK.treebank_tokens(F.col("content")).alias("toks"))
+    f = TM.lexicon_ratios(tw, "tweet_id", "toks", TW.lexicon(spark), carry=["sentiment", "tweet_length"])
+    return X.binned_by_label(f, BINS, [0, 1, 2, 3])
 
 
 @query("label_distribution", with_tweets(f"""
@@ -196,6 +218,37 @@ def oov_report(spark, sf):
     return r.withColumn("oov_pct", F.round("oov_pct", R6))
 
 
+@query("oov_words", with_tweets(f"""
+SELECT 'oov' AS kind, CAST(NULL AS INTEGER) AS rank, term, n FROM terms WHERE split = 'dev'
+  AND term NOT IN (SELECT term FROM terms WHERE split = 'train')
+UNION ALL
+SELECT split, CAST(rank AS INTEGER), term, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY n DESC, term) AS rank FROM terms) WHERE rank <= 10""",
+    split=True, extra=f"""terms AS MATERIALIZED (SELECT split, term, count(*) AS n FROM (
+  SELECT split, unnest({d_words('lower(content)')}) AS term FROM tweets_split WHERE split IN ('train', 'dev')) GROUP BY split, term)"""))
+def oov_words(spark, sf):
+    """The unknown words themselves, and the ten most frequent words of either side."""
+    toks = explode_rows(_tws(spark, sf), ["split"], TK.word_tokens(F.lower("content")), "term")
+    return X.oov_words(toks.filter("split = 'train'"), toks.filter("split = 'dev'"))
+
+
+@query("oov_report_compat", with_tweets(f"""
+SELECT count(*) FILTER (WHERE t.term IS NOT NULL) AS train_vocabulary,
+       count(*) FILTER (WHERE d.term IS NOT NULL) AS dev_vocabulary,
+       count(*) FILTER (WHERE d.term IS NOT NULL AND t.term IS NULL) AS oov_terms,
+       round(100.0 * count(*) FILTER (WHERE d.term IS NOT NULL AND t.term IS NULL)
+             / count(*) FILTER (WHERE d.term IS NOT NULL), {R6}) AS oov_pct
+FROM (SELECT DISTINCT unnest({d_words('content')}) AS term FROM tweets_split WHERE split = 'train') t
+FULL JOIN (SELECT DISTINCT unnest({d_words('lower(content)')}) AS term FROM tweets_split WHERE split = 'dev') d
+ON t.term = d.term""", split=True))
+def oov_report_compat(spark, sf):
+    """X14 as the reference counts: training words keep their case, dev words do not."""
+    text = F.when(F.col("split") == "train", F.col("content")).otherwise(F.lower("content"))
+    toks = explode_rows(_tws(spark, sf), ["split"], TK.word_tokens(text), "term")
+    r = X.oov_report(toks.filter("split = 'train'"), toks.filter("split = 'dev'"))
+    return r.withColumn("oov_pct", F.round("oov_pct", R6))
+
+
 # ---------------------------------------------------------------------------
 # Row features (F1-F8)
 # ---------------------------------------------------------------------------
@@ -257,8 +310,9 @@ def _lexicon_values():
     return "(VALUES " + ", ".join(f"({sql_str(w)}, {p})" for w, p in rows) + ") AS lex(word, polarity)"
 
 
-def _lexr_body():
+def _lexr_body(lexicon: str | None = None):
     from .text_queries import d_treebank
+    lexicon = lexicon or _lexicon_values()
     return f"""
 SELECT tweet_id,
   round(p / nullif(len, 0), 9) AS pos_voc, round(n / nullif(len, 0), 9) AS neg_voc,
@@ -271,7 +325,7 @@ FROM (
   FROM (SELECT tweet_id, len(toks) AS len, unnest(CASE WHEN len(toks) = 0 THEN [NULL] ELSE list_distinct(toks) END) AS word
         FROM (SELECT tweet_id, {d_treebank('content')} AS toks FROM tweets)) t
   LEFT JOIN (SELECT word, bool_or(polarity > 0) AS is_pos, bool_or(polarity < 0) AS is_neg
-             FROM {_lexicon_values()} GROUP BY word) f ON t.word = f.word
+             FROM {lexicon} GROUP BY word) f ON t.word = f.word
   GROUP BY t.tweet_id, t.len)"""
 
 
@@ -405,6 +459,7 @@ SELECT t.sentiment, count(*) AS n_tweets,
   {avg(feat['has_uppercase'].replace('content', 't.content'))} AS avg_uppercase,
   {avg(feat['hashtag_number'].replace('content', 't.content'))} AS avg_hashtags,
   {avg(feat['laughter_feature'].replace('content', 't.content'))} AS laughter_share,
+  {avg(feat['letter_repetition'].replace('content', 't.content'))} AS repetition_share,
   {avg('r.pos_voc')} AS avg_pos_voc, {avg('r.neg_voc')} AS avg_neg_voc
 FROM tweets t JOIN lexr r ON t.tweet_id = r.tweet_id
 GROUP BY t.sentiment""", extra=f"lexr AS ({_lexr_body()})")
@@ -417,9 +472,9 @@ def flagship_class_profile(spark, sf):
     base = tw.select("tweet_id", "sentiment", "content",
                      F.size(TK.word_tokens(clean)).alias("n_tokens"),
                      TK.treebank_tokens(F.col("content")).alias("toks"),
-                     *FE.feature_columns(F.col("content"), FE.FeatureFlags(repetition=False)))
+                     *FE.feature_columns(F.col("content")))
     carry = ["sentiment", "n_tokens", "tweet_length", "has_uppercase", "hashtag_number",
-             "laughter_feature"]
+             "laughter_feature", "letter_repetition"]
     lex = TM.lexicon_ratios(base, "tweet_id", "toks", TW.lexicon(spark), carry=carry)
     j = lex.select(*carry, F.round("pos_voc", 9).alias("pos_voc"),
                    F.round("neg_voc", 9).alias("neg_voc"))
@@ -430,5 +485,6 @@ def flagship_class_profile(spark, sf):
         F.round(F.avg("has_uppercase"), R6).alias("avg_uppercase"),
         F.round(F.avg("hashtag_number"), R6).alias("avg_hashtags"),
         F.round(F.avg("laughter_feature"), R6).alias("laughter_share"),
+        F.round(F.avg("letter_repetition"), R6).alias("repetition_share"),
         F.round(F.avg("pos_voc"), R6).alias("avg_pos_voc"),
         F.round(F.avg("neg_voc"), R6).alias("avg_neg_voc"))

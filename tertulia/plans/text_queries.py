@@ -117,7 +117,9 @@ def d_abbrev_compat(x):
 def d_treebank(x):
     for pat, rep in TK.TREEBANK_RULES:
         x = f"regexp_replace({x}, {sql_str(pat)}, {sql_str(duck_replacement(rep))}, 'g')"
-    return f"list_filter(regexp_split_to_array({x}, '{SPACE}+'), lambda t: t <> '')"
+    parts = " ".join(f"WHEN {sql_str(w)} THEN [substr(t, 1, {k}), substr(t, {k + 1})]" for w, k in TK.CONTRACTIONS.items())
+    return (f"flatten(list_transform(list_filter(regexp_split_to_array({x}, '{SPACE}+'), lambda t: t <> ''), "
+            f"lambda t: CASE lower(t) {parts} ELSE [t] END))")
 
 
 def d_words(x):
@@ -297,7 +299,8 @@ def _d_accents(x):
     x = f"strip_accents({x})"
     for k, v in TK.MULTI_CHAR_TRANSLIT.items():
         x = f"replace({x}, {sql_str(k)}, {sql_str(v)})"
-    return x
+    one = TK.SINGLE_CHAR_TRANSLIT
+    return f"translate({x}, {sql_str(''.join(one))}, {sql_str(''.join(one.values()))})"
 
 
 @query("remove_accents", d_long_tokens(
@@ -350,29 +353,64 @@ def _spell_inputs(spark, sf):
     return stats.select("term"), dictionary
 
 
+def _d_spelling(tokens):
+    """CTEs vocab(term, df) and best(term, cand): spelling by deletion keys, made
+    only for terms short enough to be one edit from a known word."""
+    return rf"""
+vocab AS MATERIALIZED (SELECT term, count(*) AS df FROM (
+  SELECT DISTINCT tweet_id, unnest({tokens}) AS term FROM tweets) GROUP BY term),
+short AS MATERIALIZED (SELECT term, df, length(term) AS len FROM vocab
+  WHERE length(term) <= 1 + (SELECT max(length(term)) FROM vocab WHERE df >= {SPELL_MIN_DF})),
+keys AS MATERIALIZED (
+  SELECT term, df, term AS k, 0 AS pos, len FROM short
+  UNION ALL
+  SELECT term, df, substr(term, 1, i - 1) || substr(term, i + 1) AS k, i AS pos, len
+  FROM (SELECT term, df, len, unnest(range(1, len + 1)) AS i FROM short)),
+pairs AS (
+  SELECT DISTINCT u.term, d.term AS cand, d.df AS freq
+  FROM (SELECT * FROM keys WHERE df < {SPELL_MIN_DF}) u JOIN (SELECT * FROM keys WHERE df >= {SPELL_MIN_DF}) d ON u.k = d.k
+  WHERE (u.pos = 0) <> (d.pos = 0) OR (u.pos > 0 AND d.pos > 0 AND u.pos = d.pos AND u.len = d.len)),
+best AS (SELECT term, first(cand ORDER BY freq DESC, cand) AS cand FROM pairs GROUP BY term)"""
+
+
 @query("spell_correct", with_tweets(rf"""
 SELECT term, correction, status FROM (
   SELECT v.term, coalesce(b.cand, v.term) AS correction,
          CASE WHEN v.df >= {SPELL_MIN_DF} THEN 'known' WHEN b.cand IS NULL THEN 'unknown' ELSE 'corrected' END AS status
-  FROM vocab v LEFT JOIN best b ON v.term = b.term)""", extra=rf"""
-docterms AS (SELECT DISTINCT tweet_id, unnest({d_words('lower(content)')}) AS term FROM tweets),
-vocab AS (SELECT term, count(*) AS df FROM docterms GROUP BY term),
-keys AS (
-  SELECT term, df, term AS k, 0 AS pos, length(term) AS len FROM vocab
-  UNION ALL
-  SELECT term, df, substr(term, 1, i - 1) || substr(term, i + 1) AS k, i AS pos, length(term) AS len
-  FROM (SELECT term, df, unnest(range(1, length(term) + 1)) AS i FROM vocab)),
-pairs AS (
-  SELECT DISTINCT u.term, d.term AS cand, d.df AS freq
-  FROM keys u JOIN keys d ON u.k = d.k
-  WHERE u.df < {SPELL_MIN_DF} AND d.df >= {SPELL_MIN_DF} AND u.term <> d.term
-    AND ((u.pos = 0) <> (d.pos = 0) OR (u.pos > 0 AND d.pos > 0 AND u.pos = d.pos AND u.len = d.len))),
-best AS (SELECT term, first(cand ORDER BY freq DESC, cand) AS cand FROM pairs GROUP BY term)"""))
+  FROM vocab v LEFT JOIN best b ON v.term = b.term)""", extra=_d_spelling(d_words("lower(content)"))))
 def spell_correct(spark, sf):
     vocab, dictionary = _spell_inputs(spark, sf)
     return NZ.spelling_corrections(vocab, dictionary)
 
 
+def _d_token_pipeline():
+    toks = d_treebank("lower(content)")
+    final = "coalesce(m.canonical, b.cand, t.term)"
+    return with_tweets(f"""
+SELECT tweet_id, CAST(count(term) AS BIGINT) AS n_tokens, {_d_detok("coalesce(list(term ORDER BY pos) FILTER (WHERE term IS NOT NULL), [])")} AS text
+FROM (SELECT tweet_id, pos, CASE WHEN NOT list_contains({_d_stop_list()}, term) THEN term END AS term FROM (
+  SELECT t.tweet_id, t.pos, {_d_accents(final)} AS term
+  FROM (SELECT tweet_id, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM (
+          SELECT tweet_id, CASE WHEN len(l) = 0 THEN [NULL] ELSE l END AS l FROM (SELECT tweet_id, {toks} AS l FROM tweets))) t
+  LEFT JOIN best b ON t.term = b.term
+  LEFT JOIN {_term_map_values()} ON coalesce(b.cand, t.term) = m.term))
+GROUP BY tweet_id""", extra=_d_spelling(toks))
+
+
+@query("token_pipeline", lambda: _d_token_pipeline())
+def token_pipeline(spark, sf):
+    """T1-T6 composed: cleaned text, Treebank tokens, spelling, term mapping,
+    accents, stop words, text again."""
+    from ..operators.token_pipeline import token_pipeline as run
+    from ..session import cut_lineage
+    tw = cut_lineage(_tw(spark, sf).select("tweet_id", TK.treebank_tokens(F.lower("content")).alias("toks")))
+    stats = cut_lineage(TM.vocabulary_stats(TM.doc_terms(tw, "tweet_id", "toks"), "tweet_id"))
+    known = stats.filter(F.col("doc_freq") >= SPELL_MIN_DF).select("term", F.col("doc_freq").alias("freq"))
+    corrections = NZ.spelling_corrections(stats.select("term"), known)
+    out = run(tw, "tweet_id", "toks", corrections, TW.term_map(spark), accents=True, stopwords=True)
+    return out.select("tweet_id", F.size("tokens").cast("bigint").alias("n_tokens"), "text")
+
+
 @query("vocabulary_stats", with_tweets(f"""
 SELECT term, CAST(sum(tf) AS BIGINT) AS term_freq, count(*) AS doc_freq FROM (
   SELECT tweet_id, term, count(*) AS tf FROM (

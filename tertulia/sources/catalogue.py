@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.labels import reduce_labels
 from ..operators.sampling import assign_split
 from .tsv import read_tsv
 
@@ -31,10 +32,20 @@ class Corpus:
     layout: str                 # split_files | one_file | train_test
     root: str                   # folder holding <name>_<part> sub-folders
     train_from: str | None = None
+    labels: str = "class"       # class (0-3) | rank (1-5) | aspect (0-2)
+
+
+def reduced(labels: str, sentiment: Column, compat: bool = False) -> Column:
+    """Three classes of a corpus's labels: classes 0, 1, 1, 2; ranks below,
+    at and above 3; aspect votes as they are.  ``compat``: ranks like classes."""
+    if labels == "aspect":
+        return sentiment
+    return reduce_labels(F.lit("coah" if labels == "rank" else "intertass"), sentiment, compat)
 
 
 def read_corpus(spark: SparkSession, catalogue: dict[str, Corpus], name: str,
-                id_col: str = "tweet_id") -> DataFrame:
+                id_col: str = "tweet_id", reduce: bool = False, compat: bool = False) -> DataFrame:
+    """One corpus with ``split`` and ``dataset``; ``reduce``: three classes on read."""
     if name not in catalogue:
         raise KeyError(f"unknown corpus {name!r}")
     c = catalogue[name]
@@ -53,12 +64,14 @@ def read_corpus(spark: SparkSession, catalogue: dict[str, Corpus], name: str,
         out = train.unionByName(part(name, "test").withColumn("split", F.lit("test")))
     else:
         raise ValueError(f"unknown layout {c.layout!r}")
+    if reduce:
+        out = out.withColumn("sentiment", reduced(c.labels, F.col("sentiment"), compat).cast("int"))
     return out.withColumn("dataset", F.lit(name))
 
 
-def read_catalogue(spark: SparkSession, catalogue: dict[str, Corpus]) -> DataFrame:
+def read_catalogue(spark: SparkSession, catalogue: dict[str, Corpus], reduce: bool = False) -> DataFrame:
     out = None
     for name in catalogue:
-        df = read_corpus(spark, catalogue, name)
+        df = read_corpus(spark, catalogue, name, reduce=reduce)
         out = df if out is None else out.unionByName(df)
     return out
