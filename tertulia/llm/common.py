@@ -30,6 +30,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, the long columns ``_f`` and ``_i``, that every scan gives again: the hash of
+    the file and the row's place in it where ``docs`` is a Parquet scan as it is, else numbers written once with the rows."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*", F.xxhash64(place["file_path"]).alias("_f"), place["row_index"].alias("_i"))
+    return stored(docs.withColumn("_f", F.lit(0).cast("long")).withColumn("_i", F.monotonically_increasing_id()), "keyed-rows")
+
+
 def short(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` (materialised, of a few short columns) with a broadcast hint if it
     is counted to have ``rows`` rows at most; else it takes part in a shuffle."""

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import cut, stored
+from .common import cut, keyed, short, stored
 from .components import components
 from .shingles import shingle_sets
 
@@ -453,18 +453,23 @@ def near_components(docs: DataFrame) -> DataFrame:
                     .otherwise(F.col("component_id")).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, the one of the smallest
-    (doc_id, nulls last, text hash, row key); rows without shingles stay.
-    Row keys are written once with the rows, so all steps see the same."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
-    hashed = keyed.withColumn("_hash", F.xxhash64("text"))
-    sets = stored(shingled(hashed, ("_row", "_hash")), "ngram-sets")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"),
-                     F.col("_hash").alias("h"), F.col("_row").alias("r"))
+def repeats(docs: DataFrame) -> DataFrame:
+    """(_f, _i): the rows of ``docs`` (with these keys, see ``keyed``) that go if one row of each component stays,
+    the one of the smallest (doc_id, nulls last, text hash, key).  Rows without shingles stay."""
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    sets = stored(shingled(hashed, ("_f", "_i", "_hash")), "ngram-sets")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"),
+                     F.col("_hash").alias("h"), F.col("_f").alias("f"), F.col("_i").alias("i"))
     # The first row of each node, then of each component.
     by_node = sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(place).alias("first"))
-    kept = (by_node.join(_node_labels(keyed, sets).select("node", "label"), "node")
-            .groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.r").alias("_row")))
-    kept = kept.unionAll(sets.filter(F.col("node").isNull()).select("_row"))
-    return keyed.join(kept, "_row", "left_semi").drop("_row")
+    kept = (by_node.join(_node_labels(docs, sets).select("node", "label"), "node")
+            .groupBy("label").agg(F.min("first").alias("first"))
+            .select(F.col("first.f").alias("_f"), F.col("first.i").alias("_i")))
+    named = sets.filter(F.col("node").isNotNull()).select("_f", "_i")
+    return stored(named.join(kept, ["_f", "_i"], "left_anti"), "ngram-repeats")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component (see ``repeats``)."""
+    rows = keyed(docs)
+    return rows.join(short(repeats(rows)), ["_f", "_i"], "left_anti").drop("_f", "_i")
