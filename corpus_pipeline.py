@@ -19,12 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tertulia.llm.common import stored, table
+from tertulia.llm.common import table
 from tertulia.llm.decontaminate import decontaminate
 from tertulia.llm.line_dedup import dedup_lines
 from tertulia.llm.mixing import mix_sources
-from tertulia.llm.ngram_join import one_of_each
-from tertulia.llm.passages import dedup_passages
+from tertulia.llm.passages import one_of_each_without_passages
 from tertulia.llm.toxicity import drop_toxic
 from tertulia.session import scratch_dir
 
@@ -47,7 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_passages(stored(one_of_each(docs), "pipeline-one-of-each"))
+    out = one_of_each_without_passages(docs)
     return _counted(out.filter((F.col("n_gone") == 0) | (F.col("text") != "")), docs, "n_gone")
 
 
