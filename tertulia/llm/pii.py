@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term", "shape")
@@ -100,16 +100,17 @@ def _matches(kind: int, text: Column) -> Column:
     return F.when(GUARDS[name](text), rows)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
+def base_spans(docs: DataFrame, rid: str | None = None) -> DataFrame:
     """(rid, doc_id, k, s, e, m, before, after): every row of ``docs`` once
-    with k = -1, and each valid match; kept in the shared folder."""
+    with k = -1, and each valid match; kept in the shared folder.  ``rid``: the
+    column of a row number that ``docs`` brings."""
     t = F.coalesce(F.col("text"), F.lit(""))
     head = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("gap"),
                             F.lit("").alias("m"), F.lit("").alias("before"), F.lit("").alias("after")))
     none = F.slice(head, 1, 0)
     items = F.concat(head, *[F.coalesce(_matches(k, t), none) for k in range(len(KINDS))])
-    rows = (docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-            .select("rid", "doc_id", F.inline(items)))
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("rid"), "doc_id", "text").select("rid", "doc_id", F.inline(items))
     upto = W.partitionBy("rid", "k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("m")).over(upto))
     return cut(rows.filter((F.col("k") < 0) | _valid(F.col("k"), F.col("m")))
@@ -171,10 +172,10 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame,
             .select("k", "m", "t", "disclosure"))
 
 
-def find_pii(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def find_pii(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, rid: str | None = None) -> DataFrame:
     """(rid, doc_id, spans): per row of ``docs`` (doc_id, text) all spans as
     array<struct<s, k, e>> in order, k indexing ALL_KINDS."""
-    spans = base_spans(docs)
+    spans = base_spans(docs, rid)
     terms = context_terms(spans)
     shown = disclosing_terms(docs, spans, terms, remove, generalise)
     extra = (terms.join(shown, ["k", "m", "t"])
@@ -205,8 +206,9 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERA
     """(doc_id, text): base spans masked as [KIND], disclosing terms removed
     or generalised to their shape (letters as ``x``).  Overlapping spans give
     way to the one that starts first."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    found = find_pii(docs.select("doc_id", "text"), remove, generalise).select("rid", "spans")
+    # Numbered in a written table: two scans of ``docs`` need not number its rows alike.
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "pii-rows")
+    found = find_pii(keyed, remove, generalise, "rid").select("rid", "spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
 
     def apply(acc: Column, x: Column) -> Column:

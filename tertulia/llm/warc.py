@@ -7,16 +7,20 @@ more, the one with the smallest id is a ``response`` and the others are
 archive holds ``records_per_file`` records at most.
 
 Reading: the files are split at the magic ``WARC/1.0\\r\\n``, which a payload
-may hold as well.  Tasks emit, for each candidate, its offset in the file and
-the offset at which its successor must start (head, Content-Length and the
-closing CRLF CRLF).  Per file, pointer jumping from offset 0 marks the
+may hold as well.  The pieces between are written once, with the file, the split
+and the number that they got in this one scan, and all later steps read that
+table: how the files would be split by another scan, with more or fewer
+executors alive, does not matter.  Tasks emit, for each candidate, its offset
+in the file and the offset at which its successor must start (head,
+Content-Length and the closing CRLF CRLF).  Per file, pointer jumping from offset 0 marks the
 candidates that the chain reaches; only those are records, and a piece that
 follows a false magic is joined back to the record that holds it.  Candidates
 are three numbers each and files are bounded, so a file's chain is a small
 group; payloads are not gathered by file.
 
 Defined results: null payload is written as empty; null url is left out of the
-head; line breaks in a url are percent-escaped; rows that repeat an id are
+head; line breaks of any kind and control characters in a url are
+percent-escaped, and heads are read line by line at CR LF only; rows that repeat an id are
 records of their own, and with equal payloads all rows of the smallest id are
 responses; rows with a null id revisit a row with an id if there is one, else
 are responses.  An empty table writes an archive without records.
@@ -37,6 +41,7 @@ RECORDS_PER_FILE = 20_000
 URN = "urn:page:"
 DATE = "2000-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+CONTROLS = r"[\x00-\x1F\x7F-\x9F\x{2028}\x{2029}]"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -66,11 +71,19 @@ def with_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                     F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")))
 
 
+def escaped(url: Column) -> Column:
+    """``url`` with control characters and line separators percent-escaped as UTF-8 bytes."""
+    def letter(c: Column) -> Column:
+        return F.when(c.rlike(CONTROLS), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+
+    return F.when(url.rlike(CONTROLS), F.array_join(F.transform(F.split(url, ""), letter), "")).otherwise(url)
+
+
 def record_text(r: DataFrame) -> Column:
     """A record up to the last byte but one: the writer's line end closes it."""
     nl = F.lit("\r\n")
     revisit = F.col("refers_to").isNotNull()
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    url = escaped(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -97,13 +110,21 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES,
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magics, in file order within a split.  ``mid`` grows
-    along a split and depends only on the files and the session's split size,
-    so every scan of one archive numbers its pieces alike."""
-    return (spark.read.option("lineSep", MAGIC).text(path)
-            .select("value", F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("mid")))
+    """(value, file, block, mid, n, own): what stands between magics, from one
+    scan, as a written table.  ``mid`` grows along a split; n: its bytes; own:
+    the bytes that a record with this head has."""
+    p = (spark.read.option("lineSep", MAGIC).text(path)
+         .select("value", F.col("_metadata.file_path").alias("file"),
+                 F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("mid")))
+    head = F.when(F.instr("value", "\r\n\r\n") > 0, F.substring_index("value", "\r\n\r\n", 1))
+    length = F.regexp_extract(F.substring_index(head, "\nContent-Length: ", -1), r"^([0-9]{1,18})(?:\r\n|\z)", 1)
+    p = p.select("*", F.octet_length("value").cast("long").alias("n"),
+                 F.when(F.col("value").startswith("WARC-Type: ") & (length != ""),
+                        F.octet_length(head) + 8 + length.cast("long")).alias("own"))
+    store = scratch_dir(spark, "warc-pieces")
+    p.write.option("compression", "zstd").parquet(store)
+    return spark.read.parquet(store)
 
 
 def _reached(key, pdf):
@@ -134,17 +155,11 @@ def _reached(key, pdf):
     return pd.concat([out, start.assign(rec=-1, pieces=0)])
 
 
-def chain_index(spark: SparkSession, path: str) -> DataFrame:
+def chain_index(pieces: DataFrame) -> DataFrame:
     """(file, mid, off, rec, pieces): of each piece the offset of the record
     that holds it and how many pieces that record has (none: what stands
     before a file's first magic)."""
-    p = _pieces(spark, path)
-    head = F.when(F.instr("value", "\r\n\r\n") > 0, F.substring_index("value", "\r\n\r\n", 1))
-    length = F.regexp_extract(head, r"(?m)^Content-Length: ([0-9]{1,18})\r?$", 1)
-    p = p.select("file", "block", "mid", F.octet_length("value").cast("long").alias("n"),
-                 F.when(F.col("value").startswith("WARC-Type: ") & (length != ""),
-                        F.octet_length(head) + 8 + length.cast("long")).alias("own"))
-    p = cut(p)
+    p = pieces.select("file", "block", "mid", "n", "own")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = (p.groupBy("file", "block").agg(F.sum(F.col("n") + len(MAGIC)).alias("_len"))
               .select("file", "block", F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_start")))
@@ -160,9 +175,10 @@ def chain_index(spark: SparkSession, path: str) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, record_type, payload_digest, refers_to, http_length, payload) of every record."""
     # Most pieces are whole records; the others are few and meet the pieces without moving them.
-    odd = cut(chain_index(spark, path).filter("pieces <> 1"))
-    whole = _pieces(spark, path).join(short(odd.select("file", "mid")), ["file", "mid"], "left_anti").select("value")
-    parts = (_pieces(spark, path).join(short(odd.filter("pieces > 1")), ["file", "mid"]).groupBy("file", "rec")
+    pieces = _pieces(spark, path)
+    odd = cut(chain_index(pieces).filter("pieces <> 1"))
+    whole = pieces.select("file", "mid", "value").join(short(odd.select("file", "mid")), ["file", "mid"], "left_anti").select("value")
+    parts = (pieces.select("file", "mid", "value").join(short(odd.filter("pieces > 1")), ["file", "mid"]).groupBy("file", "rec")
              .agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("_l"))
              .select(F.array_join(F.col("_l.value"), MAGIC).alias("value")))
     r = whole.unionAll(parts)
@@ -171,11 +187,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     r = r.select(head.alias("_h"), rest.alias("_b"))
 
     def field(name: str, col: str = "_h") -> Column:
-        v = F.regexp_extract(col, rf"(?m)^{name}: ([^\r\n]*)", 1)
+        v = F.regexp_extract(col, rf"(?dm)^{name}: ([^\r\n]*)", 1)
         return F.when(v != "", v)
 
     def urn(name: str) -> Column:
-        v = F.regexp_extract("_h", rf"(?m)^{name}: <{URN}([^>\r\n]*)>", 1)
+        v = F.regexp_extract("_h", rf"(?dm)^{name}: <{URN}([^>\r\n]*)>", 1)
         return F.when(v != "", v).cast("long")
 
     body = F.expr("substring(_b, length(substring_index(_b, '\\r\\n\\r\\n', 1)) + 5)")
@@ -185,7 +201,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         urn("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), kind.alias("record_type"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
         urn("WARC-Refers-To").alias("refers_to"),
-        F.regexp_extract(F.substring_index("_b", "\r\n\r\n", 1), r"(?m)^Content-Length: ([0-9]+)", 1)
+        F.regexp_extract(F.substring_index("_b", "\r\n\r\n", 1), r"(?dm)^Content-Length: ([0-9]+)", 1)
         .cast("long").alias("http_length"),
         F.when(kind == "response", payload).alias("payload"))
 

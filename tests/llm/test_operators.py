@@ -223,6 +223,32 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_urls_with_line_separators(spark, monkeypatch):
+    """Every kind of line break and head-like text in a url; scans that split the files otherwise."""
+    breaks = ["\u2028", "\u2029", "\u0085", "\n", "\r\n", "\x0b", "\x0c", "\x1e", "\r"]
+    rows = [(i, f"http://a/{b}Content-Length: 5{b}WARC-Refers-To: <urn:page:3>{b}x", f"payload {i} " * 5) for i, b in enumerate(breaks)]
+    rows += [(20, "plain", "payload 20"), (21, "plain\u2028", "payload 20")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    read = warc.read_warc
+
+    def other_splits(s, path):
+        out = read(s, path)
+        s.conf.set("spark.sql.files.maxPartitionBytes", "64")  # whatever is scanned from now on
+        return out
+
+    monkeypatch.setattr(warc, "read_warc", other_splits)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(rows)
+    for i, url, html in rows[:-1]:
+        assert (got[i].payload, got[i].record_type, got[i].refers_to) == (html, "response", None)
+        assert got[i].url == "".join(c if c.isprintable() or c == " " else "".join(f"%{x:02X}" for x in c.encode()) for c in url)
+    assert (got[21].record_type, got[21].refers_to) == ("revisit", 20)
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     words = item.split()
