@@ -4,9 +4,14 @@ A page is cut at its block-level tags into flat blocks.  Each block has its
 number of words and share of linked words, the same of the blocks before and
 after it, and what its place says: its kind of tag, whether an ``article`` or
 ``main`` holds it (or any is on the page), and whether an enclosing element is
-a region of navigation, advertising, forms or comments by its tag, role, class
-or id.  A decision tree over these, trained with Spark ML on the small labelled
-table of html_training.py, tells main text from the rest.
+a region of navigation, advertising, forms or comments by its tag, role, or a
+word of its class or id.  Such names are weighed, not believed: ``no-sidebar``,
+``has-banner`` and ``legal-news`` name no region (a name counts if it and all
+words joined to it mean regions or boxes), and the feature is the share of the
+page's words that stand outside of the element, so a wrapper of the whole page
+counts little whatever it is called.  A decision tree over these, trained with
+Spark ML on the small labelled table of html_training.py, tells main text from
+the rest.
 
 Scale: pages are cut and classified one by one in Arrow batches, with no
 shuffle; the tree is a few dozen numbers.  Defined results: null, empty or
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
             "kind", "inside", "page_has", "region")
 MAX_DEPTH = 8
+MIN_LEAF = 3
 
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 MARKUP = re.compile(
@@ -57,7 +63,11 @@ REGION_NAMES = frozenset("ad ads adv advert adverts advertisement advertising ba
                          "subscription signup login share sharing social related recommended widget widgets search "
                          "toolbar pagination pager copyright legal disclaimer skip outbrain taboola".split())
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+#: Words that leave a name's meaning to the word beside them (entry-header is a headline, site-header is not).
+NEUTRAL = frozenset("area bar block bottom box btn button buttons col column container content div form global group id "
+                    "inner item items left link links list main module outer page panel right row section site slot "
+                    "spot text top unit wrap wrapper".split())
+_JOINED = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Block(NamedTuple):
@@ -79,11 +89,17 @@ def is_region(tag: str, attrs: str, inside: bool) -> bool:
         name = m[1].lower()
         if name == "role" and value in REGION_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and not REGION_NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and any(map(names_region, value.split())):
             return True
     return False
 
 
+def names_region(name: str) -> bool:
+    """Whether a class or id names a region: one of its words does, and no other says more than box or place."""
+    words = [w for w in _JOINED.findall(name) if not w.isdigit()]
+    return not REGION_NAMES.isdisjoint(words) and all(w in REGION_NAMES or w in NEUTRAL for w in words)
+
+
 def embedded_ends(html: str) -> dict[int, int]:
     """End of the start tag -> end of the element, of each EMBEDDED element that is closed."""
     opened: dict[str, list[int]] = {}
@@ -103,8 +119,8 @@ def embedded_ends(html: str) -> dict[int, int]:
 def cut_blocks(html: str) -> list[Block]:
     """The flat blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # enclosing block elements: tag, inside article, in a region
-    inside = region = False
+    stack: list[tuple[str, bool, int]] = []  # enclosing block elements: tag, inside article, outermost region's number
+    inside, region, regions = False, 0, 0
     kind, parts, linked, anchors = 0.0, [], 0, 0
     in_head, ends = False, None
 
@@ -121,7 +137,7 @@ def cut_blocks(html: str) -> list[Block]:
             words = "".join(parts).split()
             if words:
                 out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), kind,
-                                 float(inside), float(region)))
+                                 float(inside), region))
             parts.clear()
             linked = 0
 
@@ -172,14 +188,21 @@ def cut_blocks(html: str) -> list[Block]:
             if tag == "p" or tag in KIND:  # these end an open paragraph or a sibling of their own kind
                 while stack and stack[-1][0] in KIND and (stack[-1][0] == "p" or stack[-1][0] == tag):
                     stack.pop()
-            inside, region = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            inside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if tag not in VOID:
-                stack.append((tag, inside or tag in ("article", "main"), region or is_region(tag, m[4], inside)))
-        inside, region = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                if not region and is_region(tag, m[4], inside):
+                    region = regions = regions + 1
+                stack.append((tag, inside or tag in ("article", "main"), region))
+        inside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         kind = next((KIND[s[0]] for s in reversed(stack) if s[0] in KIND), 0.0)
     take(html[at:])
     close()
-    return out
+    # A region's number becomes the share of the page's words outside of it.
+    held: dict[float, int] = {}
+    for b in out:
+        held[b.region] = held.get(b.region, 0) + b.words
+    total = sum(held.values())
+    return [b._replace(region=1 - held[b.region] / total if b.region else 0.0) for b in out]
 
 
 def block_features(blocks: list[Block]) -> list[tuple[float, ...]]:
@@ -196,7 +219,8 @@ def train_tree(spark: SparkSession, pages: list[tuple[str, str]] | None = None):
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
     if pages is None:
-        from .html_training import PAGES as pages
+        from .html_training import training_pages
+        pages = training_pages()
     rows = []
     for html, labels in pages:
         blocks = cut_blocks(html)
@@ -204,7 +228,7 @@ def train_tree(spark: SparkSession, pages: list[tuple[str, str]] | None = None):
             raise ValueError(f"{len(labels)} labels for {[b.text for b in blocks]}")
         rows += [(*x, float(y == "m")) for x, y in zip(block_features(blocks), labels)]
     df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in (*FEATURES, "label"))).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=MAX_DEPTH, maxBins=64, minInstancesPerNode=1, seed=1).fit(
+    model = DecisionTreeClassifier(maxDepth=MAX_DEPTH, maxBins=128, minInstancesPerNode=MIN_LEAF, seed=1).fit(
         VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df))
 
     def read(node):

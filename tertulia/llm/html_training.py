@@ -1,5 +1,10 @@
 """The labelled table of the block classifier: small pages, written for this
-purpose, and a letter for each of their text blocks (m main text, b other)."""
+purpose, and a letter for each of their text blocks (m main text, b other).
+``PAGES`` are written out; ``made_pages`` are put together from parts, so that
+menus, teasers and notices without a telling name, short paragraphs between
+long ones, and names that mislead occur in many neighbourhoods."""
+
+import random
 
 _P = "<p>The river rose again last night and the lower fields are under water for the third time this year.</p>"
 _Q = "<p>Farmers met in the hall, where <a href='/x'>the mayor</a> told them that help was on its way.</p>"
@@ -67,3 +72,99 @@ PAGES = [
     ("No markup at all stands in this one.", "m"),
     ("<body><h1>Head</h1>" + _S + "<div>Last words, and no more.</div>", "mmm"),
 ]
+
+_WORDS = ("river valley bridge mill field water night rain farmer mayor council school market road hill stone letter week "
+          "summer winter house garden window story people morning light paper train village library garden boat").split()
+_JOIN = "the of and in a to was that it for on with as his they at be this had from".split()
+#: Attributes of boxes that hold main text, and of boxes that hold other text.
+_PLAIN = ["", "", " class='content no-sidebar'", " id='page' class='site has-banner'", " class='col-8'", " id='main-content'",
+          " class='post-body'", " class='two-columns with-menu'"]
+_OTHER = [" class='sidebar'", " id='footer'", " class='cookie-notice'", " class='ad'", " class='site-footer'", " class='menu'",
+          " class='related-links'", " class='newsletter-box'", " role='complementary'", " class='comments'", " id='top-banner'"]
+_IN_ARTICLE = ["", "", " class='legal-news'", " class='entry-header'", " class='post-content'", " class='lead'"]
+
+
+def _text(rng: random.Random, lo: int, hi: int, link: float = 0.0) -> str:
+    words = [rng.choice(_JOIN if rng.random() < 0.4 else _WORDS) for _ in range(rng.randint(lo, hi))]
+    words[0] = words[0].title()
+    return " ".join(f"<a href='/{w}'>{w}</a>" if rng.random() < link else w for w in words) + ("." if hi > 6 and link < 1 else "")
+
+
+def _menu(rng: random.Random) -> tuple[str, str]:
+    n = rng.randint(2, 7)
+    links = [f"<a href='/{i}'>{_text(rng, 1, 3)}</a>" for i in range(n)]
+    if rng.random() < 0.5:
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", "b" * n
+    return "<div>" + rng.choice([" ", " | ", " &gt; "]).join(links) + "</div>", "b"
+
+
+def _teasers(rng: random.Random) -> tuple[str, str]:
+    n = rng.randint(2, 4)
+    return "".join(f"<div><h3><a href='/{i}'>{_text(rng, 2, 5)}</a></h3><p>{_text(rng, 4, 12)} <a href='/{i}'>"
+                   "Read all of it</a></p></div>" for i in range(n)), "bb" * n
+
+
+def _small(rng: random.Random) -> tuple[str, str]:
+    """Short lines between links: notices, adverts, imprints without a telling name."""
+    return (f"<div>{_text(rng, 1, 4, 1.0)}</div><div>{_text(rng, 3, 10)}</div><div>{_text(rng, 1, 4, 1.0)}</div>", "bbb")
+
+
+def _loose(rng: random.Random) -> tuple[str, str]:
+    """Unnamed text beside an article: an advert, a teaser, a notice."""
+    return f"<div><p>{_text(rng, 4, 30)}</p></div>", "b"
+
+
+def _main(rng: random.Random) -> tuple[str, str]:
+    parts, labels = [], ""
+    if rng.random() < 0.8:
+        k = rng.choice("112")
+        parts.append(f"<h{k}>{_text(rng, 2, 8)}</h{k}>")
+        labels += "m"
+    for _ in range(rng.randint(2, 6)):
+        lo, hi, link = rng.choice([(12, 60, 0.0), (12, 60, 0.05), (20, 80, 0.1), (1, 5, 0.0), (12, 30, 0.0)])
+        if not labels.strip("m") and len(labels) < 2:
+            lo, hi = 12, 50  # short paragraphs stand between long ones
+        parts.append(f"<p>{_text(rng, lo, hi, link)}</p>")
+        labels += "m"
+    parts.append(f"<p>{_text(rng, 12, 40)}</p>")
+    return "".join(parts), labels + "m"
+
+
+def _named(rng: random.Random) -> tuple[str, str]:
+    """A region by its tag or name, with text as long as main text."""
+    paragraphs = rng.randint(1, 3)
+    body = "".join(f"<p>{_text(rng, 3, 25)}</p>" for _ in range(paragraphs))
+    tag = rng.choice(["nav", "footer", "aside", "div", "div", "div", "section"])
+    attrs = rng.choice(_OTHER) if tag in ("div", "section") else ""
+    return f"<{tag}{attrs}>{body}</{tag}>", "b" * paragraphs
+
+
+def made_pages(n: int, seed: int) -> list[tuple[str, str]]:
+    """``n`` labelled pages by a seed: with an ``article`` or without, in plain boxes or in boxes with misleading names."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        article = rng.random() < 0.5
+        beside = [_loose] if article else []
+        before = [rng.choice([_menu, _menu, _small, _named, *beside])(rng) for _ in range(rng.randint(0, 2))]
+        after = [rng.choice([_menu, _teasers, _small, _named, *beside])(rng) for _ in range(rng.randint(0, 2))]
+        html, labels = _main(rng)
+        if article:
+            extra = rng.choice([("", ""), ("", ""), _named(rng), _menu(rng)])
+            attrs = rng.choice(_IN_ARTICLE)
+            html = f"<article><div{attrs}>{html}</div>{extra[0]}</article>" if attrs else f"<article>{html}{extra[0]}</article>"
+            labels += extra[1]
+        elif len(labels) > 3 or rng.random() < 0.7:
+            html = f"<div{rng.choice(_PLAIN)}>{html}</div>"
+        box = rng.choice(["", "", " class='wrapper has-banner'", " id='page' class='no-sidebar'"])
+        page = "".join(h for h, _ in before) + html + "".join(h for h, _ in after)
+        out.append((f"<html><head><title>t</title></head><body><div{box}>{page}</div></body></html>" if box else
+                    f"<body>{page}</body>", "".join(x for _, x in before) + labels + "".join(x for _, x in after)))
+    return out
+
+
+def training_pages() -> list[tuple[str, str]]:
+    return PAGES * 4 + made_pages(300, 1)
+
+
+def held_out_pages() -> list[tuple[str, str]]:
+    return made_pages(300, 2)

@@ -86,6 +86,7 @@ KINDS = {
     "lei": (("lei:", "lei "), re.compile(r"(?<=[Ll][Ee][Ii][: ])[0-9A-Z]{18}[0-9]{2}(?![0-9A-Za-z])"), _mod97_ok),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
+BASE64URL = re.compile(r"[A-Za-z0-9_-]+")
 _TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -112,10 +113,14 @@ def scan(text: str, automaton) -> list[tuple[int, int, str]]:
         _, pattern, valid = KINDS[kind]
         free = 0
         for s in sorted(at):
-            if s >= free and (m := pattern.match(text, s)):
+            if s < free:
+                continue
+            if m := pattern.match(text, s):
                 free = m.end()
                 if valid(m):
                     found.append((s, free, kind))
+            elif kind == "jwt":  # its first part ends where this run does, wherever in the run it begins
+                free = BASE64URL.match(text, s).end()
     return sorted(found, key=lambda x: (x[0], ALL_KINDS.index(x[2]), x[1]))
 
 

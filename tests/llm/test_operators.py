@@ -263,6 +263,103 @@ def test_decontamination(spark):
     assert contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_html_held_out_pages(spark):
+    """The tree splits on words and neighbours, and holds on pages that it was not trained on."""
+    from tertulia.llm.html_training import held_out_pages
+    tree = html_text.train_tree(spark)
+
+    def splits(t):
+        return set() if isinstance(t, bool) else {html_text.FEATURES[t[0]]} | splits(t[2]) | splits(t[3])
+
+    assert {"links", "region", "inside"} < splits(tree)
+    assert splits(tree) & {"words", "words_before", "words_after"} and splits(tree) & {"links_before", "links_after"}
+    right = collections.Counter()
+    for html, labels in held_out_pages():
+        blocks = html_text.cut_blocks(html)
+        for x, label in zip(html_text.block_features(blocks), labels, strict=True):
+            right[html_text.is_main(tree, x), label] += 1
+    assert right[True, "m"] / (right[True, "m"] + right[True, "b"]) > 0.98
+    assert right[True, "m"] / (right[True, "m"] + right[False, "m"]) > 0.98
+
+
+def test_html_names_that_mislead(spark):
+    tree = html_text.train_tree(spark)
+    p = "The river rose again last night and the lower fields are under water for the third time this year."
+    nav, ad = "<nav><a href='/'>Home</a></nav>", "Buy one pair of boots and get two more today."
+    cases = {f"<div class='content no-sidebar'><h1>Head</h1><p>{p}</p><p>{p}</p></div>": ["Head", p, p],
+             f"<div id='page' class='site has-banner'>{nav}<article><h1>Head</h1><p>{p}</p></article></div>": ["Head", p],
+             f"<article><h1>Head</h1><section class='legal-news'><p>{p}</p></section><p>{p}</p></article>": ["Head", p, p],
+             f"<article><div class='entry-header'><h1>Head</h1></div><p>{p}</p></article>": ["Head", p],
+             f"{nav}<div><p>{ad}</p></div><article><h1>Head</h1><p>{p}</p></article>": ["Head", p],
+             f"<article><h1>Head</h1><p>{p}</p><div class='ad-box'><p>{ad}</p></div></article><div id='site-footer'>{ad}</div>": ["Head", p]}
+    assert {h: html_text.main_text(h, tree).split("\n\n") for h in cases} == cases
+
+
+def brute_tiles(q, d, n):
+    """Greedy string tiling by comparing all places."""
+    in_q, in_d, tiles = set(), set(), []
+    while True:
+        best = (n - 1, 0, 0)
+        for i in range(len(q)):
+            for j in range(len(d)):
+                k = 0
+                while i + k < len(q) and j + k < len(d) and q[i + k] == d[j + k] and i + k not in in_q and j + k not in in_d:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < n:
+            return tiles
+        in_q |= set(range(i, i + k))
+        in_d |= set(range(j, j + k))
+        tiles.append(k)
+
+
+@pytest.mark.parametrize("pairs", [3, 4_000_000])
+def test_decontamination_against_brute_force(spark, monkeypatch, pairs):
+    from tertulia.llm import decontaminate as D
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 3, 4, 12, 20])))) for i in range(25)]
+    items += [(90, "z " * 30), (91, "x y z w")]
+    docs = []
+    for i in range(60):
+        words = rng.choices("abcdefghij", k=rng.randrange(0, 40))
+        for _ in range(2):
+            t = rng.choice(items)[1].split()
+            a = rng.randrange(len(t))
+            words[rng.randrange(len(words) + 1):0] = t[a:] + t[:a]
+        docs.append((i, " ".join(words)))
+    docs += [(100, "z " * 50), (101, "one X, Y; z W two"), (102, "x y z"), (103, None)]
+    block = D.Block(items, 5)
+    for _, text in docs:
+        d = (text or "").lower().replace(",", "").replace(";", "").split()
+        want = {}
+        for k, t in items:
+            q = t.split()
+            if len(q) >= D.MIN_ITEM and (tiles := brute_tiles(q, d, min(5, len(q)))):
+                want[k] = (sum(tiles), len(tiles), max(tiles))
+        assert {m["item_id"]: (m["n_matched"], m["n_tiles"], m["longest"]) for m in block.matches(text)} == want
+    if pairs == 3:
+        return
+    df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, contaminated(df, bench).collect()))
+    assert one == sorted(map(tuple, contaminated(df, bench, block_chars=100).collect())) != []
+    assert (101, 91) in {x[:2] for x in one}
+    left = sorted(r.doc_id for r in decontaminate(df, bench).collect())
+    assert left == sorted(r.doc_id for r in decontaminate(df, bench, block_chars=100).collect())
+    assert left == sorted({i for i, _ in docs} - {x[0] for x in one})
+
+
+def test_repetitive_texts_take_array_time():
+    import time
+    from tertulia.llm.decontaminate import Block
+    t0 = time.perf_counter()
+    assert Block([(1, "z " * 1000)], 5).matches("z " * 4000)[0]["coverage"] == 1
+    assert secrets.scan("eyJ" * 100_000, secrets._automaton()) == []
+    assert time.perf_counter() - t0 < 20
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     calm = [f"word{i}" for i in range(200)]
