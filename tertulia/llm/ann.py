@@ -2,18 +2,21 @@
 
 Vectors are parted by norm into ranges of a factor of two, within which the
 largest inner product is close to the nearest direction.  Directions are padded
-to a power of two and turned by pseudo-rotations: three rounds of random signs
-and a fast Hadamard transform.  A vector's hash in a table is the signed axis
-nearest to it.  In each range, a query looks into the ``probes`` nearest axes
-of each of ``tables`` tables, and it meets all vectors of the ranges that hold
-fewer than ``SMALL``; what it meets is ranked by the inner product of the
-original vectors in double precision.  Queries that met fewer than ``k`` + 1
-ids probe four times as many axes, until they have them or meet all vectors.
+to a power of two (if they have not one) and turned by pseudo-rotations: three
+rounds of random signs and a fast Hadamard transform.  A vector's hash in a
+table is the signed axis nearest to it, or the axes of two or three rotations
+together: more of them, and so more and smaller buckets, the more vectors there
+are (``SETTINGS``).  In each range, a query looks into the ``probes`` buckets of
+the greatest summed closeness to their axes in each of ``tables`` tables, and
+it meets all vectors of the ranges that hold fewer than ``SMALL``; what it meets
+is ranked by the inner product of the original vectors in double precision.
+Queries that met fewer than ``k`` + 1 ids probe four times as many buckets,
+until they have them or meet all vectors.
 
 Equal vectors are one class that carries its ``k`` + 1 smallest ids, all that
 a result can need, so a vector that a third of the rows share costs one entry.
-Bucket counts (at most ``tables`` x 2 x dimension numbers) come to the driver;
-from them, both sides of a crowded bucket are dealt to blocks of ``BLOCK``
+Counts of the parts of tables (at most ``tables`` x ``PARTS`` a range) come to the driver;
+from them, both sides of a crowded part of a table are dealt to blocks of ``BLOCK``
 candidates and ``BLOCK`` queries, every candidate block meeting every query
 block, so that no group grows with the input and nothing is dropped.
 
@@ -35,11 +38,13 @@ from pyspark.sql import Window as W
 
 from .common import cut, short
 
-TABLES = 8
-PROBES = 32
+#: By the number of hashed vectors, at most: rotations a hash, tables, probes.
+SETTINGS = [(8192, (1, 8, 16)), (1 << 23, (2, 12, 192)), (None, (3, 24, 1024))]
+#: Axes of one rotation that a query combines with those of the others, at least.
+NEAR_AXES = 48
 K = 20
 BLOCK = 4096
-#: Buckets that share a group of the search, as a part of a table.
+#: Groups that the buckets of a table are dealt to.
 PARTS = 16
 #: Norm ranges of fewer vectors than this are not hashed: every query meets all of them, as group WHOLE.
 SMALL = 256
@@ -65,18 +70,36 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Unit vectors in a power of two of dimensions."""
-    out = np.zeros((len(x), 1 << x.shape[1].bit_length()))
+    out = np.zeros((len(x), 1 << (x.shape[1] - 1).bit_length()))
     x = x / np.abs(x).max(axis=1, keepdims=True)
     out[:, :x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
 
-def axes(x: np.ndarray, table: int, n: int) -> np.ndarray:
-    """The n signed axes nearest to each row (2 i for +i, 2 i + 1 for -i), nearest first."""
-    r = rotate(x, table)
-    score = np.stack([r, -r], 2).reshape(len(r), 2 * r.shape[1])
+def _first(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the n highest scores of each row, highest first, and these scores."""
     near = np.argpartition(-score, min(n, score.shape[1] - 1), axis=1)[:, :n]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+    return near, np.take_along_axis(score, near, 1)
+
+
+def buckets(x: np.ndarray, table: int, n: int, rotations: int = 1) -> np.ndarray:
+    """The n buckets of a table nearest to each row, nearest first.  A bucket is the signed axes of its rotations
+    (2 i for +i, 2 i + 1 for -i) as digits; its closeness is the sum of the row's components along them."""
+    out = score = None
+    for j in range(rotations):
+        r = rotate(x, table * 3 + j)
+        along = np.stack([r, -r], 2).reshape(len(r), 2 * r.shape[1])
+        wide = n if rotations == 1 or n == 1 else max(NEAR_AXES, 3 * int(n ** (1 / rotations)))
+        axis, value = _first(along, min(wide, along.shape[1]))
+        if out is None:
+            out, score = axis, value
+            continue
+        both = (score[:, :, None] + value[:, None, :]).reshape(len(x), -1)
+        pick, score = _first(both, min(n, both.shape[1]))
+        out = (np.take_along_axis(out, pick // axis.shape[1], 1) * along.shape[1]
+               + np.take_along_axis(axis, pick % axis.shape[1], 1))
+    return out
 
 
 def _matrix(column) -> np.ndarray:
@@ -109,8 +132,8 @@ def _groups(batch: pa.RecordBatch, parts: dict[int, int]) -> np.ndarray:
     return np.array([r if r in parts else WHOLE for r in batch["r"].to_pylist()], np.int64)
 
 
-def _bucket_counts(classes: DataFrame, tables: int, probes: int, parts: dict[int, int]) -> tuple[dict, dict]:
-    """(group, table, part) -> candidates there, (parts, table, part) -> queries that probe an axis of it."""
+def _bucket_counts(classes: DataFrame, rotations: int, tables: int, probes: int, parts: dict[int, int]) -> tuple[dict, dict]:
+    """(group, table, part) -> candidates there, (parts, table, part) -> queries that probe a bucket of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, q = unit(_matrix(b["v"])), b["q"].to_numpy(zero_copy_only=False).astype(bool)
@@ -118,10 +141,10 @@ def _bucket_counts(classes: DataFrame, tables: int, probes: int, parts: dict[int
             found = [(WHOLE, 1, 0, 0, int((g == WHOLE).sum()), int(q.sum()))]
             for t in range(tables if parts else 0):
                 m = np.array([parts.get(r, 1) for r in g.tolist()], np.int64)
-                own = np.stack([g, m, axes(x, t, 1)[:, 0] % m], 1)[g != WHOLE]
+                own = np.stack([g, m, buckets(x, t, 1, rotations)[:, 0] % m], 1)[g != WHOLE]
                 at, n = np.unique(own, axis=0, return_counts=True)
                 found += [(r, m, t, part, c, 0) for (r, m, part), c in zip(at.tolist(), n.tolist())]
-                near = axes(x[q], t, probes)
+                near = buckets(x[q], t, probes, rotations)
                 for m in set(parts.values()):
                     asked = np.zeros((len(near), m), bool)
                     np.put_along_axis(asked, near % m, True, 1)
@@ -140,9 +163,9 @@ def _splits(candidates: dict, asked: dict, parts: dict[int, int], block: int) ->
             for (g, t, part), n in candidates.items()}
 
 
-def _deal(classes: DataFrame, tables: int, probes: int, parts: dict[int, int], splits: dict) -> DataFrame:
-    """Rows of the search groups: candidates with their axis, queries with the axes they probe there."""
-    schema = ("g long, t long, part long, cs long, qs long, query boolean, axes array<long>, a long, b long, "
+def _deal(classes: DataFrame, rotations: int, tables: int, probes: int, parts: dict[int, int], splits: dict) -> DataFrame:
+    """Rows of the search groups: candidates with their bucket, queries with the buckets they probe there."""
+    schema = ("g long, t long, part long, cs long, qs long, query boolean, buckets array<long>, a long, b long, "
               "ids array<long>, v array<double>")
     hashed = {m: [g for g in sorted(parts) if parts[g] == m] for m in sorted(set(parts.values()))}
 
@@ -176,10 +199,10 @@ def _deal(classes: DataFrame, tables: int, probes: int, parts: dict[int, int], s
                     for i in asking.tolist():
                         query(i, WHOLE, 0, [0])
                 if parts:
-                    own = axes(x, t, 1)[:, 0]
+                    own = buckets(x, t, 1, rotations)[:, 0]
                     for i in np.flatnonzero(groups != WHOLE).tolist():
                         candidate(i, int(groups[i]), int(own[i]))
-                    for i, near in zip(asking.tolist(), axes(x[q], t, probes).tolist()):
+                    for i, near in zip(asking.tolist(), buckets(x[q], t, probes, rotations).tolist()):
                         for m, ranges in hashed.items():
                             by_part: dict[int, list[int]] = {}
                             for axis in near:
@@ -194,7 +217,7 @@ def _deal(classes: DataFrame, tables: int, probes: int, parts: dict[int, int], s
                         [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.bool_()),
                          pa.array(used[at:at + 10_000], pa.list_(pa.int64())),
                          *(b[c].take(take) for c in ("a", "b", "ids", "v"))],
-                        ["g", "t", "part", "cs", "qs", "query", "axes", "a", "b", "ids", "v"])
+                        ["g", "t", "part", "cs", "qs", "query", "buckets", "a", "b", "ids", "v"])
 
     return classes.mapInArrow(run, schema)
 
@@ -209,12 +232,17 @@ def _search(k: int):
         if not len(c) or not len(q):
             return out.empty_table()
         cv, qv = _matrix(c["v"]), _matrix(q["v"])
-        own = np.array([x[0] for x in c["axes"].to_pylist()])
-        probed = q["axes"].to_pylist()
+        own = c["buckets"].combine_chunks().flatten().to_numpy()
+        probed = q["buckets"].combine_chunks()
+        asker = np.repeat(np.arange(len(q)), probed.value_lengths().to_numpy())
+        probed = probed.flatten().to_numpy()
         lowest = np.array([x[0] for x in c["ids"].to_pylist()])
-        best: list[list[np.ndarray]] = [[] for _ in probed]
-        for axis in np.unique(own).tolist():
-            at, who = np.flatnonzero(own == axis), [i for i, p in enumerate(probed) if axis in p]
+        best: list[list[np.ndarray]] = [[] for _ in range(len(q))]
+        by_own, by_probe = np.argsort(own, kind="stable"), np.argsort(probed, kind="stable")
+        met = np.intersect1d(own, probed)
+        spans = [np.searchsorted(s, met, side).tolist() for s in (own[by_own], probed[by_probe]) for side in ("left", "right")]
+        for a0, a1, w0, w1 in zip(*spans):
+            at, who = np.sort(by_own[a0:a1]), asker[by_probe[w0:w1]].tolist()
             for lo in range(0, len(who), 256):
                 some = who[lo:lo + 256]
                 s = qv[some] @ cv[at].T
@@ -246,10 +274,10 @@ def _search(k: int):
     return run
 
 
-def _lists(classes: DataFrame, k: int, tables: int, probes: int, parts: dict[int, int], block: int) -> DataFrame:
+def _lists(classes: DataFrame, k: int, rotations: int, tables: int, probes: int, parts: dict[int, int], block: int) -> DataFrame:
     """(qa, qb, l): the k + 1 nearest that each query class met, as (r, vec_id, score)."""
-    splits = _splits(*_bucket_counts(classes, tables, probes, parts), parts, block)
-    dealt = _deal(classes, tables, probes, parts, splits)
+    splits = _splits(*_bucket_counts(classes, rotations, tables, probes, parts), parts, block)
+    dealt = _deal(classes, rotations, tables, probes, parts, splits)
     found = (dealt.groupBy(*GROUP_KEYS).applyInArrow(_search(k), "qa long, qb long, vec_id long, score double")
              .groupBy("qa", "qb", "vec_id").agg(F.max("score").alias("score")))
     near = W.partitionBy("qa", "qb").orderBy(F.col("score").desc(), "vec_id")
@@ -257,21 +285,24 @@ def _lists(classes: DataFrame, k: int, tables: int, probes: int, parts: dict[int
             .groupBy("qa", "qb").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("l")))
 
 
-def nearest(vectors: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK,
+def nearest(vectors: DataFrame, k: int = K, tables: int | None = None, probes: int | None = None, block: int = BLOCK,
             is_query=lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each query row
     of ``vectors`` (vec_id, embedding), nearest first, ties to the smaller id."""
     classes = cut(vector_classes(vectors, k, is_query))
     top = classes.agg(F.max("size"), F.max(F.size("v"))).first()
     classes = classes.withColumn("r", F.floor(F.lit(top[0] or 0.0) - F.col("size")).cast("long")).drop("size")
-    parts = {r["r"]: min(PARTS, r["count"] // SMALL) for r in classes.groupBy("r").count().collect()
-             if r["count"] >= SMALL}
-    n_axes = 2 << (top[1] or 0).bit_length()
+    sizes = [(r["r"], r["count"]) for r in classes.groupBy("r").count().collect()]
+    parts = {r: min(PARTS, n // SMALL) for r, n in sizes if n >= SMALL}
+    hashed = sum(n for _, n in sizes if n >= SMALL)
+    rotations, own_tables, own_probes = next(s for most, s in SETTINGS if most is None or hashed <= most)
+    tables, probes = tables or own_tables, probes or own_probes
+    n_buckets = (2 << ((top[1] or 1) - 1).bit_length()) ** rotations
     asking, lists = classes, None
     while True:
-        if probes >= n_axes:
+        if probes >= (n_buckets if rotations == 1 else n_buckets // 8):
             parts = {}
-        met = cut(_lists(asking, k, tables, probes, parts, block))
+        met = cut(_lists(asking, k, rotations, tables, probes, parts, block))
         full = met.filter(F.size("l") > k) if parts else met
         lists = full if lists is None else lists.unionAll(full)
         left = asking.filter("q").select("a", "b").join(

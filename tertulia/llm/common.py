@@ -32,8 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a key of each row, the long columns ``_f`` and ``_i``, that every scan gives again: the hash of
-    the file and the row's place in it where ``docs`` is a Parquet scan as it is, else numbers written once with the rows."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+    the file and the row's place in it where ``docs`` is columns or rows of a Parquet scan, else numbers written once with
+    the rows."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):  # of the rows of a scan, these change no place
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
         place = docs.metadataColumn("_metadata")
         return docs.select("*", F.xxhash64(place["file_path"]).alias("_f"), place["row_index"].alias("_i"))
     return stored(docs.withColumn("_f", F.lit(0).cast("long")).withColumn("_i", F.monotonically_increasing_id()), "keyed-rows")

@@ -3,23 +3,28 @@ terms that give it away (DataFrame functions only).
 
 *Protected entities* are the valid matches of four patterns (email, ip, card,
 phone), each found leftmost and non-overlapping over the whole text.  What a
-term tells about an entity is estimated from the corpus: a term co-occurs with
-an entity where it stands within ``CONTEXT`` characters of one of its
-occurrences.  With n(t) the documents that hold term t, n(e) those that hold
-entity e, n(e,t) those where they co-occur and N all documents,
+term tells about an entity is estimated from the corpus: a term, any run of
+``TERM_CHARS`` letters or more outside of the matches, co-occurs with an entity
+where both stand in a document, however far apart.  With n(t) the documents
+that hold term t, n(e) those that hold entity e, n(e,t) those that hold both
+and N all documents,
 
     PMI(e;t) = log2(N n(e,t) / (n(e) n(t)))    IC(e) = log2(N / n(e))
 
 and disclosure = PMI / IC: 0 for independent terms, 1 for a term that implies
-the entity.  A term seen with the entity in ``MIN_CONTEXTS`` different contexts
-or more (copies of one passage count once) and a disclosure of ``REMOVE`` or
-more is removed, of ``GENERALISE`` or more is generalised to its shape, where
-it stands in the context of that entity.  Base spans are masked by kind.
-
-Scale: a document's spans are found inside its row.  Contexts are short rows;
-only (entity, term) pairs with enough contexts are counted over the corpus,
-and their terms meet the words of all documents before any shuffle if the list
-is proven short (``TERM_ROWS``), else in a shuffle join.
+the entity.  A pair counts if the entity stands in different contexts (the
+``CONTEXT`` characters around it) in the documents that hold both: copies of one
+passage are one piece of evidence.  A term with a disclosure of ``REMOVE`` or
+more is removed, of ``GENERALISE`` or more is generalised to its shape, wherever
+it stands in a document that holds that entity.  Base spans are masked by kind.
+
+Scale: a document's spans are found inside its row.  Entities seen in one
+context only say nothing and go first; only documents that hold one of the
+others give (entity, term) pairs, each once a document, counted with partial
+aggregates, so an entity of a third of all documents moves a count a task and
+term.  Their terms meet the words of all documents before any shuffle if the
+list is proven short (``TERM_ROWS``), else in a shuffle join; the words of a
+document get their places only where one of them discloses something there.
 
 Defined results: null or empty text has no spans; every input row gives one
 result row, repeated rows too; spans are code-point offsets, end exclusive.
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, stored
+from .common import cut, keyed, short, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term", "shape")
@@ -53,11 +58,11 @@ GUARDS = {
     "card": lambda t: t.rlike(r"(?:[0-9][\x20-]?+){11}[0-9]"),
     "phone": lambda t: t.contains("+"),
 }
+#: Characters on either side that tell one context of an entity from another.
 CONTEXT = 80
-MIN_CONTEXTS = 2
 REMOVE, GENERALISE = 0.9, 0.5
 TERM_ROWS = 500_000
-#: A term is a run of letters of at least this length, the first of its word.
+#: A term is a run of letters of at least this length.
 TERM_CHARS = 3
 
 
@@ -100,63 +105,57 @@ def _matches(kind: int, text: Column) -> Column:
     return F.when(GUARDS[name](text), rows)
 
 
-def base_spans(docs: DataFrame, rid: str | None = None) -> DataFrame:
-    """(rid, doc_id, k, s, e, m, before, after): every row of ``docs`` once
-    with k = -1, and each valid match; kept in the shared folder.  ``rid``: the
-    column of a row number that ``docs`` brings."""
+def base_spans(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, k, s, e, m, before, after): every row of ``docs`` (rid,
+    doc_id, text) once with k = -1, and each valid match; kept in the shared
+    folder."""
     t = F.coalesce(F.col("text"), F.lit(""))
     head = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("gap"),
                             F.lit("").alias("m"), F.lit("").alias("before"), F.lit("").alias("after")))
     none = F.slice(head, 1, 0)
     items = F.concat(head, *[F.coalesce(_matches(k, t), none) for k in range(len(KINDS))])
-    number = F.col(rid) if rid else F.monotonically_increasing_id()
-    rows = docs.select(number.alias("rid"), "doc_id", "text").select("rid", "doc_id", F.inline(items))
+    rows = docs.select("rid", "doc_id", F.inline(items))
     upto = W.partitionBy("rid", "k").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("e", F.sum(F.col("gap") + F.length("m")).over(upto))
     return cut(rows.filter((F.col("k") < 0) | _valid(F.col("k"), F.col("m")))
                .select("rid", "doc_id", "k", (F.col("e") - F.length("m")).alias("s"), "e", "m", "before", "after"))
 
 
-def _words_of(side: str) -> Column:
-    """Whole words of a context side as array<struct<w, s, e>>, offsets from
-    the side's start; a word cut by the window's edge is left out."""
-    parts = F.split(F.col(side), r"[\x20\x09-\x0D]", -1)
-    out = F.aggregate(parts, F.struct(F.lit(0).alias("o"), F.array().cast("array<struct<w:string,s:int,e:int>>").alias("l")),
-                      lambda a, w: F.struct((a["o"] + F.length(w) + 1).alias("o"),
-                                            F.concat(a["l"], F.array(F.struct(
-                                                w.alias("w"), a["o"].alias("s"),
-                                                (a["o"] + F.length(w)).alias("e")))).alias("l")))["l"]
-    full = F.length(F.col(side)) == CONTEXT
-    cut_off = (lambda x: x["s"] > 0) if side == "before" else (lambda x: x["e"] < CONTEXT)
-    return F.filter(out, lambda x: (~full | cut_off(x)))
-
-
-def context_terms(spans: DataFrame) -> DataFrame:
-    """(rid, k, m, ctx, t, s, e): the terms in the contexts of valid matches."""
-    p = spans.filter(F.col("k") >= 0)
-    p = p.withColumn("ctx", F.xxhash64(F.lower("before"), F.lower("after")))
-    b, a = _words_of("before"), _words_of("after")
-    shift = F.col("s") - F.length("before")
-    w = F.concat(F.transform(b, lambda x: F.struct(x["w"].alias("w"), (x["s"] + shift).alias("ts"), (x["e"] + shift).alias("te"))),
-                 F.transform(a, lambda x: F.struct(x["w"].alias("w"), (x["s"] + F.col("e")).alias("ts"), (x["e"] + F.col("e")).alias("te"))))
-    t = p.select("rid", "k", F.lower("m").alias("m"), "ctx", F.explode(w).alias("w"))
-    lead = F.length(F.regexp_extract("w.w", r"^[^\p{L}]*", 0))
-    core = F.regexp_extract("w.w", r"\p{L}+", 0)
-    return (t.select("rid", "k", "m", "ctx", F.lower(core).alias("t"), (F.col("w.ts") + lead).cast("long").alias("s"),
-                     (F.col("w.ts") + lead + F.length(core)).cast("long").alias("e"))
-            .filter(F.length("t") >= TERM_CHARS))
-
-
-def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame,
+def telling_entities(spans: DataFrame) -> DataFrame:
+    """(rid, k, m, lo, hi): the documents that hold an entity which occurs in
+    several contexts, and the least and greatest hash of its contexts there."""
+    ctx = F.xxhash64(F.lower("before"), F.lower("after"))
+    held = (spans.filter(F.col("k") >= 0).groupBy("rid", "k", F.lower("m").alias("m"))
+            .agg(F.min(ctx).alias("lo"), F.max(ctx).alias("hi")))
+    several = (held.groupBy("k", "m").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+               .filter("_lo <> _hi").select("k", "m"))
+    return cut(held.join(several, ["k", "m"]).select("rid", "k", "m", "lo", "hi"))
+
+
+def _outside(text: Column) -> Column:
+    """``text`` with a blank for what any of the patterns matches, lower-cased."""
+    out = text
+    for k, name in enumerate(KINDS):
+        out = F.when(GUARDS[name](text), F.regexp_replace(out, PATTERNS[name], " ")).otherwise(out)
+    return F.lower(out)
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a lower-cased text."""
+    return F.array_distinct(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_CHARS))
+
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, held: DataFrame,
                      remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """(k, m, t, disclosure): what the corpus says terms reveal."""
-    pairs = cut(terms.groupBy("k", "m", "t")
-                .agg(F.countDistinct("ctx").alias("n_ctx"), F.countDistinct("rid").alias("n_et"))
-                .filter(F.col("n_ctx") >= MIN_CONTEXTS))
+    """(k, m, t, disclosure): what the corpus says terms reveal.  ``docs``: (rid, text)."""
+    ids = held.select("rid").distinct()
+    texts = docs.join(short(cut(ids)), "rid", "left_semi").select("rid", _terms(_outside(F.col("text"))).alias("t"))
+    pairs = (texts.join(held, "rid").select("k", "m", "lo", "hi", F.explode("t").alias("t"))
+             .groupBy("k", "m", "t").agg(F.count("*").alias("n_et"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    pairs = cut(pairs.filter("lo <> hi AND n_et > 1").drop("lo", "hi"))
     wanted = pairs.select("t").distinct()
     # Distinct in the row, so that counting combines on the map side.
-    words = (docs.select(F.explode_outer(F.array_distinct(F.split(
-        F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("t")).filter(F.length("t") >= TERM_CHARS))
+    words = docs.select(F.explode(_terms(F.lower(F.coalesce("text", F.lit(""))))).alias("t"))
     if pairs.count() <= TERM_ROWS:
         n_t = words.join(F.broadcast(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
     else:
@@ -172,16 +171,36 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, terms: DataFrame,
             .select("k", "m", "t", "disclosure"))
 
 
+def placed_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, t, s, e): where the terms of the documents in ``wanted`` (rid, ...) stand.  ``docs``: (rid, text)."""
+    t = docs.join(short(cut(wanted.select("rid").distinct())), "rid", "left_semi")
+    gaps, words = F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    both = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g")))
+    rows = t.select("rid", F.posexplode(both).alias("i", "x"))
+    upto = W.partitionBy("rid").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.select("rid", "x.w", F.sum(F.col("x.g") + F.length("x.w")).over(upto).alias("e"))
+    return (rows.filter(F.length("w") >= TERM_CHARS)
+            .select("rid", F.lower("w").alias("t"), (F.col("e") - F.length("w")).alias("s"), "e"))
+
+
 def find_pii(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, rid: str | None = None) -> DataFrame:
     """(rid, doc_id, spans): per row of ``docs`` (doc_id, text) all spans as
-    array<struct<s, k, e>> in order, k indexing ALL_KINDS."""
-    spans = base_spans(docs, rid)
-    terms = context_terms(spans)
-    shown = disclosing_terms(docs, spans, terms, remove, generalise)
-    extra = (terms.join(shown, ["k", "m", "t"])
-             .groupBy("rid", "s", "e").agg(F.max("disclosure").alias("d"))
-             .select("rid", F.lit(None).cast("long").alias("doc_id"),
-                     F.when(F.col("d") >= remove, len(KINDS)).otherwise(len(KINDS) + 1).alias("k"), "s", "e"))
+    array<struct<s, k, e>> in order, k indexing ALL_KINDS.  ``rid``: the column
+    of a row number that ``docs`` brings."""
+    if rid is None:
+        docs = keyed(docs.select("doc_id", "text")).select(F.struct("_f", "_i").alias("rid"), "doc_id", "text")
+    else:
+        docs = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
+    spans = base_spans(docs)
+    held = telling_entities(spans)
+    shown = disclosing_terms(docs, spans, held, remove, generalise)
+    told = cut(held.join(shown, ["k", "m"]).groupBy("rid", "t").agg(F.max("disclosure").alias("d")))
+    places = placed_terms(docs, told).join(told, ["rid", "t"])
+    # Not inside of a match.
+    found = spans.filter("k >= 0").select("rid", F.col("s").alias("_s"), F.col("e").alias("_e"))
+    places = places.join(found, (places["rid"] == found["rid"]) & (F.col("s") < F.col("_e")) & (F.col("e") > F.col("_s")), "left_anti")
+    extra = places.select("rid", F.lit(None).cast("long").alias("doc_id"),
+                          F.when(F.col("d") >= remove, len(KINDS)).otherwise(len(KINDS) + 1).alias("k"), "s", "e")
     every = spans.select("rid", "doc_id", "k", "s", "e").unionByName(extra)
     one = F.struct(F.col("s").cast("long").alias("s"), F.col("k").cast("int").alias("k"),
                    F.col("e").cast("long").alias("e"))

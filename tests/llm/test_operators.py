@@ -140,6 +140,37 @@ def test_pii_disclosure(spark):
     assert "Zarquon" not in clean[0] and "[EMAIL]" in clean[0] and clean[130] == text[130]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """A name hundreds of characters before the address, all letter runs of joined names, words inside matches,
+    copies of one passage, and counts of disclosure by a plain recount."""
+    import math
+    far = "the day went on as days do and nothing much was said of it " * 9
+    trees = "oak elm ash fir yew bay box fig".split()
+    rows = [(i, f"Jean-Luc O'Brien came by. {far} {w} write {w} {w} to zq.anon@mail7.org for {w} {w} more {w} Brien") for i, w in enumerate(trees)]
+    rows += [(50 + i, f"copied words Quillfeather here zz@copy.net and so on {'x' * 90}") for i in range(4)]
+    rows += [(100 + i, f"{far} from the hills they came by for more and write about {i} " + ("Brien" if i < 4 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, DOC)
+    found = {r.doc_id: r.s.split(",") for r in pii.find_pii(df).select("doc_id", pii.spans_text(pii.F.col("spans")).alias("s")).collect()}
+
+    def spans(kind, i):
+        t = dict(rows)[i]
+        return sorted(t[int(a):int(b)] for k, a, b in (x.split(":") for x in found[i] if x) if k == kind)
+
+    def disclosure(t):
+        words = lambda x: set(re.findall(r"[^\W\d_]{3,}", x.lower()))
+        n_et, n_t = sum(t in words(x) for i, x in rows if i < 8), sum(t in words(x) for _, x in rows)
+        return math.log2(len(rows) * n_et / (8 * n_t)) / math.log2(len(rows) / 8)
+
+    for i in range(8):
+        assert spans("term", i) == ["Jean", "Luc"] and disclosure("jean") == 1
+        assert spans("shape", i) == ["Brien", "Brien"] and 0.5 <= disclosure("brien") < 0.9
+        assert spans("email", i) == ["zq.anon@mail7.org"]
+    assert all(spans("term", 50 + i) == [] for i in range(4)) and disclosure("write") < 0.5
+    assert all(found[100 + i] == [""] for i in range(60))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "Jean" not in clean[3] and "O'xxxxx" in clean[3] and "[EMAIL]" in clean[3]
+
+
 SEC = [("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         lambda m: len(m[2]) >= 6),
        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
@@ -295,6 +326,33 @@ def test_html_names_that_mislead(spark):
     assert {h: html_text.main_text(h, tree).split("\n\n") for h in cases} == cases
 
 
+def test_two_rotations_meet_few_pairs(monkeypatch, spark):
+    """Recall and the share of all pairs that is scored, at the setting for larger tables; then the query at it."""
+    from tertulia.llm import ann
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(40, 64))
+    x = centre[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 64)) * 1.1
+    rotations, tables, probes = next(s for most, s in ann.SETTINGS if most is None or len(x) <= most)
+    assert rotations == 2
+    u, q = ann.unit(x), np.arange(0, 12_000, 120)
+    exact = np.argsort(-(u[q] @ u.T), axis=1)[:, 1:21]
+    seen, scored = np.zeros((len(q), len(x)), bool), 0
+    for t in range(tables):
+        own, near = ann.buckets(u, t, 1, 2)[:, 0], ann.buckets(u[q], t, probes, 2)
+        assert near.shape == (len(q), probes) and (np.diff(np.sort(near, 1)) > 0).all()
+        for i in range(len(q)):
+            hit = np.isin(own, near[i])
+            scored += hit.sum()
+            seen[i] |= hit
+    assert np.take_along_axis(seen, exact, 1).mean() >= 0.9
+    assert scored / seen.size < 0.35
+    monkeypatch.setattr(ann, "SETTINGS", [(None, (2, 12, 192))])
+    few = [(int(i), x[i].tolist()) for i in range(2000)]
+    got = {(r.query_id, r.vec_id) for r in nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>")).collect()}
+    want = {(a, v) for a, _, v in exact_nearest(few)}
+    assert len(got & want) / len(want) >= 0.9
+
+
 def brute_tiles(q, d, n):
     """Greedy string tiling by comparing all places."""
     in_q, in_d, tiles = set(), set(), []
