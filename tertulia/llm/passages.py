@@ -13,8 +13,8 @@ The windows (about two of ``SPAN`` - ``SIZE`` words start one) are computed once
 with numpy over batches of texts, and written as numbers: the row's key, its id
 and text hash, the position and the window's two hashes.  The first place of
 each window comes from a partial aggregate, so one that many documents share
-moves once a task; its other places meet that by a join whose hot parts the
-skew-join rule splits.  Texts move at most once, to be rewritten.
+moves once a task; its other places meet that by ``heavy_join``, which broadcasts
+the places of the most frequent windows.  Texts move at most once, to be rewritten.
 
 Defined results: null text stays null; a text of fewer than ``SIZE`` words is
 left alone; rows that repeat a (doc_id, text) pair count as one document and
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import heavy_join
 from .common import keyed, short, stored
 from .shingles import _hash_spans
 
@@ -111,9 +112,11 @@ def windows(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def repeated_passages(wins: DataFrame) -> DataFrame:
     """(_f, _i, _starts): per row the positions of windows that stand in an earlier place, too."""
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_t").alias("t"), F.col("_p").alias("p"))
-    first = (wins.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-             .filter(F.col("_first") != F.col("_last")).drop("_last"))
-    later = wins.join(first, ["_h1", "_h2"]).filter(place != F.col("_first"))
+    wins = wins.withColumn("_h", F.struct("_h1", "_h2")).drop("_h1", "_h2")
+    first = stored(wins.groupBy("_h").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("n"))
+                   .filter(F.col("_first") != F.col("_last")).drop("_last"), "passage-first")
+    met = heavy_join(wins, first.select("_h", "_first"), "_h", first.select("_h", "n"))
+    later = met.filter(place != F.col("_first"))
     return later.groupBy(*KEY).agg(F.sort_array(F.collect_list("_p")).alias("_starts"))
 
 
