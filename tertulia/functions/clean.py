@@ -18,8 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .emoji import demojize
-from .regex import (DIGITS, NO_WORD_BEFORE, NOT_SPACE, SPACE, WORD,
-                    replace_first, whole_word)
+from .regex import (DIGITS, NOT_SPACE, NO_WORD_BEFORE, SPACE, WORD, once, replace_first, whole_word)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
@@ -85,12 +84,12 @@ def split_hashtags(c: Column) -> Column:
     looked at a bounded number of times, whatever the length of a hashtag, and
     texts without ``#`` are left alone.
     """
-    pieces = F.regexp_extract_all(c, F.lit(rf"({NO_WORD_BEFORE}#{WORD}++|[^#]++|#)"), 1)
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(rf"({NO_WORD_BEFORE}#{WORD}++|[^#]++|#)"), 1)
     body = lambda p: F.regexp_replace(
         F.substring(p, F.lit(2), F.length(p)), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    split = F.array_join(F.transform(
-        pieces, lambda p: F.when(p.startswith("#") & (p != "#"), body(p)).otherwise(p)), "")
-    return F.when(c.contains("#"), split).otherwise(c)
+    split = lambda x: F.array_join(F.transform(
+        pieces(x), lambda p: F.when(p.startswith("#") & (p != "#"), body(p)).otherwise(p)), "")
+    return once(c, lambda x: F.when(x.contains("#"), split(x)).otherwise(x))
 
 
 def remove_urls(c: Column, token: str = "") -> Column:
@@ -143,15 +142,20 @@ def expand_abbreviations(c: Column, compat: bool = False) -> Column:
     """Whole-word x/d/q/xq/pq -> por/de/que/porque/porque.
 
     Intent: all hits, case-insensitive.  ``compat``: first two, case-sensitive.
+    One search for any of them comes first; texts without pass unchanged.
     """
-    for short, full in ABBREVIATIONS:
-        if compat:
-            p = whole_word(short)
-            for _ in range(2):
-                c = F.regexp_replace(c, replace_first(p), "$1" + full)
-        else:
-            c = F.regexp_replace(c, "(?i)" + whole_word(short), full)
-    return c
+    def expanded(x: Column) -> Column:
+        for short, full in ABBREVIATIONS:
+            if compat:
+                p = whole_word(short)
+                for _ in range(2):
+                    x = F.regexp_replace(x, replace_first(p), "$1" + full)
+            else:
+                x = F.regexp_replace(x, "(?i)" + whole_word(short), full)
+        return x
+
+    any_of = whole_word("(?:" + "|".join(short for short, _ in ABBREVIATIONS) + ")")
+    return once(c, lambda x: F.when(x.rlike("(?i)" + any_of), expanded(x)).otherwise(x))
 
 
 def remove_numbers(c: Column) -> Column:

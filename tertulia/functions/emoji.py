@@ -17,6 +17,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import once
+
 # Blocks scanned by the rule (start, end inclusive): pictographic blocks whole,
 # of mixed blocks the characters that are emoji.
 EMOJI_BLOCKS = [
@@ -89,7 +91,7 @@ def demojize(c: Column) -> Column:
     first = every + _cls((REGIONAL, REGIONAL + 25)) + _cls((KEYCAP_END, KEYCAP_END))
     emoji = f"(?:{flag}|{keycap}|{sequence})"
     plain = f"[^{first}{KEYCAPS}]++"
-    pieces = F.regexp_extract_all(c, F.lit(f"(?s)({emoji}|{plain}|.)"), 1)
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)({emoji}|{plain}|.)"), 1)
     names = emoji_names()
     m = F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.lit(v) for v in names.values()]))
     parts = lambda p: F.filter(F.transform(F.split(p, ""), lambda x: F.try_element_at(m, x)), lambda x: x.isNotNull())
@@ -97,5 +99,5 @@ def demojize(c: Column) -> Column:
     alias = lambda p: F.when(is_flag(p), F.concat(F.lit(":flag_"), F.array_join(parts(p), ""), F.lit(":"))).otherwise(
         F.concat(F.lit(":"), F.array_join(parts(p), "_"), F.lit(":")))
     known = lambda p: p.rlike(f"^{emoji}\\z") & (F.size(parts(p)) > 0)
-    done = F.array_join(F.transform(pieces, lambda p: F.when(known(p), alias(p)).otherwise(p)), "")
-    return F.when(c.rlike(f"[{first}]"), done).otherwise(c)
+    done = lambda x: F.array_join(F.transform(pieces(x), lambda p: F.when(known(p), alias(p)).otherwise(p)), "")
+    return once(c, lambda x: F.when(x.rlike(f"[{first}]"), done(x)).otherwise(x))

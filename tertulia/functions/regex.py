@@ -10,6 +10,13 @@ Python ``re`` with Unicode classes.  The classes below are written so Java
 * Python ``\\B#`` / ``\\b`` -> explicit look-around on ``WORD``
 """
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 # Characters Python's str.isspace() accepts (str.strip / \s).
@@ -32,3 +39,10 @@ def replace_first(pattern: str) -> str:
     only the first match (Spark has no replace-first function): the lazy
     prefix is re-emitted through ``$1``."""
     return rf"(?s)^(.*?)(?:{pattern})"
+
+
+def once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, however often ``fn`` refers to it:
+    a lambda's argument is a value, a column in an expression is computed again
+    wherever the common parts are not found."""
+    return F.transform(F.array(c), fn)[0]

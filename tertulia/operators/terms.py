@@ -191,11 +191,10 @@ def discriminating_terms(docs: DataFrame, id_col: str, tokens_col: str, group_co
     """
     d = explode_rows(docs, [id_col, F.col(group_col).alias("_g")],
                      F.array_distinct(tokens_col), "term")
-    # Group sizes as scalar subqueries (one-row aggregates).
-    size_a = docs.select(F.count_if(F.col(group_col))).scalar()
-    size_b = docs.select(F.count_if(~F.col(group_col))).scalar()
+    # Group sizes: one row, from one scan of the groups alone.
+    sizes = docs.agg(F.count_if(F.col(group_col)).alias("_A"), F.count_if(~F.col(group_col)).alias("_B"))
     per = (d.groupBy("term").agg(F.count_if("_g").alias("a"), F.count_if(~F.col("_g")).alias("b"))
-           .withColumn("_A", size_a).withColumn("_B", size_b))
+           .crossJoin(F.broadcast(sizes)))
     tot = F.col("a") + F.col("b")
     cand = (per.filter((tot >= min_df) & (tot <= F.lit(max_df) * (F.col("_A") + F.col("_B"))))
             .orderBy(tot.desc(), F.col("term").asc()).limit(max_terms))

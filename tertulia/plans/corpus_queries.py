@@ -20,7 +20,7 @@ from ..operators import evaluate as EV
 from ..operators import sampling as R
 from ..operators import terms as TM
 from ..operators.labels import encode_sorted
-from ..session import cut_lineage, scratch_dir
+from ..session import scratch_dir, stored
 from ..sources import catalogue as CAT
 from ..sources import label_lines as LL
 from ..sources import runs as RUNS
@@ -102,9 +102,7 @@ def _write_corpora(spark, sf):
 
 def stored_tweets(spark, sf):
     """The split tweets as a written table, for fixtures that write several files of them."""
-    path = scratch_dir(spark, "tweets")
-    _tws(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(_tws(spark, sf), "tweets")
 
 
 def _d_r1(source: str, part_by: str, fracs: tuple, names: tuple) -> str:
@@ -510,7 +508,7 @@ train_vocabulary AS MATERIALIZED (
 SELECT d.tweet_id, d.term, d.tf AS value FROM doc_terms d JOIN train_vocabulary v ON d.term = v.term""",
     split=True, extra=D_TRAIN_VOCABULARY))
 def count_vectors(spark, sf):
-    tw, terms = _main_terms(spark, sf)
+    terms = stored(_main_terms(spark, sf)[1], "doc-terms")
     return TM.count_vectors(terms, "tweet_id", F.col("split") == "train")
 
 
@@ -518,7 +516,7 @@ def count_vectors(spark, sf):
 SELECT d.tweet_id, d.term, CAST(1 AS BIGINT) AS value FROM doc_terms d JOIN train_vocabulary v ON d.term = v.term""",
     split=True, extra=D_TRAIN_VOCABULARY))
 def binary_vectors(spark, sf):
-    tw, terms = _main_terms(spark, sf)
+    terms = stored(_main_terms(spark, sf)[1], "doc-terms")
     return TM.count_vectors(terms, "tweet_id", F.col("split") == "train", binary=True)
 
 
@@ -532,6 +530,7 @@ SELECT tweet_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY tweet_id)),
     split=True, extra=D_DOC_TERMS))
 def tfidf(spark, sf):
     tw, terms = _main_terms(spark, sf)
+    terms = stored(terms, "doc-terms")  # vocabulary and weights from one pass over the text
     n_train = tw.filter("split = 'train'").select(F.count(F.lit(1))).scalar()
     out = TM.tfidf(terms, "tweet_id", F.col("split") == "train", n_train)
     return out.withColumn("weight", F.round("weight", R9))
@@ -630,7 +629,7 @@ def tfidf_vectors(spark, sf):
 def tfidf_features(spark, sf):
     """(tweet_id, split, sentiment, features)."""
     tw, terms = _main_terms(spark, sf)
-    terms = cut_lineage(terms)
+    terms = stored(terms, "doc-terms")
     n_train = tw.filter("split = 'train'").select(F.count(F.lit(1))).scalar()
     return TM.tfidf_vectors(terms, tw.select("tweet_id", "split", "sentiment"), "tweet_id", F.col("split") == "train", n_train)
 
@@ -651,7 +650,7 @@ def document_embedding(spark, sf):
     """V6: mean word vectors of all documents; four in five terms have a
     vector, taken from ``embeddings`` by a hash of the term."""
     _, terms = _main_terms(spark, sf)
-    terms = cut_lineage(terms)
+    terms = stored(terms, "doc-terms")
     emb = TW.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = emb.count()
     words = terms.select("term").distinct()

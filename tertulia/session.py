@@ -64,6 +64,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage like a
+    checkpoint, compressed and read by column."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Path of a new folder under the shared checkpoint folder; Spark's
     writers create it through the file system the path names."""
