@@ -21,7 +21,7 @@ def test_matches_sql(spark, name):
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(cols, res.fetchall())[0]
 
 
-@pytest.mark.parametrize("name, source", [("op3_html", "pages"), ("op5_toxicity", "documents"),
+@pytest.mark.parametrize("name, source", [("op3_html", "pages"), ("op5_toxicity", "documents"), ("op11_token_alignment", "documents"),
                                           ("op7_secrets", "documents"), ("op8_warc", "pages"),
                                           ("op10_pii", "documents")])
 def test_one_row_each(spark, name, source):
