@@ -69,8 +69,7 @@ def spelling_corrections(vocab: DataFrame, dictionary: DataFrame) -> DataFrame:
     v = vocab.select("term").distinct()
     unknown = v.join(known, "term", "left_anti")
     # A term has as many keys as characters: those longer than any known word's neighbour need none.
-    longest = known.agg(F.max(F.length("term")).alias("_longest"))
-    near = unknown.crossJoin(F.broadcast(longest)).filter(F.length("term") <= F.col("_longest") + 1).select("term")
+    near = unknown.filter(F.length("term") <= known.agg(F.max(F.length("term"))).scalar() + 1)
     uk = explode_rows(near, ["term"], deletion_keys(), "_k")
     dk = explode_rows(known, [F.col("term").alias("cand"), "freq"], deletion_keys(), "_k")
     pairs = (uk.join(dk, "_k").select("term", "cand", "freq").distinct()

@@ -191,10 +191,10 @@ def discriminating_terms(docs: DataFrame, id_col: str, tokens_col: str, group_co
     """
     d = explode_rows(docs, [id_col, F.col(group_col).alias("_g")],
                      F.array_distinct(tokens_col), "term")
-    # Group sizes: one row, from one scan of the groups alone.
-    sizes = docs.agg(F.count_if(F.col(group_col)).alias("_A"), F.count_if(~F.col(group_col)).alias("_B"))
+    # Group sizes as one scalar subquery, from one scan of the groups alone.
+    sizes = docs.agg(F.struct(F.count_if(F.col(group_col)).alias("a"), F.count_if(~F.col(group_col)).alias("b")).alias("n")).scalar()
     per = (d.groupBy("term").agg(F.count_if("_g").alias("a"), F.count_if(~F.col("_g")).alias("b"))
-           .crossJoin(F.broadcast(sizes)))
+           .withColumn("_n", sizes).select("term", "a", "b", F.col("_n.a").alias("_A"), F.col("_n.b").alias("_B")))
     tot = F.col("a") + F.col("b")
     cand = (per.filter((tot >= min_df) & (tot <= F.lit(max_df) * (F.col("_A") + F.col("_B"))))
             .orderBy(tot.desc(), F.col("term").asc()).limit(max_terms))

@@ -406,7 +406,7 @@ def word_vector_lines(spark, sf):
             .otherwise(F.concat(word, F.lit(" "), text)))
     spark.createDataFrame([(f"{size['n']} {size['d']}",)], "value string").write.text(f"{root}/part0")
     emb.select(line.alias("value")).write.text(f"{root}/part1")
-    lines = VEC.parse_vectors(RUNS.read_lines_ordered(spark, f"{root}/*"), size["d"])
+    lines = VEC.vector_lines(RUNS.read_lines_ordered(spark, f"{root}/*"), size["d"])
     return lines.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 

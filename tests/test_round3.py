@@ -184,7 +184,7 @@ def test_hashtags_of_any_length_and_noncharacters(spark):
 def test_vector_lines_are_all_accounted_for(spark, tmp_path):
     f = tmp_path / "v.vec"
     f.write_text("4 2\nhola 0.5 -1\nde la 1e-3 2 \nbad 1\nworse 1 x\n3 2\n\n 1 2\nlast 1 2\n")
-    lines = VEC.parse_vectors(read_lines_ordered(spark, str(f)), 2).orderBy("line_order").collect()
+    lines = VEC.vector_lines(read_lines_ordered(spark, str(f)), 2).orderBy("line_order").collect()
     assert [(r.kind, r.word) for r in lines] == [
         ("header", None), ("vector", "hola"), ("vector", "de la"), ("malformed", None), ("malformed", None),
         ("malformed", None), ("malformed", None), ("malformed", None), ("vector", "last")]
