@@ -69,13 +69,13 @@ def _cls(*ranges: tuple[int, int]) -> str:
     return "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
 
 
-def _patterns() -> tuple[str, str, str, str]:
-    """Java patterns: any emoji character, a flag, a keycap, a sequence of characters."""
+def _patterns() -> tuple[str, str, str]:
+    """Java patterns: a flag, a keycap, a sequence of emoji characters."""
     every = _cls(*EMOJI_BLOCKS)
     letter = _cls((REGIONAL, REGIONAL + 25))
     variant, tone = _cls(VARIATION), _cls((0x1F3FB, 0x1F3FF))
     one = f"[{every}][{variant}]?[{tone}]?[{variant}]?"
-    return (every, f"[{letter}][{letter}]", f"[{KEYCAPS.replace('*', '')}*][{variant}]?\\x{{{KEYCAP_END:X}}}",
+    return (f"[{letter}][{letter}]", f"[{KEYCAPS.replace('*', '')}*][{variant}]?\\x{{{KEYCAP_END:X}}}",
             f"{one}(?:\\x{{{JOINER:X}}}{one})*+")
 
 
@@ -87,10 +87,11 @@ def demojize(c: Column) -> Column:
     sequence first; only emoji are looked up, so the work is linear in the text
     and never leaves the JVM.  Texts without any such character are not cut.
     """
-    every, flag, keycap, sequence = _patterns()
-    first = every + _cls((REGIONAL, REGIONAL + 25)) + _cls((KEYCAP_END, KEYCAP_END))
+    flag, keycap, sequence = _patterns()
     emoji = f"(?:{flag}|{keycap}|{sequence})"
-    plain = f"[^{first}{KEYCAPS}]++"
+    # No emoji is without a character from U+20E3 on, and one that begins below is a keycap.
+    low, high = f"\\x{{0}}-\\x{{{KEYCAP_END - 1:X}}}", f"[\\x{{{KEYCAP_END:X}}}-\\x{{10FFFF}}]"
+    plain = f"[{low}&&[^{KEYCAPS}]]++"
     pieces = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)({emoji}|{plain}|.)"), 1)
     names = emoji_names()
     m = F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[F.lit(v) for v in names.values()]))
@@ -100,4 +101,4 @@ def demojize(c: Column) -> Column:
         F.concat(F.lit(":"), F.array_join(parts(p), "_"), F.lit(":")))
     known = lambda p: p.rlike(f"^{emoji}\\z") & (F.size(parts(p)) > 0)
     done = lambda x: F.array_join(F.transform(pieces(x), lambda p: F.when(known(p), alias(p)).otherwise(p)), "")
-    return once(c, lambda x: F.when(x.rlike(f"[{first}]"), done(x)).otherwise(x))
+    return once(c, lambda x: F.when(x.rlike(high), done(x)).otherwise(x))

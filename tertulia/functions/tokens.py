@@ -16,7 +16,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import SPACE, WORD
+from .regex import SPACE, WORD, once
 from .stopwords_es import spanish_stopwords
 
 # ---------------------------------------------------------------------------
@@ -75,13 +75,18 @@ def treebank_tokens(c: Column) -> Column:
         c = F.regexp_replace(c, pat, rep)
     tokens = F.filter(F.split(c, f"{SPACE}+"), lambda t: t != "")
 
+    lengths = [len(w) for w in CONTRACTIONS]
+
+    def contracted(t: Column) -> Column:
+        return F.length(t).between(min(lengths), max(lengths)) & F.lower(t).isin(*CONTRACTIONS)
+
     def parts(t: Column) -> Column:
         out = F.array(t)
         for word, at in CONTRACTIONS.items():
             out = F.when(F.lower(t) == word, F.array(F.substring(t, 1, at), F.substring(t, at + 1, len(word)))).otherwise(out)
-        return F.when(F.lower(t).isin(*CONTRACTIONS), out).otherwise(F.array(t))
+        return F.when(contracted(t), out).otherwise(F.array(t))
 
-    return F.flatten(F.transform(tokens, parts))
+    return once(tokens, lambda x: F.when(F.exists(x, contracted), F.flatten(F.transform(x, parts))).otherwise(x))
 
 
 def tokens_joined(c: Column) -> Column:
