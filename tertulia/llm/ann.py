@@ -95,7 +95,7 @@ def buckets(x: np.ndarray, table: int, n: int, rotations: int = 1) -> np.ndarray
         if out is None:
             out, score = axis, value
             continue
-        both = (score[:, :, None] + value[:, None, :]).reshape(len(x), -1)
+        both = (score[:, :, None] + value[:, None, :]).reshape(len(x), score.shape[1] * value.shape[1])
         pick, score = _first(both, min(n, both.shape[1]))
         out = (np.take_along_axis(out, pick // axis.shape[1], 1) * along.shape[1]
                + np.take_along_axis(axis, pick % axis.shape[1], 1))

@@ -334,6 +334,7 @@ def test_two_rotations_meet_few_pairs(monkeypatch, spark):
     x = centre[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 64)) * 1.1
     rotations, tables, probes = next(s for most, s in ann.SETTINGS if most is None or len(x) <= most)
     assert rotations == 2
+    assert ann.buckets(np.zeros((0, 64)), 0, 192, 2).shape == (0, 192)
     u, q = ann.unit(x), np.arange(0, 12_000, 120)
     exact = np.argsort(-(u[q] @ u.T), axis=1)[:, 1:21]
     seen, scored = np.zeros((len(q), len(x)), bool), 0
