@@ -43,9 +43,9 @@ SETTINGS = [(8192, (1, 8, 16)), (1 << 23, (2, 12, 192)), (None, (3, 24, 1024))]
 #: Axes of one rotation that a query combines with those of the others, at least.
 NEAR_AXES = 48
 K = 20
-BLOCK = 4096
+BLOCK = 16_384
 #: Groups that the buckets of a table are dealt to.
-PARTS = 16
+PARTS = 4
 #: Norm ranges of fewer vectors than this are not hashed: every query meets all of them, as group WHOLE.
 SMALL = 256
 WHOLE = -1
