@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.regex import once
 from ..session import scratch_dir
 from .common import cut, short
 
@@ -45,15 +46,15 @@ CONTROLS = r"[\x00-\x1F\x7F-\x9F\x{2028}\x{2029}]"
 
 
 def sha1_base32(payload: Column) -> Column:
-    """SHA-1 of a binary column, upper-case base32: 20 bits (5 hex digits) make 4 letters."""
-    h = F.upper(F.sha1(payload))
+    """SHA-1 of a binary column, upper-case base32: 20 bits (5 hex digits) make 4 letters.
+    The digest is taken once a row, each group of digits converted once."""
+    def letters(g: Column) -> Column:
+        return F.concat(*[F.substring(F.lit(BASE32), F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    def letter(i: Column) -> Column:
-        group = F.conv(F.substring(h, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        five = F.floor(group / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32
-        return F.substring(F.lit(BASE32), five + 1, F.lit(1))
+    def group(h: Column, k: int) -> Column:
+        return once(F.conv(F.substring(h, 5 * k + 1, 5), 16, 10).cast("int"), letters)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    return once(F.sha1(payload), lambda h: F.concat(*[group(h, k) for k in range(8)]))
 
 
 def with_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
