@@ -23,3 +23,13 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def nothing_cached():
+    """What a module's tests cached is not in the plans of the next one's."""
+    yield
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        s.catalog.clearCache()

@@ -137,3 +137,13 @@ def test_ngram_model_is_fitted_on_stored_vectors(spark, tmp_path):
     got = M.ngram_classifier(df, "toks", "sentiment", "split", labels=[0, 1], num_features=64, path=str(tmp_path / "m"))
     assert "_grams" not in plan(got)
     assert all(r.prediction == r.sentiment for r in got.collect()) and got.count() == 20
+
+
+def test_fits_run_in_several_tasks(spark, monkeypatch):
+    from tertulia.operators import classify as M
+    monkeypatch.setattr(M, "FIT_ROWS", 10)
+    df = spark.range(100).withColumnRenamed("id", "tweet_id").coalesce(1)
+    out = M.in_all_slots(M.cut_lineage(df))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == 100
+    monkeypatch.setattr(M, "FIT_ROWS", 1000)
+    assert M.in_all_slots(M.cut_lineage(df)).rdd.getNumPartitions() == 1
