@@ -47,7 +47,8 @@ def _placed(rdd: RDD, n: int) -> RDD:
 # Counts by term block
 # ---------------------------------------------------------------------------
 def _numbered(df: DataFrame, first: int) -> tuple[DataFrame, int]:
-    """``df``, a checkpointed table or rows of it, with dense row numbers ``_at`` from ``first``, and the number after the last."""
+    """``df``, a written table or rows of it (read in the same order each time),
+    with dense row numbers ``_at`` from ``first``, and the number after the last."""
     df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
     starts, at = [], first
     for part, n in sorted((r[0], r[1]) for r in df.groupBy("_part").count().collect()):
@@ -346,7 +347,7 @@ def _add(a: dict, b: dict) -> dict:
 
 def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, split_col: str, id_col: str, histogram: list[int],
                               settings: LogisticRegression) -> DataFrame:
-    """Fits on the ``train`` rows of the checkpointed ``x`` and predicts the others
+    """Fits on the ``train`` rows of the written table ``x`` and predicts the others
     (id, split, label, prediction).  ``histogram``: training rows by class;
     ``settings``: penalty, iterations and tolerance."""
     reg, max_iter, tol = settings.getRegParam(), settings.getMaxIter(), settings.getTol()
