@@ -30,7 +30,8 @@ from ..session import scratch_dir
 
 HISTORY = 10
 CUT_EVERY = 10  # iterations between two checkpoints of the state
-CELL_COUNTS = 1 << 21  # counts a piece of a term block holds
+CELL_COUNTS = 1 << 20  # counts a piece of a term block holds
+TEXTS_AT_ONCE = 2048
 ROWS_A_BLOCK = 1 << 16
 DISK = StorageLevel.DISK_ONLY
 
@@ -61,7 +62,7 @@ def _numbered(df: DataFrame, first: int) -> tuple[DataFrame, int]:
 
 def _postings(batches):
     """(row number, tokens) -> (term, rows, counts), a row per term of a batch."""
-    for b in batches:
+    for b in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
         toks = b.column(1)
         pairs = pa.table({"term": pc.list_flatten(toks), "row": b.column(0).take(pc.list_parent_indices(toks))})
         pairs = pairs.group_by(["term", "row"]).aggregate([([], "count_all")]).sort_by([("term", "ascending"), ("row", "ascending")])

@@ -60,3 +60,12 @@ def test_training_rows_only(spark, rows, monkeypatch):
 def test_step_of_a_parabola():
     assert W.wolfe_step(lambda t: ((t - 3) ** 2, 2 * (t - 3)), 1.0, (9.0, -6.0)) == pytest.approx(3, abs=2.7)
     assert W.wolfe_step(lambda t: (t, 1.0), 1.0, (0.0, -1.0)) is None
+
+
+def test_postings_of_slices(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(W, "TEXTS_AT_ONCE", 2)
+    b = pa.record_batch([pa.array([5, 6, 7, 8], pa.int32()), pa.array([["a", "b", "a"], ["b"], None, ["a", "c"]])], names=["_at", "toks"])
+    got = [r for p in W._postings([b]) for r in p.to_pylist()]
+    assert got == [{"term": "a", "rows": [5], "counts": [2]}, {"term": "b", "rows": [5, 6], "counts": [1, 1]},
+                   {"term": "a", "rows": [8], "counts": [1]}, {"term": "c", "rows": [8], "counts": [1]}]
