@@ -17,11 +17,15 @@ without this property takes whole texts.
 
 Documents are put into blocks of ``BLOCK_CHARS`` characters (a longer text is a
 block of its own), each with a dictionary of its distinct id pairs, and written
-once.  The number of documents that hold a pair is a sum over the blocks'
-dictionaries, and it comes back to the blocks by a join of the dictionaries,
-where a pair stands once a block however frequent it is; the texts take no part
-in either shuffle.  An A id's highest count is a table of at most as many rows
-as A has tokens, which is broadcast.
+once: a row for each document, with places in the dictionary, and one for each
+entry of the dictionary (``PACKED`` of them on their way back), so no row grows
+with its block.  The number of documents
+that hold a pair is a sum over the blocks' dictionaries, and it comes back by a
+join of the dictionaries, where a pair stands once a block however frequent it
+is; the texts take no part in either shuffle.  Documents meet the entries of their
+block in one sort by block, in which the entries stand first: a worker holds those
+of one block.  An A id's highest count is a table of at most as many rows as A has
+tokens, which is broadcast.
 
 Defined results: null and empty texts, and texts whose tokens decode to other
 bytes (a literal U+2581, say), have no tokens: zeros and an empty digest; every
@@ -50,10 +54,15 @@ from .common import stored
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 BLOCK_CHARS = 2_000_000
-#: Chunks a worker remembers (counted at the start of a block), their greatest length, and those encoded together.
+#: Chunks a worker remembers and the bytes of their summaries (counted at the start of a block), their greatest length,
+#: those encoded together, and texts taken out of Arrow at a time.
 REMEMBERED = 300_000
+REMEMBERED_BYTES = 48 << 20
 SHORT = 64
 TOGETHER = 20_000
+TEXTS_AT_ONCE = 256
+#: Entries of a dictionary that come back in a row.
+PACKED = 1024
 #: Links of a group beyond which its distinct ids are paired.
 LARGE = 1 << 20
 CHUNK = re.compile(r"(?<=\S)(?=[ \n]\s*\S)")
@@ -188,7 +197,9 @@ class Aligner:
         self.counts.append(np.stack([count(chunk[of_a]), count(chunk[of_b]), count(chunk), count(chunk, k_a * k_b)], 1))
         self.good.append(np.full(n, good))
         last = np.cumsum(count(chunk[of_a]) + count(chunk[of_b])).tolist()
-        self.texts += ["".join(words[i:j])[:-1] for i, j in zip([0, *last], last)]
+        texts = ["".join(words[i:j])[:-1] for i, j in zip([0, *last], last)]
+        self.texts += texts
+        self.held += sum(map(len, texts)) + 16 * len(self.pairs[-1])
 
     def summarise(self, chunks: list[str]) -> None:
         """Append the summaries of ``chunks``, in order.  Those that stand in a text as they do alone are encoded as
@@ -245,6 +256,7 @@ class Aligner:
         """Empty the memory of chunks."""
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
+        self.held = 0  # bytes of texts, pairs and their links
         self.pairs, self.times, self.lengths, self.counts, self.good = ([] for _ in range(5))
 
     def summaries(self) -> tuple[np.ndarray, ...]:
@@ -268,7 +280,7 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 def block_of(al: Aligner, texts: list[str | None]) -> dict[str, np.ndarray | list]:
     """A block: per document its counts and digest, and its pairs (``ptr`` to ``idx``, places in the
     dictionary ``pair``, with ``times`` links); ``docs`` of the block hold a pair."""
-    if len(al.texts) > REMEMBERED:
+    if len(al.texts) > REMEMBERED or al.held > REMEMBERED_BYTES:
         al.forget()
     cut = [al.chunks(t) if t else [] for t in texts]
     sizes = np.array([len(c) for c in cut], np.int64)
@@ -301,63 +313,84 @@ def block_of(al: Aligner, texts: list[str | None]) -> dict[str, np.ndarray | lis
 
 
 def _blocks(byte_bpe: str, piece_bpe: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the entries of its dictionary, then its documents."""
     al, part, number = aligner(byte_bpe, piece_bpe), TaskContext.get().partitionId(), 0
     ids, texts, chars = [], [], 0
 
-    def block():
-        nonlocal number
-        b = block_of(al, texts) | {"doc_id": ids}
-        number += 1
-        return pa.record_batch([pa.array([part << 32 | number - 1], pa.int64()),
-                                *[pa.array([b[f.name]], f.type) for f in list(schema)[1:]]], schema=schema)
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        columns["block"] = pa.array(np.full(n, part << 32 | number))
+        return pa.record_batch([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    for batch in batches:
+    def block():
+        b = block_of(al, texts)
+        k, lists = len(b["pair"]), pa.array(b["ptr"], pa.int32())
+        if k:
+            yield rows(k, pos=pa.array(np.arange(k)), pair=pa.array(b["pair"]), docs=pa.array(b["docs"]))
+        yield rows(len(texts), doc_id=pa.array(ids, schema.field("doc_id").type), groups_sha256=pa.array(b["groups_sha256"], pa.string()),
+                   **{c: pa.array(b[c]) for c in COUNTS}, **{c: pa.ListArray.from_arrays(lists, pa.array(b[c])) for c in ("idx", "times")})
+
+    for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if texts and chars + len(text or "") > BLOCK_CHARS:
-                yield block()
+                yield from block()
+                number += 1
                 ids, texts, chars = [], [], 0
             ids.append(i)
             texts.append(text)
             chars += len(text or "")
     if texts:
-        yield block()
+        yield from block()
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From blocks with the corpus-wide counts of their pairs to documents."""
+    """From the entries of each block with their corpus-wide counts, and then its documents, to documents."""
+    last, held = None, []
     for batch in batches:
-        for r in range(batch.num_rows):
-            get = lambda name: batch.column(name)[r].values  # noqa: B023, E731
-            ptr, idx, times, n, best = (get(x).to_numpy(zero_copy_only=False) if get(x) is not None else np.zeros(0, np.int64)
-                                        for x in ("ptr", "idx", "times", "n", "best"))
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        entry = batch.column("pos").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (entry[1:] != entry[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+            if lo == hi:
+                continue
+            if block[lo] != last:
+                last, held = block[lo], []
+            part = batch.slice(lo, hi - lo)
+            if entry[lo]:
+                held.append([np.array(part.column(c).flatten().to_numpy(zero_copy_only=False)) for c in ("n", "best")])
+                continue
+            if len(held) > 1:
+                held = [[np.concatenate(x) for x in zip(*held)]]
+            n, best = held[0] if held else (np.zeros(0, np.int64),) * 2
+            idx, times = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "times"))
+            ptr = np.concatenate([[0], np.cumsum(part.column("idx").value_lengths().to_numpy(zero_copy_only=False))])
             total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[ptr])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [get("doc_id"), *[get(x) for x in COUNTS], pa.array(total(times * best[idx])), pa.array(total(times * n[idx])),
-                 get("groups_sha256")], names=["doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256"])
+                [*[part.column(c) for c in ("doc_id", *COUNTS)], pa.array(total(times * best[idx])), pa.array(total(times * n[idx])),
+                 part.column("groups_sha256")], names=["doc_id", *COUNTS, "n_best", "count_sum", "groups_sha256"])
 
 
 def alignment(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_a, n_b, n_groups, n_links, n_best (links whose pair is held by as
     many documents as any of its A id), count_sum (of these numbers over the links) and groups_sha256."""
     id_type = docs.schema["doc_id"].dataType
-    many = lambda t: T.ArrayType(t)
-    names = [("doc_id", id_type), *[(c, T.LongType()) for c in COUNTS], ("groups_sha256", T.StringType()),
-             ("ptr", T.IntegerType()), ("idx", T.IntegerType()), ("times", T.LongType()), ("pair", T.LongType()),
-             ("docs", T.IntegerType())]
-    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(n, many(t)) for n, t in names]])
+    kept = [("doc_id", id_type), *[(c, T.LongType()) for c in COUNTS], ("groups_sha256", T.StringType()),
+            ("idx", T.ArrayType(T.IntegerType())), ("times", T.ArrayType(T.LongType()))]
+    names = [("block", T.LongType()), ("pos", T.IntegerType()), ("pair", T.LongType()), ("docs", T.IntegerType()), *kept]
+    schema = T.StructType([T.StructField(n, t) for n, t in names])
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     blocks = stored(docs.select("doc_id", "text").mapInArrow(functools.partial(_blocks, byte_bpe, piece_bpe, arrow), schema), "aligned")
-    entries = blocks.select(F.explode(F.arrays_zip("pair", "docs")).alias("e")).select("e.pair", "e.docs")
+    entries = blocks.filter("pos IS NOT NULL").select("block", "pos", "pair", "docs")
     pairs = entries.groupBy("pair").agg(F.sum("docs").alias("n"))
     pairs = stored(pairs.withColumn("a", F.shiftright("pair", 32)), "aligned-pairs")
     highest = pairs.groupBy("a").agg(F.max("n").alias("most"))  # at most one row a token of A
     counted = pairs.join(F.broadcast(highest), "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    places = blocks.select("block", F.posexplode("pair").alias("pos", "pair"))
-    back = (places.join(counted, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("c"))
-            .select("block", F.col("c.n").alias("n"), F.col("c.best").alias("best")))
+    back = (entries.join(counted, "pair").groupBy("block", F.floor(F.col("pos") / F.lit(PACKED)).cast("int").alias("_k"))
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "n", "best"))).alias("c"))
+            .select("block", F.col("_k").alias("pos"), F.col("c.n").alias("n"), F.col("c.best").alias("best")))
+    both = blocks.filter("pos IS NULL").select("block", "pos", *[n for n, _ in kept]).unionByName(back, allowMissingColumns=True)
     out = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in (*COUNTS, "n_best", "count_sum")],
                         T.StructField("groups_sha256", T.StringType())])
-    return blocks.drop("pair", "docs").join(back, "block", "left").mapInArrow(_documents, out)
+    return both.repartition("block").sortWithinPartitions("block", F.col("pos").asc_nulls_last()).mapInArrow(_documents, out)
 
 
 GROUP = "array<struct<start:int,end:int,a:array<int>,b:array<int>>>"
