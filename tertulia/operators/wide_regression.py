@@ -8,6 +8,9 @@ coefficients and its part of the L-BFGS history.  The step comes from the dot
 products of the history (vector-free L-BFGS), so the driver sees those, the
 intercepts and losses only.  Per iteration the rows' residuals go to the blocks
 and the blocks' margins to the rows; the counts themselves never move again.
+Counts, rows, coefficients and each pair of the history lie once in the checkpoint
+folder (the counts compressed), superseded ones go at once, and what a step shuffled
+goes every few steps, as nothing refers to it.
 
 The classes' coefficients sum to 0 as their gradients do, so the last class is
 not kept.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 HISTORY = 10
-CUT_EVERY = 10  # iterations between two checkpoints of the state
+CUT_EVERY = 3  # iterations after which the driver collects garbage, and so the shuffle files of steps
 CELL_COUNTS = 1 << 20  # counts a piece of a term block holds
 TEXTS_AT_ONCE = 2048
 ROWS_A_BLOCK = 1 << 16
@@ -96,6 +99,20 @@ def _cell(new, lens, rows, counts, n: int):
             np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0))
 
 
+def _packed(cell) -> bytes:
+    """A piece for the cluster's disks: its rows as differences, compressed."""
+    (lens, rows, counts), (lens_rest, rows_rest, counts_rest), *terms = cell
+    steps = lambda x: np.diff(x, prepend=x.dtype.type(0))
+    raw = pickle.dumps(((lens.astype("i4"), steps(rows), counts), (lens_rest.astype("i4"), steps(rows_rest), counts_rest), *terms), 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes):
+    raw = pa.decompress(pa.py_buffer(packed)[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd")
+    *parts, mean, inverse = pickle.loads(raw)
+    return (*((lens, np.cumsum(rows, dtype=rows.dtype), counts) for lens, rows, counts in parts), mean, inverse)
+
+
 def _cells(n: int):
     """Postings sorted by term -> the pieces of the partition's term block, pickled."""
     def run(batches):
@@ -105,7 +122,7 @@ def _cells(n: int):
         def emit(parts):
             cell = _cell(*parts, n)
             if len(cell[2]):
-                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([pickle.dumps(cell, 5)], pa.binary())], names=["j", "cell"])
+                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([_packed(cell)], pa.binary())], names=["j", "cell"])
 
         for b in batches:
             if not b.num_rows:
@@ -141,9 +158,10 @@ def _margins(items, part: int, first: int, n: int, size: int):
     out, w, lo = None, None, 0
     for j, (tag, *x) in items:
         if tag == "cell":
+            x = _unpacked(*x)
             lens, rows, counts = x[part]
             hi = lo + len(lens)
-            c = w[lo:hi] * x[3][:, None]
+            c, counts = w[lo:hi] * x[3][:, None], counts.astype("f8")
             at = rows - first if first else rows
             for k in range(out.shape[0]):
                 out[k] += np.bincount(at, counts * np.repeat(c[:, k], lens), n)
@@ -160,7 +178,7 @@ def _stepped(items, alpha: float, k: int, n: int, classes: int, reg: float):
     """Old state, direction, residuals, older pairs, cells -> state and pair after
     the step, and the dot products of the new vectors as ``("dots", ...)``."""
     r, d, w, g, lo, grads, inverse = np.zeros((n, classes - 1)), None, None, None, 0, [], []
-    pairs, where = [], None
+    where, by_class = None, None
     for j, (tag, *x) in items:
         where = j
         if tag == "r":
@@ -170,9 +188,11 @@ def _stepped(items, alpha: float, k: int, n: int, classes: int, reg: float):
         elif tag == "full":
             w, g = x
         elif tag == "cell":
+            x = _unpacked(*x)
             lens, rows, counts = x[0]
             starts = np.append(0, np.cumsum(lens)[:-1])
-            sums = np.stack([np.add.reduceat(r[rows, c] * counts, starts) for c in range(classes - 1)], 1)
+            by_class, counts = np.ascontiguousarray(r.T) if by_class is None else by_class, counts.astype("f8")
+            sums = np.stack([np.add.reduceat(each.take(rows) * counts, starts) for each in by_class], 1)
             grads.append((sums - x[2][:, None] * r.sum(0)) * x[3][:, None] / n)
             inverse.append(x[3])
     if not grads:
@@ -187,19 +207,21 @@ def _stepped(items, alpha: float, k: int, n: int, classes: int, reg: float):
 
 def _products(items):
     """New state and pair, then older pairs -> dot products by names."""
-    out, new = {}, {}
+    out, new, whole = {}, {}, None
     for _, (tag, *x) in items:
         if tag == "full":
-            new["g"] = x[1]
-            out["g", "g"] = dot(x[1], x[1])
+            vectors = {"g": x[1]}
         else:
-            k = x[0]
-            vectors = {("s", k): x[1], ("y", k): x[2]}
-            for a, v in vectors.items():
-                for b, u in (new | vectors if len(new) <= 1 else new).items():
-                    out[a, b] = out[b, a] = dot(v, u)
-            if len(new) == 1 and "g" in new:
-                new |= vectors
+            vectors = {("s", x[0]): x[1], ("y", x[0]): x[2]}
+        vectors = {a: v.astype("f8").ravel() for a, v in vectors.items()}
+        if tag == "full" or len(new) == 1 and "g" in new:
+            new |= vectors
+            # With the last class's part, which is not kept: dot(v, u) is the sum of (v + v's row sums) times u.
+            whole = {a: (v.reshape(-1, k) + v.reshape(-1, k).sum(1, keepdims=True)).ravel()
+                     for k in [x[1].shape[1]] for a, v in new.items()}
+        for a, v in vectors.items():
+            for b, u in whole.items():
+                out[a, b] = out[b, a] = float(u @ v)
     yield out
 
 
@@ -209,7 +231,9 @@ def _direction(items, weights: dict):
         if tag == "full":
             d, where = (0.0 if d is None else d) + weights["g"] * x[1], j
         else:
-            d = (0.0 if d is None else d) + weights["s", x[0]] * x[1].astype("f8") + weights["y", x[0]] * x[2].astype("f8")
+            for a, v in (("s", x[1]), ("y", x[2])):
+                part = np.multiply(v, weights[a, x[0]], dtype="f8")
+                d = part if d is None else np.add(d, part, out=part)
     if where is not None:
         yield where, ("d", d)
 
@@ -362,10 +386,14 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
     texts = train.select("_at", tokens_col).unionByName(rest.select("_at", tokens_col))
     postings = texts.mapInArrow(_postings, "term string, rows array<int>, counts array<int>")
     cells = postings.repartition(blocks, "term").sortWithinPartitions("term").mapInArrow(_cells(n), "j int, cell binary")
-    cells = _placed(cells.rdd.map(lambda r: (r[0], r[1])), blocks)
-    cells = cells.mapValues(lambda c: ("cell", *pickle.loads(c))).persist(DISK)
-    terms = cells.mapPartitions(lambda it: [(c[0][0], ("terms", np.concatenate([v[3] for _, v in c]), np.concatenate([v[4] for _, v in c])))
-                                            for c in [[(j, (None, None, None, v[3], v[4])) for j, v in it]] if c], True).persist(DISK)
+    counted = scratch_dir(spark, "wide-cells")
+    cells.write.parquet(counted)
+    sc._jvm.System.gc()  # the postings' shuffle files go before the cells move
+    cells = _placed(spark.read.parquet(counted).rdd.map(lambda r: (r[0], r[1])), blocks)
+    cells = _settled(cells.mapValues(lambda c: ("cell", bytes(c))))
+    _forget(sc, counted)
+    terms = cells.mapPartitions(lambda it: [(c[0][0], ("terms", np.concatenate([v[0] for _, v in c]), np.concatenate([v[1] for _, v in c])))
+                                            for c in [[(j, _unpacked(v[1])[2:]) for j, v in it]] if c], True).persist(DISK)
 
     def rows_of(r):
         at = np.array([v[0] for v in r[1]])
@@ -380,7 +408,7 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
         F.collect_list(F.struct("_at", F.col(label_col).cast("int"))))
     rows = _placed(labels.rdd.map(rows_of), homes)
     rows = rows.mapPartitions(lambda it: _rows_moved(it, b, 0.0), True)
-    rows = rows.mapValues(lambda v: (*v[:3], v[4], np.zeros_like(v[4]))).persist(DISK)
+    rows = _settled(rows.mapValues(lambda v: (*v[:3], v[4], np.zeros_like(v[4]))))
 
     def united(*rdds):
         return sc.union(list(rdds))
@@ -397,12 +425,13 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
         return lambda v: v[1][0] == tag
 
     new = step(0.0, -1)
-    state = new.filter(only("full"))
+    state = _settled(new.filter(only("full")))
+    new.unpersist()
     value, _, *gb = evaluate(0.0)
     value, gb = float(value), np.array(gb)
     dots = state.mapPartitions(_products).reduce(_add)
     dots["g", "g"] += float(gb @ gb)
-    history, pairs, own, cut, values, failed, alpha = {}, [], {}, [], [value], False, 0.0
+    history, pairs, own, values, failed, alpha = {}, [], {}, [value], False, 0.0
     mean_w = np.zeros(classes - 1)
     first_value, k = value, 0
     while k < max_iter:
@@ -416,8 +445,8 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
         parts = _placed(united(d, cells).mapPartitions(lambda it: _margins(it, 0, 0, n, size)), homes)
         old_rows, last = rows, alpha
         rows = united(old_rows, parts).mapPartitions(lambda it: _rows_moved(it, shift, last), True).persist(DISK)
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            rows.checkpoint()
+        rows.checkpoint()
+        del parts
 
         intercepts, values_at = {}, {}
 
@@ -430,38 +459,37 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
         slope = sum(v * dots[a, "g"] for a, v in weights.items())
         norm = math.sqrt(length + float(db @ db))
         alpha = wolfe_step(phi, 1.0 if k and pairs else 1.0 / max(norm, 1e-300), (value, slope)) if slope < 0 else None
+        rows = _settled(rows)
+        _forget(sc, old_rows.getCheckpointFile())
         if alpha is None:  # once from the gradient alone, then the fit has ended
-            old_rows.unpersist()
             d.unpersist()
             alpha = 0.0
             if failed or not pairs:
                 break
             failed, pairs = True, []
             continue
-        old, new = new, step(alpha, k, state, d)
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            new.checkpoint()
+        new = step(alpha, k, state, d)
         new_gb = intercepts[alpha]
         own["s", k], own["y", k] = alpha * db, new_gb - gb
         kept = pairs[-(HISTORY - 1):]
-        fresh = united(new, *[history[p] for p in kept]).mapPartitions(_products).reduce(_add)
+        old_state, state, history[k] = state, new.filter(only("full")), new.filter(only("pair"))
+        state.checkpoint()
+        history[k].checkpoint()
+        fresh = united(state, history[k], *[history[p] for p in kept]).mapPartitions(_products).reduce(_add)
         everything = {("s", p): own["s", p] for p in [*kept, k]} | {("y", p): own["y", p] for p in [*kept, k]} | {"g": new_gb}
         for (a, c) in fresh:
             fresh[a, c] += float(everything[a] @ everything[c])
         dots = {(a, c): v for (a, c), v in dots.items() if a in everything and c in everything and "g" not in (a, c)} | fresh
-        history[k] = new.filter(only("pair")).persist(DISK)
-        for gone in [p for p in history if p not in (*kept, k)]:
-            history.pop(gone).unpersist()
-        for done in (old_rows, d, old):
+        state, history[k] = _settled(state), _settled(history[k])
+        for done in (d, new):
             done.unpersist()
-        state = new.filter(only("full"))
+        for gone in (old_state, *[history.pop(p) for p in [*history] if p not in (*kept, k)]):
+            _forget(sc, gone.getCheckpointFile())
+        del old_rows, old_state, gone, done, d, new
         pairs, gb, b, mean_w = [*kept, k], new_gb, b + alpha * db, mean_w + alpha * mean_d
         value = values_at[alpha]
         k += 1
         if k % CUT_EVERY == 0:
-            cut.append([rows.getCheckpointFile(), new.getCheckpointFile()])
-            for path in cut.pop(0) if len(cut) > 2 else []:
-                _forget(sc, path)
             sc._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of past iterations
         size_g = math.sqrt(dots["g", "g"])
         if abs(value - max(values)) <= tol * abs(first_value) or size_g <= max(tol * abs(value), 1e-8):
@@ -483,14 +511,23 @@ def wide_logistic_predictions(x: DataFrame, tokens_col: str, label_col: str, spl
     scores = _placed(united(state, cells).mapPartitions(lambda it: _margins(it, 1, n, held, size)), homes).mapPartitions(predicted)
     path = scratch_dir(spark, "wide-predictions")
     spark.createDataFrame(scores, "_at int, prediction int").write.parquet(path)
-    for done in (cells, terms, rows, new, *history.values()):
-        done.unpersist()
-    for path_ in [p for pair in cut for p in pair]:
-        _forget(sc, path_)
+    terms.unpersist()
+    for done in (cells, rows, state, *history.values()):
+        _forget(sc, done.getCheckpointFile())
     return rest.join(spark.read.parquet(path), "_at", "left").select(
         id_col, split_col, F.col(label_col).cast("int").alias(label_col), "prediction")
 
 
+def _settled(rdd: RDD) -> RDD:
+    """``rdd`` as it lies in the checkpoint folder; nothing refers to what it came from, or keeps it."""
+    if not rdd.isCheckpointed():
+        rdd.checkpoint()
+        rdd._jrdd.count()
+    if rdd.is_cached:
+        rdd.unpersist()
+    return RDD(rdd._jrdd, rdd.ctx, rdd._jrdd_deserializer)
+
+
 def _forget(sc, path: str | None) -> None:
     """Removes a superseded checkpoint of this fit."""
     if path:

@@ -58,3 +58,51 @@ def test_alignment_forgets_long_chunks(monkeypatch):
     for i in range(12):  # one chunk each, without blanks
         A.block_of(al, [f"{i}" + "xyzw" * 500])
         assert sum(map(len, al.texts)) < 40_000
+
+
+# classify_lr_counts: what lies on disk.
+def test_regression_leaves_one_copy_of_its_state(spark, monkeypatch):
+    import os
+    import random
+    from urllib.parse import urlparse
+    from tertulia.operators import classify as M
+    from tertulia.operators import wide_regression as W
+    full = M.logistic_regression
+    monkeypatch.setattr(M, "logistic_regression", lambda *a: full(*a).setMaxIter(14))
+    monkeypatch.setattr(M, "DRIVER_COEFFICIENTS", 8)
+    monkeypatch.setattr(W, "HISTORY", 4)
+    root = os.path.dirname(urlparse(W.scratch_dir(spark, "x")).path)
+    checkpoints = lambda: {d for d, _, files in os.walk(root) if os.path.basename(d).startswith("rdd-")}
+    before, lying = checkpoints(), []
+    settled = W._forget
+    monkeypatch.setattr(W, "_forget", lambda sc, path: (settled(sc, path), lying.append(len(checkpoints() - before))))
+    rng = random.Random(3)
+    rows = [(i, ("train", "train", "dev")[i % 3], i % 3, [f"w{rng.randrange(30)}" for _ in range(9)] + [f"c{i % 3}"] * rng.randrange(2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "tweet_id long, split string, sentiment int, toks array<string>").repartition(3)
+    assert M.text_classifier(df, "toks", "sentiment", "split").count() == 30
+    # Counts, rows, coefficients, the history, and the new rows, coefficients and pair until the old ones go.
+    assert 6 < max(lying) <= 4 + 6
+    assert checkpoints() == before
+
+
+def test_packed_pieces():
+    import numpy as np
+    from tertulia.operators import wide_regression as W
+    new, lens = np.array([True, False, True, True]), np.array([2, 1, 1, 2])
+    rows, counts = np.array([3, 9, 11, 2, 0, 10], "i4"), np.array([1, 2, 1, 300, 1, 1], "i4")
+    cell = W._cell(new, lens, rows, counts, 10)
+    got = W._unpacked(W._packed(cell))
+    flat = lambda c: [x.tolist() for p in c for x in (p if isinstance(p, tuple) else (p,))]
+    assert flat(got) == flat(cell) and got[0][1].dtype == cell[0][1].dtype
+
+
+def test_products_of_state_and_history():
+    import numpy as np
+    from tertulia.operators import wide_regression as W
+    rng = np.random.default_rng(1)
+    v = lambda: rng.normal(size=(5, 2))
+    g, s, y, s0, y0 = v(), *(v().astype("f4") for _ in range(4))
+    got, = W._products(iter([(0, ("full", v(), g)), (0, ("pair", 1, s, y)), (0, ("pair", 0, s0, y0))]))
+    named = {"g": g, ("s", 1): s, ("y", 1): y, ("s", 0): s0, ("y", 0): y0}
+    assert {k for k in got} == {(a, b) for a in named for b in named if {a, b} & {"g", ("s", 1), ("y", 1)}}
+    assert all(abs(x - W.dot(named[a], named[b])) < 1e-9 for (a, b), x in got.items())
