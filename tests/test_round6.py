@@ -106,3 +106,28 @@ def test_products_of_state_and_history():
     named = {"g": g, ("s", 1): s, ("y", 1): y, ("s", 0): s0, ("y", 0): y0}
     assert {k for k in got} == {(a, b) for a in named for b in named if {a, b} & {"g", ("s", 1), ("y", 1)}}
     assert all(abs(x - W.dot(named[a], named[b])) < 1e-9 for (a, b), x in got.items())
+
+
+# token_pipeline: only what changes is shuffled by term.
+def test_token_pipeline_of_odd_rows(spark, monkeypatch):
+    from tertulia.operators import token_pipeline as P
+    corrections = spark.createDataFrame([("holla", "hola", "corrected"), ("ñu", "ño", "corrected"), ("x", "x", "unknown")],
+                                        "term string, correction string, status string")
+    mapping = spark.createDataFrame([("hola", "buenas"), ("q", "que")], "term string, canonical string")
+    rows = [(1, ["holla", "q", "ñu", "a b", "holla"]), (2, []), (3, None), (4, ["x", None, "", "q"]), (None, ["hola"]),
+            (None, ["z", "holla"]), (5, ["b", "q"]), (5, ["holla", "a"]), (6, ["z"])]
+    df = spark.createDataFrame(rows, "id long, t array<string>").repartition(3)
+    want = [(None, ["buenas", "z", "buenas"]), (1, ["buenas", "que", "ño", "a b", "buenas"]), (2, []), (3, []), (4, ["x", "", "que"]),
+            (5, ["b", "buenas", "a", "que"]), (6, ["z"])]
+    for common in (1, 2, 100):
+        monkeypatch.setattr(P, "COMMON_TERMS", common)
+        got = [(r.id, r.tokens) for r in P.token_pipeline(df, "id", "t", corrections, mapping).collect()]
+        assert sorted(got, key=lambda r: (r[0] is not None, r[0] or 0)) == want
+
+
+def test_token_pipeline_moves_documents_not_tokens(spark):
+    from tertulia.operators.token_pipeline import token_pipeline
+    corrections = spark.createDataFrame([("holla", "hola", "corrected")], "term string, correction string, status string")
+    df = spark.createDataFrame([(i, ["a", "b", "c", "holla"] * 50) for i in range(20)], "id long, t array<string>")
+    plan = token_pipeline(df, "id", "t", corrections)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower()
